@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import bpe, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), spec), spec))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_substring_dedup,)}
+    return {f.__name__: f for f in (op4_bpe, op7_substring_dedup)}
 
 
 OP7 = r"""
