@@ -5,14 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, pii, simhash, substring
+from . import bpe, pii, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(divisor: int, rest: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor == rest
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~_held_out(3, 1)))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(_held_out(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,7 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op7_substring_dedup, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op4_bpe, op7_substring_dedup, op9_simhash, op10_pii)}
 
 
 OP7 = r"""

@@ -33,7 +33,7 @@ def test_more_spans_and_redaction():
 
 
 def test_rows(spark):
-    rows = [(1, "a@b.co 10.0.0.1"), (2, None), (3, ""), (None, "+1 (727) 555-6430"), (1, "a@b.co 10.0.0.1"), (4, "9" * 50_000), (5, "x" * 100_000 + "@"), (6, "ß" * 5 + "me@x.de")]
+    rows = [(1, "a@b.co 10.0.0.1"), (2, None), (3, ""), (None, "+1 (727) 555-6430"), (1, "a@b.co 10.0.0.1"), (4, "9" * 3000), (5, "x" * 100_000 + "@"), (6, "ß" * 5 + "me@x.de")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "2 as n_email")
     got = sorted((tuple(r) for r in pii.digest(pii.find_pii(df)).collect()), key=str)
     want = []
