@@ -202,13 +202,17 @@ def _cover(texts: list[set[str]], times: int = 3) -> list[str]:
     return found
 
 
+def _constant(n_toxic: int, n: int) -> Model:
+    share = (n_toxic + 1) / (n + 2)
+    return Model(np.zeros(_CODES**ORDER, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+
+
 def fit(texts: list[tuple[str, int]], landmarks: int = 192, negatives: int = 2500, rounds: int = 3, seed: int = 7) -> Model:
     """texts: (text, label 0 or 1), a bounded sample. With one class alone, every score is that class's share."""
     each = [(units(t), y) for t, y in texts]
     n_toxic = sum(y for _, y in each)
     if not n_toxic or n_toxic == len(each):
-        share = (n_toxic + 1) / (len(each) + 2) if each else 0.5
-        return Model(np.zeros(_CODES**ORDER, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return _constant(n_toxic, len(each))
     fold = [k % 5 for k in range(len(each))]
     toxic, clean = Counter(), Counter()
     for (words, y), p in zip(each, fold, strict=True):
@@ -222,6 +226,8 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 192, negatives: int = 250
         positive = sorted(toxic, key=lambda w: (-odds.get(w, 0) * toxic[w], w))[:20]
     rng = np.random.default_rng(seed)
     pool = sorted(set(clean) - set(positive))
+    if not positive or not pool:
+        return _constant(n_toxic, len(each))
     negative = [pool[k] for k in rng.permutation(len(pool))[:negatives]]
     for _ in range(rounds):
         model = _fit_words(positive, negative, landmarks, rng)
@@ -270,22 +276,45 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     return fit([(seen[i], label[i]) for i in sorted(seen)])
 
 
+class _Judge:
+    """Scores texts in a task; each distinct word is judged once (at most 600,000 are remembered)."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        each = [units(t) for t in texts]
+        if len(self.known) > 600_000:
+            self.known.clear()
+        new = list({w for words in each for w in words if w not in self.known})
+        self.known.update(zip(new, self.model.decisions(new).tolist(), strict=True))
+        worst = [max(map(self.known.__getitem__, words), default=self.model.bias) for words in each]
+        return self.model.scores(np.array(worst))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, score (0 to 1). A null text counts as empty; an empty text has the score of a text without any telling word."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value, {}
+        judge = _Judge(sent.value)
         for batch in batches:
             for row, texts in runs(batch.column(1)):
-                each = [units(t) for t in texts.to_pylist()]
-                new = list({w for words in each for w in words if w not in known})
-                if len(known) + len(new) > 600_000:
-                    known.clear()
-                    new = list(set().union(*each))
-                known.update(zip(new, model.decisions(new).tolist(), strict=True))
-                worst = np.array([max(map(known.__getitem__, words), default=model.bias) for words in each])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(model.scores(worst))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(judge.scores(texts.to_pylist()))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores below the threshold; a null text counts as empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(sent.value)
+        for batch in batches:
+            for row, texts in runs(batch.column(at).cast(pa.string())):
+                yield batch.slice(row, len(texts)).filter(pa.array(judge.scores(texts.to_pylist()) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
