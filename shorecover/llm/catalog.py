@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, pii, simhash, substring, toxicity
+from . import bpe, decontamination, fingerprints, licenses, ngram_lm, pii, simhash, substring, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.edited(_table(spark, sf_dir, "documents")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +40,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), spec), spec))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urls.judge(pages, urls.fit(urls.seed_labels(pages)), RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -53,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op4_bpe, op7_substring_dedup, op8_decontamination, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op4_bpe, op5_lm_scoring, op6_url_filter, op7_substring_dedup, op8_decontamination, op9_simhash, op10_pii)}
 
 
 OP7 = r"""
@@ -72,4 +89,4 @@ from w left join k using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7}
+    return {"op3_licenses": licenses.oracle(), "op7_substring_dedup": OP7}
