@@ -29,6 +29,8 @@ from .elias_fano import EliasFano, mapped
 from .exchange import asked, grouped, pack, unpack
 
 MU, HOT, STEPS = 20.0, 0.002, 8192
+#: Bytes of text in a group, about: a group's tokens, pairs and their order are in memory at once.
+GROUP = 4 << 20
 END, BOS = np.uint64(0x5EED5EED00000001), np.uint64(0x5EED5EED00000002)
 
 
@@ -212,7 +214,7 @@ def score(docs: DataFrame, divisor: int = 7, rest: int = 2, mu: float = MU, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     totals = _hot(rows, divisor, rest)
     hot = np.array(sorted(totals), np.uint64)
-    texts = grouped(docs, id_col, text_col)
+    texts = grouped(docs, id_col, text_col, GROUP)
     buckets = texts.groups
 
     def ask(table):

@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shorecover.llm import exchange, ngram_lm
+from shorecover.llm import ngram_lm
 from shorecover.llm.elias_fano import EliasFano
 
 
@@ -59,11 +59,11 @@ def test_against_brute_force(spark):
     rows += [(900, None), (901, ""), (None, rows[0][1]), (902, "Ä b\n" * 5000), (903, "never seen at all zzz"), (905, " x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as g")
     check(df, rows)
-    was, exchange.grouped.__defaults__ = exchange.grouped.__defaults__, ("doc_id", "text", 4000)
+    was, ngram_lm.GROUP = ngram_lm.GROUP, 4000
     try:
         check(df, rows)
     finally:
-        exchange.grouped.__defaults__ = was
+        ngram_lm.GROUP = was
     assert ngram_lm.score(df.limit(0)).count() == 0
 
 
