@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a group, about.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 Blobs = list[tuple[int, bytes]]
 

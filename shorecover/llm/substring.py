@@ -46,7 +46,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     table gives an empty result.
     """
     texts = grouped(docs, id_col, text_col)
-    buckets = 2 * texts.groups
+    buckets = texts.groups
 
     def hashed(table):
         runs, h, rows = _group_windows(table, size)
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     schema = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start: long, end: long>>"
-    return asked(texts, ask, answer, settle, schema, 2 * texts.groups)
+    return asked(texts, ask, answer, settle, schema, texts.partitions)
 
 
 def digest(found: DataFrame) -> DataFrame:
