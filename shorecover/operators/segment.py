@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,17 +35,18 @@ def predict_masks(slices: DataFrame, model_fn: Callable[[np.ndarray, np.ndarray]
     """slices: lab (array of L, a, b by pixel), water (array of 3); adds mask (array of 0 and 1). model_fn works on up to batch_size slices of one shape."""
     model = model_fn or color_mask()
 
-    def make():
-        def predict(lab: np.ndarray, water: np.ndarray) -> np.ndarray:
-            shapes = {len(x) for x in lab}
-            if len(shapes) == 1:
-                return model(np.stack(lab).astype(float), np.stack(water).astype(float)).astype(np.int32)
-            return np.array([model(np.asarray(x, float)[None], np.asarray(w, float)[None])[0].astype(np.int32) for x, w in zip(lab, water, strict=True)], object)
-
-        return predict
-
-    udf = predict_batch_udf(make, return_type=T.ArrayType(T.IntegerType()), batch_size=batch_size)
-    return slices.withColumn("mask", udf("lab", "water"))
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            masks = [None] * len(pdf)
+            for n in set(pdf["lab"].map(len)):
+                same = [k for k, lab in enumerate(pdf["lab"]) if len(lab) == n]
+                for at in (same[k : k + batch_size] for k in range(0, len(same), batch_size)):
+                    found = model(np.stack(pdf["lab"].iloc[at]).astype(float), np.stack(pdf["water"].iloc[at]).astype(float))
+                    for k, mask in zip(at, found, strict=True):
+                        masks[k] = mask.astype(np.int32)
+            yield pdf.assign(mask=masks)
+
+    return slices.mapInPandas(work, T.StructType([*slices.schema, T.StructField("mask", T.ArrayType(T.IntegerType()))]))
 
 
 def combine_routes(*routes: DataFrame) -> DataFrame:
