@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,37 @@ def disc_cell_area(cx: Column, cy: Column, x0: Column, y0: Column, x1: Column, y
     return _bound(F.struct((x0 - cx).alias("left"), (x1 - cx).alias("right"), (y0 - cy).alias("low"), (y1 - cy).alias("high")), within)
 
 
+def disc_cell_areas(left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, r: float = RADIUS) -> np.ndarray:
+    """The same for many cells at once, given relative to the centre: some sixty times as fast as the expression."""
+    at = math.pi * np.arange(STRIPS + 1) / STRIPS
+    x, y = -r * np.cos(at), r * np.sin(at)
+    xa, ya, slope = x[:-1], y[:-1], np.diff(y) / np.diff(x)
+    a, b = np.maximum(xa, left[:, None]), np.minimum(x[1:], right[:, None])
+    lo, hi = low[:, None], high[:, None]
+
+    def integral(t: np.ndarray) -> np.ndarray:
+        inside = np.clip(t, lo, hi)
+        return (inside * inside - lo * lo) / 2 + np.where(t < lo, lo * (t - lo), 0) + np.where(t > hi, hi * (t - hi), 0)
+
+    def mean(ta: np.ndarray, tb: np.ndarray) -> np.ndarray:
+        step = tb - ta
+        flat = np.abs(step) < 1e-12
+        return np.where(flat, np.clip(ta, lo, hi), (integral(tb) - integral(ta)) / np.where(flat, 1, step))
+
+    ta, tb = ya + slope * (a - xa), ya + slope * (b - xa)
+    return (np.maximum(b - a, 0) * (mean(ta, tb) - mean(-ta, -tb))).sum(1)
+
+
+def disc_cell_area_udf(r: float = RADIUS):
+    """disc_cell_areas as a function of the columns left, right, low, high; not repeated by the optimizer."""
+
+    @F.pandas_udf("double")
+    def area(left: pd.Series, right: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series(disc_cell_areas(*[c.to_numpy(float) for c in (left, right, low, high)], r))
+
+    return area.asNondeterministic()
+
+
 def _bound(value: Column, body) -> Column:
     """body(value) with value evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

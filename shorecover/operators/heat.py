@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import CELL, RADIUS, disc_cell_area
+from ..functions.geo import CELL, RADIUS, disc_cell_area_udf
 
 
 #: A common area up to this many square metres is rounding, not overlap.
@@ -46,7 +46,8 @@ def overlay(points: DataFrame, bounds: DataFrame, cell: float = CELL, r: float =
     at = lambda c, low, n, d: F.least(F.greatest(F.floor((F.col(c) + d - F.col(low)) / cell), F.lit(0)), F.col(n) - 1)
     rows = rows.withColumn("ix", F.explode(F.sequence(at("cx", "min_x", "nx", -r), at("cx", "min_x", "nx", r))))
     rows = rows.withColumn("iy", F.explode(F.sequence(at("cy", "min_y", "ny", -r), at("cy", "min_y", "ny", r))))
-    rows = _boxed(rows, cell).withColumn("area", disc_cell_area(F.col("cx"), F.col("cy"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), r))
+    rows = _boxed(rows, cell)
+    rows = rows.withColumn("area", disc_cell_area_udf(r)(F.col("x0") - F.col("cx"), F.col("x1") - F.col("cx"), F.col("y0") - F.col("cy"), F.col("y1") - F.col("cy")))
     return rows.where(F.col("area") > LEAST_AREA).drop("min_x", "min_y", "max_x", "max_y", "nx", "ny")
 
 
