@@ -3,6 +3,7 @@ Spark derives from the given tables (see fixtures). Doubles are rounded to 6 pla
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from .catalog_sql import SQL
 from .functions import color, geo, naming
 from .operators import cells, heat, masks, pixels, points, segment, slicing, survey
 from .plans import jobs
+from .session import shared_dir
 from .sources import rasters as raster_source
 from .sources import tables
+from .streaming.watch import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -482,3 +485,13 @@ def src_9_split_errors(spark, d):
     rows = fx.survey(spark, d).withColumn("error", F.when(F.col("latitude").isNull(), F.concat(F.lit("no position: "), "image_name")))
     ok, errors = tables.split_errors(rows)
     return ok.select("image_id", F.lit("ok").alias("state")).unionAll(errors.select("image_id", F.col("error").alias("state")))
+
+
+@_query
+def inc_1_watch(spark, d):
+    """The survey as a folder of files, worked off three at a time, then once more: nothing is done twice."""
+    base = f"{shared_dir(spark).rstrip('/')}/watch-{uuid.uuid4().hex}"
+    fx.survey(spark, d).select("image_name", "image_id").repartition(8).write.parquet(f"{base}/in")
+    for _ in range(2):
+        watch(spark, f"{base}/in", "image_name string, image_id long", f"{base}/out", f"{base}/state", lambda df: df, 3).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("image_name", "image_id")

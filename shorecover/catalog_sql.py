@@ -257,3 +257,4 @@ _sql("src_6_results_document", f"select image_name, image_id, {R('latitude', 'la
 _sql("src_7_write_results", "select image_id, image_name, coverage_percentage, coalesce(site_name, 'none') as site from survey left join (select image_id, site_name from located) using (image_id)")
 _sql("src_8_mask_bytes", "select image, y, x, case when m then 0 else 255 end as value from fine")
 _sql("src_9_split_errors", "select image_id, case when latitude is null then 'no position: ' || image_name else 'ok' end as state from survey")
+_sql("inc_1_watch", "select image_name, image_id from survey")
