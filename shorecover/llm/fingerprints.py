@@ -27,9 +27,9 @@ _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, where those of each text begin, and the end): every run of `size` words; the whole sequence of a shorter text."""
-    w = W.split(texts)
+def shingles(texts: pa.Array, size: int = SHINGLE, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, where those of each text begin, and the end): every run of `size` words; the whole sequence of a shorter text. lower: with A-Z in lower case."""
+    w = W.split(texts, lower)
     h = W.hashes(w)
     n = np.diff(w.first)
     _, long = W.windows(h, w.first, size)

@@ -156,21 +156,24 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     return classes(cut(fingerprints(docs, size, id_col, text_col)), radius)
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each component the row of the smallest id.
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component in found (doc_id, component_id).
 
     Rows that share an id are one document: one of them stays at most, that of the smallest hash
-    of its text. Rows with a null id take no part and stay. Five-word shingles; 4 of 64 bits stand
-    for a likeness of about 0.98, so all pairs that link are well beyond 0.8.
+    of its text. Rows with a null id take no part and stay.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    found = near_duplicates(named, size, radius, id_col, text_col)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = named.join(first, id_col, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    kept = docs.join(first, id_col, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return kept.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
 
 
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """first_rows() of the components within `radius` of 64 bits: near equal texts (4 bits stand for a likeness of about 0.98)."""
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), size, radius, id_col, text_col)
+    return first_rows(docs, found, id_col, text_col)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from shorecover.llm import decontamination, pii, simhash, toxicity
+from shorecover.llm import decontamination, near_copies, pii, toxicity
 
 DIR = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_against_plain_python(spark):
     model = toxicity.train(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
     worst = lambda t: model.scores(max(model.decisions(sorted(u)), default=model.bias) if (u := toxicity.units(t)) else model.bias)
     kept = [d for d in docs if worst(d[1]) < 0.7]
-    group = {i: c for i, _, c in simhash.brute_force([d[:2] for d in kept], 5)}
+    group = dict(near_copies.brute_force([d[:2] for d in kept]))
     kept = [d for d in kept if group[d[0]] == d[0]]
     bad = {r.doc_id for r in decontamination.leaks(spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long"), spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
     kept = [d for d in kept if d[0] not in bad]
