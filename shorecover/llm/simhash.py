@@ -162,10 +162,14 @@ def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     Rows that share an id are one document: one of them stays at most, that of the smallest hash
     of its text. Rows with a null id take no part and stay.
     """
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(copies, id_col, "left_anti")
+    # only rows with shared ids are sorted: a window over all would shuffle every text
+    shared = docs.groupBy(id_col).count().where("count > 1").select(id_col)
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = docs.join(first, id_col, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return kept.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+    one = kept.join(shared, id_col, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    alone = kept.join(shared, id_col, "left_anti")
+    return alone.select(*docs.columns).unionAll(one.select(*docs.columns)).unionAll(docs.where(F.col(id_col).isNull()))
 
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes; one longer text makes a run of its own.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
