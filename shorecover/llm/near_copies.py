@@ -9,10 +9,11 @@ share p of bits agree in a block with a probability (1-p)^width; as many blocks
 let a pair at LIMIT miss all of them with a probability of MISS (at 0.9: below 10^-4).
 
 The first 64 bits name a fingerprint: texts that agree in them are one class (a likeness of 0.9
-does so with a probability of 10^-3, unrelated texts never). All fingerprints that meet in a block
-are held against the smallest and the largest name there, by 64 bits first and all bits then; so
-a block of many copies costs two partial aggregates and a link for each, no pairs and no
-group in one task. Copies that miss each other there meet at other blocks or through others.
+does so with a probability of 10^-3, unrelated texts never). Each block is searched whole. In a
+block of at most SMALL fingerprints all pairs are held against each other, by 64 bits first and all
+bits then. A larger one is searched for a spanning forest by all bits, so many copies give a link
+each and no pairs. One beyond CROWD is cut into parts, and every two parts are searched as one, so
+no task holds more than two parts and no pair is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .tables import cut
 
 LANES, SIZE, LIKENESS, MISS = 16, 5, 0.8, 0.02
 BITS = 64 * LANES
+#: Up to SMALL fingerprints of a block are paired; more are searched, in parts of about CROWD.
+SMALL, CROWD = 16, 8192
 _SEEDS = np.random.default_rng(64).integers(1, 2**63, LANES, dtype=np.uint64)
 
 
@@ -86,6 +89,55 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LANES)
 
 
+def _pairs(k: np.ndarray, fp: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of one k, at most SMALL to a k, that differ in at most `near` of 64 bits. k is sorted."""
+    a, b = [fp[:0]], [fp[:0]]
+    for lag in range(1, SMALL):
+        same = np.flatnonzero(k[lag:] == k[:-lag])
+        if not len(same):
+            break
+        x, y = fp[same], fp[same + lag]
+        met = np.bitwise_count((x ^ y).view(np.uint64)) <= near
+        a.append(x[met])
+        b.append(y[met])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _forest(fp: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever is connected within `most` bits."""
+    heads, tails = [fp[:0]], [fp[:0]]
+    while len(fp):
+        queue, fp, wide = [(fp[0], wide[0])], fp[1:], wide[1:]
+        while queue and len(fp):
+            name, bits = queue.pop()
+            near = np.bitwise_count(wide ^ bits).sum(1, dtype=np.int64) <= most
+            if near.any():
+                heads.append(np.full(int(near.sum()), name))
+                tails.append(fp[near])
+                queue.extend(zip(fp[near], wide[near], strict=True))
+                fp, wide = fp[~near], wide[~near]
+    return np.concatenate(heads), np.concatenate(tails)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches sorted by their first column, dealt so that no value of it is in two tables."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy()
+        if rest and k[0] != rest[-1].column(0)[-1].as_py():
+            yield pa.Table.from_batches(rest)
+            rest = []
+        last = int(np.searchsorted(k, k[-1]))
+        if last:
+            yield pa.Table.from_batches([*rest, batch.slice(0, last)])
+            rest = []
+        rest.append(batch.slice(last))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def links(distinct: DataFrame, n: int, likeness: float = LIKENESS) -> DataFrame:
     """distinct: fp, wide (n rows, fp distinct). Columns a, b: verified links."""
     chosen, most = blocks(n, likeness), limit(likeness)
@@ -105,20 +157,48 @@ def links(distinct: DataFrame, n: int, likeness: float = LIKENESS) -> DataFrame:
                 fp = np.repeat(part.column(0).to_numpy(), len(chosen))
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(fp)], ["k", "fp"])
 
-    keyed = distinct.select("fp", "wide").mapInArrow(keys, "k long, fp long")
-    ends = keyed.groupBy("k").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    met = keyed.join(ends, "k").select("fp", F.explode(F.array("low", "high")).alias("hub")).where(F.col("fp") != F.col("hub"))
-    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= near)
-    pairs = met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """k, a, b: the pairs of small blocks, without k; each fingerprint of a larger block as a, without b."""
+        for table in _whole(batches):
+            k, fp = table["k"].to_numpy(), table["fp"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            sizes = np.diff(np.append(starts, len(k)))
+            small = np.repeat(sizes <= SMALL, sizes)
+            a, b = _pairs(k[small], fp[small], near)
+            k, fp = k[~small], fp[~small]
+            none = pa.nulls(len(a), pa.int64()), pa.nulls(len(fp), pa.int64())
+            yield pa.RecordBatch.from_arrays([none[0], pa.array(a), pa.array(b)], ["k", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), none[1]], ["k", "a", "b"])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            k, fp, wide = table["tile"].to_numpy(), table["fp"].to_numpy(), _matrix(table["wide"])
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            for s, e in zip(starts, np.append(starts[1:], len(k)), strict=True):
+                order = s + np.argsort(fp[s:e])
+                a, b = _forest(fp[order], wide[order], most)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             apart = np.bitwise_count(_matrix(batch.column(2)) ^ _matrix(batch.column(3))).sum(1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(apart <= most))
 
+    keyed = distinct.select("fp", "wide").mapInArrow(keys, "k long, fp long")
+    found = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(met, "k long, a long, b long"))
+    pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a = distinct.select(F.col("fp").alias("a"), F.col("wide").alias("wa"))
     b = distinct.select(F.col("fp").alias("b"), F.col("wide").alias("wb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(verified, "a long, b long")
+    near_pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(verified, "a long, b long")
+
+    crowded = found.where("b is null").select("k", F.col("a").alias("fp"))
+    parts = crowded.groupBy("k").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    own = crowded.join(parts, "k").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # each part meets every other one; a sole part meets itself
+    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other or parts = 1")
+    tiles = tiles.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp")
+    dealt = tiles.join(distinct.select("fp", "wide"), "fp").select("tile", "fp", "wide").repartition("tile").sortWithinPartitions("tile")
+    return near_pairs.unionAll(dealt.mapInArrow(searched, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, size: int = SIZE, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

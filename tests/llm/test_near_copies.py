@@ -70,3 +70,33 @@ def test_blocks_find_pairs_at_the_limit():
             bits[rng.choice(near_copies.BITS, apart, False)] = True
             found += bool((~bits[chosen].any(1)).any())
         assert found >= 0.95 * 300
+
+
+def _family(n, rng):
+    """Texts of a likeness of about 0.6 to each other, each with a copy of 0.9 or more."""
+    base = [rng.choice(WORDS) for _ in range(400)]
+    rows = []
+    for k in range(n):
+        text = list(base)
+        for at in range(0, 400, 40):
+            text[at : at + 6] = [rng.choice(WORDS) for _ in range(6)]
+        near = list(text)
+        near[200:206] = [rng.choice(WORDS) for _ in range(6)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
+    return rows
+
+
+def test_copies_within_a_family_of_likeness_below_the_limit(spark):
+    """Copies that are neither the smallest nor the largest of a crowded block meet; the family does not."""
+    rows = _family(400, random.Random(7))
+    words = [t.split() for _, t in rows[:4]]
+    assert 0.5 < _likeness(words[0], words[2]) < 0.65 and _likeness(words[0], words[1]) > 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(near_copies.brute_force(rows))
+    assert want == {i: i - i % 2 for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == want
+    was, near_copies.CROWD = near_copies.CROWD, 32
+    try:
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == want
+    finally:
+        near_copies.CROWD = was
