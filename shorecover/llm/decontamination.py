@@ -1,12 +1,13 @@
 """Benchmark decontamination by templates.
 
 Texts are brought to templates: numbers, names and units after numbers become typed slots,
-other words are compared in lower case without outer punctuation. Windows of WINDOW template
-words hash-join those of the benchmark; windows of a document and an item that lie on one
-diagonal are one passage. A passage counts if it covers MIN_WORDS words of the item (or
-MIN_SHARE of a shorter one) and its slots are consistent: one value of the item always stands
-for one value of the document and the other way round. So a question with other numbers or
-names is caught as well as a copy.
+other words are compared in lower case without outer punctuation. Windows of WINDOW words
+hash-join those of the benchmark, as templates and, whatever their slots, as they are; windows of
+a document and an item that lie on one diagonal are one passage. In it one value of the item
+stands for one value of the document (the most frequent, or else the first); slots of other
+values split the passage. A part counts if it covers MIN_WORDS words of the item (or MIN_SHARE
+of a shorter one); if the passage was split, its slots do not count as words. So a question
+with other numbers or names is caught as well as a copy.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 
 WINDOW, MIN_WORDS, MIN_SHARE = 8, 13, 0.8
-#: A window with fewer plain words is no evidence.
+#: A template window with fewer plain words is no evidence unless all its words are the item's own.
 MIN_PLAIN = 4
 #: Up to so many benchmark windows (8 bytes each) go to every task; more are joined by a shuffle.
 LOCAL_WINDOWS = 500_000
@@ -38,7 +39,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\""]] = True
-NUM, NAME, UNIT = np.uint64(0x1111), np.uint64(0x2222), np.uint64(0x3333)
+NUM, NAME, UNIT, TEMPLATE = np.uint64(0x1111), np.uint64(0x2222), np.uint64(0x3333), np.uint64(0x4444)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -77,9 +78,10 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def windows(texts: DataFrame, key: str, text_col: str, size: int, only: DataFrame | None = None) -> DataFrame:
-    """Columns key, pos, n, h, slots (array of the hashes of the slot words in the window); n: words of the text. only: (h), windows to keep.
+    """Columns key, pos, n, h, words (array of structs: own, the hash of each word in the window; slot); n: words of the text. only: (h), windows to keep.
 
-    A text of fewer than `size` words is one window.
+    Each window comes with the hash of its own words, and if it has slots and MIN_PLAIN plain
+    words once more with that of its template. A text of fewer than `size` words is one window.
     """
     local = None
     if only is not None:
@@ -94,25 +96,31 @@ def windows(texts: DataFrame, key: str, text_col: str, size: int, only: DataFram
             for row, part in W.runs(batch.column(1)):
                 words, own, slot, first = template(part)
                 n = np.diff(first)
-                at, h = W.windows(words, first, size)
-                for k in np.flatnonzero((n > 0) & (n < size)):
-                    at = np.append(at, first[k])
-                    h = np.append(h, W.windows(words, first[k : k + 2], int(n[k]))[1])
-                doc = np.searchsorted(first, at, "right") - 1
                 slots = np.concatenate(([0], np.cumsum(slot)))
-                ends = np.minimum(at + size, first[doc + 1])
-                keep = (ends - at) - (slots[ends] - slots[at]) >= np.minimum(MIN_PLAIN, ends - at)
-                if wanted is not None:
-                    found = np.searchsorted(wanted, h)
-                    keep &= (wanted[np.minimum(found, len(wanted) - 1)] == h) if len(wanted) else False
-                at, h, doc, ends = at[keep], h[keep], doc[keep], ends[keep]
-                own_slots = own[slot].view(np.int64)
-                values = [own_slots[slots[a] : slots[b]] for a, b in zip(at, ends, strict=True)]
-                ids = batch.column(0).take(pa.array(row + doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at - first[doc], pa.int64()), pa.array(n[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(values, pa.list_(pa.int64()))], [key, "pos", "n", "h", "slots"])
+                for kind in (own, words):
+                    at, h = W.windows(kind, first, size)
+                    for k in np.flatnonzero((n > 0) & (n < size)):
+                        at = np.append(at, first[k])
+                        h = np.append(h, W.windows(kind, first[k : k + 2], int(n[k]))[1])
+                    doc = np.searchsorted(first, at, "right") - 1
+                    ends = np.minimum(at + size, first[doc + 1])
+                    keep = np.ones(len(at), bool)
+                    if kind is words:
+                        h = W.mix(h ^ TEMPLATE)
+                        n_slots = slots[ends] - slots[at]
+                        keep = (n_slots > 0) & ((ends - at) - n_slots >= np.minimum(MIN_PLAIN, ends - at))
+                    if wanted is not None:
+                        found = np.searchsorted(wanted, h)
+                        keep &= (wanted[np.minimum(found, len(wanted) - 1)] == h) if len(wanted) else False
+                    at, h, doc, ends = at[keep], h[keep], doc[keep], ends[keep]
+                    each = np.concatenate([np.arange(0), *map(np.arange, at, ends)])
+                    values = pa.StructArray.from_arrays([pa.array(own[each].view(np.int64)), pa.array(slot[each])], ["own", "slot"])
+                    values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ends - at))), pa.int32()), values)
+                    ids = batch.column(0).take(pa.array(row + doc))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(at - first[doc], pa.int64()), pa.array(n[doc], pa.int64()), pa.array(h.view(np.int64)), values], [key, "pos", "n", "h", "words"])
 
     rows = texts.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col(key).isNotNull())
-    found = rows.mapInArrow(work, f"{key} long, pos long, n long, h long, slots array<long>")
+    found = rows.mapInArrow(work, f"{key} long, pos long, n long, h long, words array<struct<own:long,slot:boolean>>")
     return found if only is None or local is not None else found.join(only, "h", "left_semi")
 
 
@@ -124,27 +132,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_words:
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
-    item = windows(items, "item_id", "text", size).select("item_id", F.col("pos").alias("at"), F.col("n").alias("len"), "h", F.col("slots").alias("item_slots"))
+    item = windows(items, "item_id", "text", size).select("item_id", F.col("pos").alias("at"), F.col("n").alias("len"), "h", F.col("words").alias("item_words"))
     found = windows(docs, "doc_id", "text", size, item)
-    met = found.join(item, "h").where((F.col("len") >= size) | (F.col("len") == F.col("n"))).withColumn("diagonal", F.col("pos") - F.col("at")).where(F.size("slots") == F.size("item_slots"))
+    met = found.join(item, "h").where((F.col("len") >= size) | (F.col("len") == F.col("n"))).withColumn("diagonal", F.col("pos") - F.col("at")).where(F.size("words") == F.size("item_words"))
     passage = ["doc_id", "item_id", "diagonal"]
-    starts = met.select(*passage, "at", "len").distinct()
-    order = F.lag("at").over(_over(passage))
-    covered = starts.withColumn("gain", F.least(F.lit(size), F.coalesce(F.col("at") - order, F.lit(size)))).groupBy(*passage).agg(F.sum("gain").alias("n_words"), F.first("len").alias("len"))
-    covered = covered.withColumn("n_words", F.least("n_words", "len")).where((F.col("n_words") >= min_words) | (F.col("n_words") >= min_share * F.col("len")))
-    pairs = met.where(F.size("slots") > 0).select(*passage, F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).select(*passage, F.col("p.item_slots").alias("x"), F.col("p.slots").alias("y")).distinct()
-    slots = pairs.groupBy(*passage).agg(F.count("*").alias("n_slots"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"), F.bool_and(F.col("x") == F.col("y")).alias("exact"))
-    kept = covered.join(slots, passage, "left").where("n_slots is null or (n_slots = nx and n_slots = ny)")
-    kept = kept.select("doc_id", "item_id", "n_words", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("exact", F.lit(True)).alias("exact"))
+    each = met.select(*passage, "len", "at", F.posexplode(F.arrays_zip("item_words", "words")).alias("k", "p"))
+    each = each.select(*passage, "len", (F.col("at") + F.col("k")).alias("at"), F.col("p.item_words.slot").alias("slot"), F.col("p.item_words.own").alias("x"), F.col("p.words.own").alias("y"))
+    each = each.repartition(*passage).groupBy(*passage, "at", "x", "y").agg(F.first("len").alias("len"), F.bool_or("slot").alias("slot"))
+    alike = Window.partitionBy(*passage, "slot", "x", "y")
+    each = each.withColumn("often", F.count("*").over(alike)).withColumn("since", F.min("at").over(alike))
+    usual = F.first("y").over(Window.partitionBy(*passage, "slot", "x").orderBy(F.desc("often"), "since", "y"))
+    each = each.withColumn("odd", (F.col("y") != usual).cast("int"))
+    each = each.withColumn("part", F.sum("odd").over(Window.partitionBy(*passage).orderBy("at"))).withColumn("split", F.max("odd").over(Window.partitionBy(*passage)))
+    parts = each.where("odd = 0").groupBy(*passage, "part").agg(
+        F.count_distinct("at").alias("n_words"),
+        F.count_distinct(F.when(~F.col("slot"), F.col("at"))).alias("n_plain"),
+        F.count_distinct(F.when(F.col("slot"), F.struct("x", "y"))).alias("n_slots"),
+        F.bool_and(F.col("x") == F.col("y")).alias("exact"),
+        F.max("split").alias("split"),
+        F.first("len").alias("len"),
+    )
+    counted = F.when(F.col("split") == 1, F.col("n_plain")).otherwise(F.col("n_words"))
+    kept = parts.where((counted >= min_words) | (counted >= min_share * F.col("len")))
     return kept.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("n_slots").alias("n_slots"), F.max("exact").alias("exact"))
 
 
-def _over(passage: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*passage).orderBy("at")
-
-
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that leak no item."""
     found = leaks(docs, benchmark, id_col=id_col, item_col=item_col, text_col=text_col).select(F.col("doc_id").alias(id_col)).distinct()

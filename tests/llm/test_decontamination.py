@@ -60,3 +60,27 @@ def test_exact_passages_by_brute_force(spark):
                 out |= {(r.doc_id, i) for i in grams.get((size, tuple(w[k : k + size])), ())}
     got = {(r.doc_id, r.item_id) for r in D.leaks(d, b).collect()}
     assert sure <= got <= maybe and len(sure) > 3
+
+
+LONG = "A farmer named Peter keeps 30 hens and sells the eggs every morning at the market in the old town where his sister runs a small stall and each week Peter puts 30 coins aside because he wants to buy a second barn before the cold winter comes and the hens need more room"
+DENSE = "On Monday Alice Brown met Carl Davis and Emma Fox at 10 12 14 16 18 20 22 24 26 28 in Paris"
+PAIR = "The shop sells 3 red kites and 5 blue kites to the children who play on the wide green field"
+
+
+def test_parts_and_low_plain_copies(spark):
+    """What is word for word leaks beside a changed slot, in capitals and among numbers; two values may become one."""
+    items = [(1, LONG), (2, DENSE), (3, PAIR)]
+    rows = [
+        (20, FILL + LONG.replace("week Peter", "week Karl") + " " + FILL),
+        (21, FILL + LONG.replace("puts 30", "puts 31") + " " + FILL),
+        (22, FILL + LONG.upper() + " " + FILL),
+        (23, FILL + LONG.title() + " " + FILL),
+        (24, FILL + DENSE + " " + FILL),
+        (25, FILL + PAIR.replace("3", "4").replace("5", "4") + " " + FILL),
+        (26, FILL + DENSE.replace("1", "3").replace("2", "5") + " " + FILL),
+        (27, FILL * 9),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in D.leaks(d, b).collect()}
+    assert got == {(20, 1): True, (21, 1): True, (22, 1): True, (23, 1): True, (24, 2): True, (25, 3): False}
