@@ -3,7 +3,6 @@ Spark derives from the given tables (see fixtures). Doubles are rounded to 6 pla
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from .catalog_sql import SQL
 from .functions import color, geo, naming
 from .operators import cells, heat, masks, pixels, points, segment, slicing, survey
 from .plans import jobs
-from .session import shared_dir
+from .session import temporary
 from .sources import rasters as raster_source
 from .sources import tables
 from .streaming.watch import watch
@@ -72,6 +71,12 @@ def coverage_job(spark, d):
     return jobs.coverage(fx.lab(spark, d), fx.SLICE, 64, fx.OVERLAP, fx.CELL, fx.KERNEL, uniform_std=4.0, threshold_max=10.0, num_points=3, seed=fx.SEED)
 
 
+@_query
+def coverage_options(spark, d):
+    """The job with its options: padded slices, cells not judged, no erosion and no colour check."""
+    return jobs.coverage(fx.lab(spark, d), fx.SLICE, 64, fx.OVERLAP, fx.CELL, erosion=False, validation=False, threshold=14, threshold_max=9.0, num_points=60, padding=2, uniformity=False, brightness=38.0, max_distance=22.0)
+
+
 @_query
 def prj_1_location(spark, d):
     return naming.with_location(fx.survey(spark, d)).select("image_id", "location")
@@ -238,6 +243,13 @@ def agg_6_fallback(spark, d):
     return cells.slice_fallback(fx.sliced(spark, d), 46.0, 12.0)
 
 
+@_query
+def agg_6_fallback_padded(spark, d):
+    px = fx.lab(spark, d)
+    rows = slicing.assign_slices(px, pixels.image_sizes(px), fx.SLICE, fx.OVERLAP, 2)
+    return cells.slice_fallback(slicing.with_border(rows, 2), 38.0, 22.0)
+
+
 @_query
 def agg_7_or_merge(spark, d):
     return fx.fine(spark, d)
@@ -279,8 +291,8 @@ def agg_12_diagnostics(spark, d):
 @_query
 def agg_13_merge_report(spark, d):
     fine, coarse = fx.fine(spark, d), fx.coarse(spark, d)
-    eroded = masks.erode(fine, fx.KERNEL)
-    return masks.merge_report(masks.merge_passes(eroded, coarse, fx.lab(spark, d), 6, 75.0), fine, coarse, eroded)
+    eroded = masks.erode(coarse, fx.KERNEL)
+    return masks.merge_report(masks.merge_passes(fine, eroded, fx.lab(spark, d), 6, 75.0), fine, coarse, eroded)
 
 
 @_query
@@ -449,9 +461,24 @@ def src_1_read_survey(spark, d):
     return tables.read_survey(spark, tables.write_survey_csv(fx.survey(spark, d))).selectExpr("`$id` as image_id", "`$name` as image_name", "latitude", "longitude")
 
 
+def _image_files(spark, d):
+    """The derived rasters written as image files by the tasks; gives the folder."""
+    path = temporary(spark, "images")
+    rows = raster_source.pack_rasters(fx.rasters(spark, d))
+    raster_source.write_images(rows.withColumn("image", F.concat(F.lit("image_"), "image")), path).write.format("noop").mode("overwrite").save()
+    return path
+
+
 @_query
 def src_2_list_images(spark, d):
-    return tables.list_images(spark, d, (".parquet",)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return tables.list_images(spark, _image_files(spark, d), (".jpg", ".PNG")).select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("full"))
+
+
+@_query
+def src_3_read_rasters(spark, d):
+    """The rasters as image files, decoded again."""
+    read = raster_source.read_rasters(spark, _image_files(spark, d))
+    return raster_source.explode_pixels(read.withColumn("image", F.regexp_extract("image", "image_([0-9]+)", 1).cast("int")))
 
 
 @_query
@@ -466,7 +493,7 @@ def src_5_site_colors(spark, d):
 
 @_query
 def src_6_results_document(spark, d):
-    return tables.read_results(spark, tables.write_documents(survey.result_rows(fx.survey(spark, d)), "analyze", {"slice_size": "1024"}))
+    return tables.read_results(spark, tables.write_documents(survey.result_rows(fx.survey(spark, d)), "analyze", {"slice_size": "1024"}), multi_line=False)
 
 
 @_query
@@ -480,6 +507,11 @@ def src_8_mask_bytes(spark, d):
     return masks.mask_to_bytes(fx.fine(spark, d)).select("image", "y", "x", "value")
 
 
+@_query
+def src_8_write_masks(spark, d):
+    return raster_source.read_masks(spark, raster_source.write_masks(fx.fine(spark, d), temporary(spark, "masks")))
+
+
 @_query
 def src_9_split_errors(spark, d):
     rows = fx.survey(spark, d).withColumn("error", F.when(F.col("latitude").isNull(), F.concat(F.lit("no position: "), "image_name")))
@@ -490,7 +522,7 @@ def src_9_split_errors(spark, d):
 @_query
 def inc_1_watch(spark, d):
     """The survey as a folder of files, worked off three at a time, then once more: nothing is done twice."""
-    base = f"{shared_dir(spark).rstrip('/')}/watch-{uuid.uuid4().hex}"
+    base = temporary(spark, "watch")
     fx.survey(spark, d).select("image_name", "image_id").repartition(8).write.parquet(f"{base}/in")
     for _ in range(2):
         watch(spark, f"{base}/in", "image_name string, image_id long", f"{base}/out", f"{base}/state", lambda df: df, 3).awaitTermination()

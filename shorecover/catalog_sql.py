@@ -88,14 +88,16 @@ S.add("fine", "select image, y, x, coalesce(bool_or(m), false) as m from px left
 S.add("coarse", "select image, y, x, dist <= 14 as m from dist")
 S.add("eroded", f"select a.image, a.y, a.x, bool_or(b.m) as m from fine a join fine b on a.image = b.image and abs(a.y-b.y) <= {KERNEL // 2} and abs(a.x-b.x) <= {KERNEL // 2} group by 1, 2, 3")
 
+S.add("ceroded", f"select a.image, a.y, a.x, bool_or(b.m) as m from coarse a join coarse b on a.image = b.image and abs(a.y-b.y) <= {KERNEL // 2} and abs(a.x-b.x) <= {KERNEL // 2} group by 1, 2, 3")
 
-def _passes(fine: str) -> str:
+
+def _passes(coarse: str) -> str:
     return f"""select f.image, f.y, f.x, not f.m and not c.m as agreed, f.m <> c.m as disputed, f.m <> c.m and cl < 75 and sqrt(power(ca+14e0,2)+power(cb+10.7e0,2)) > 6 as validated
-from {fine} f join coarse c using (image, y, x) join lab using (image, y, x)"""
+from fine f join {coarse} c using (image, y, x) join lab using (image, y, x)"""
 
 
-S.add("merged", _passes("fine"))
-S.add("emerged", _passes("eroded"))
+S.add("merged", _passes("coarse"))
+S.add("emerged", _passes("ceroded"))
 S.add("points", "select *, 6378137e0*radians(-abs(longitude)) as cx, 6378137e0*ln(tan(pi()/4+radians(latitude)/2)) as cy from survey where latitude is not null")
 S.add("bounds", "select *, cast(ceil((max_x-min_x)/30) as bigint) as nx, cast(ceil((max_y-min_y)/30) as bigint) as ny from (select min(cx)-18 as min_x, min(cy)-18 as min_y, max(cx)+18 as max_x, max(cy)+18 as max_y from points)")
 
@@ -197,8 +199,8 @@ from (select image, slice_id, count(*) as n_cells, count_if(valid) as n_green, c
 _sql(
     "agg_13_merge_report",
     f"""select image, cast(n_disputed as bigint) as n_disputed, cast(n_validated as bigint) as n_validated, cast(n_kelp as bigint) as n_kelp, cast(n_before as bigint) as n_before, cast(n_after as bigint) as n_after, {R('fine_coverage', 'fine_coverage')}, {R('coarse_coverage', 'coarse_coverage')} from
- (select image, count_if(disputed) as n_disputed, count_if(validated) as n_validated, count_if(agreed or validated) as n_kelp from emerged group by 1) join (select image, count_if(not m) as n_before, count_if(not m)*100e0/count(*) as fine_coverage from fine group by 1) using (image)
- join (select image, count_if(not m) as n_after from eroded group by 1) using (image) join (select image, count_if(not m)*100e0/count(*) as coarse_coverage from coarse group by 1) using (image)""",
+ (select image, count_if(disputed) as n_disputed, count_if(validated) as n_validated, count_if(agreed or validated) as n_kelp from emerged group by 1) join (select image, count_if(not m)*100e0/count(*) as fine_coverage from fine group by 1) using (image)
+ join (select image, count_if(not m) as n_after from ceroded group by 1) using (image) join (select image, count_if(not m) as n_before, count_if(not m)*100e0/count(*) as coarse_coverage from coarse group by 1) using (image)""",
 )
 _sql("win_1_slice_per_location", "select image_id, location from located qualify row_number() over (partition by location order by image_id) > 2 and row_number() over (partition by location order by image_id) <= count(*) over (partition by location) - 3")
 _sql("win_2_sample_per_location", f"select image_id, location from located qualify row_number() over (partition by location order by md5(concat_ws('|', '{SEED}', image_id)), image_id) <= 20")
@@ -251,10 +253,65 @@ _sql("udf_1_routes", "select image, slice_id, route from routes")
 _sql("udf_2_predict_masks", "select image, cast(count_if(dist <= 14) as bigint) as n_water from dist group by 1")
 _sql("set_1_combine_routes", "select s.image, s.slice_id, y, x, case route when 'shortcut' then true when 'fallback' then all_water else dist <= 8 end as is_water from sliced s join routes r on s.image = r.image and s.slice_id = r.slice_id")
 _sql("src_1_read_survey", f"select image_id, image_name, {R('latitude', 'latitude')}, {R('longitude', 'longitude')} from survey")
+_sql("src_2_list_images", "select distinct 'image_' || image || '.png' as name, true as full from px")
+_sql("src_3_read_rasters", "select image, y, x, r, g, b from px")
 _sql("src_4_explode_pixels", "select image, y, x, r, g, b from px")
 _sql("src_5_site_colors", "select location, cl as \"L\", ca as \"A\", cb as \"B\" from colors")
 _sql("src_6_results_document", f"select image_name, image_id, {R('latitude', 'latitude')}, {R('longitude', 'longitude')}, coverage_percentage from survey")
 _sql("src_7_write_results", "select image_id, image_name, coverage_percentage, coalesce(site_name, 'none') as site from survey left join (select image_id, site_name from located) using (image_id)")
 _sql("src_8_mask_bytes", "select image, y, x, case when m then 0 else 255 end as value from fine")
+_sql("src_8_write_masks", "select image, y, x, case when m then 0 else 255 end as value from fine")
 _sql("src_9_split_errors", "select image_id, case when latitude is null then 'no position: ' || image_name else 'ok' end as state from survey")
 _sql("inc_1_watch", "select image_name, image_id from survey")
+
+
+def _job_pass(name: str, size: int, merge: str) -> None:
+    """One pass of the coverage job by its rules: slices, cells, routes, masks, merging. Slices of a size that the rasters don't pass are one a raster."""
+    step = size - int(0.2 * size)
+    S.add(f"{name}_plan", f"select image, slice_id, x0, y0, least(x0+{size}, w) as x1, least(y0+{size}, h) as y1 from ({_plan(size, step)})")
+    S.add(f"{name}_px", f"select dist.*, slice_id, x0, y0, x1, y1 from dist join {name}_plan p on dist.image = p.image and x >= x0 and x < x1 and y >= y0 and y < y1")
+    S.add(
+        f"{name}_cells",
+        f"""select image, slice_id, cy, cx, sd <= 4 as u, away <= 10 as wt from (select *, {DIST.format('ml', 'ma', 'mb')} as away from
+ (select image, slice_id, (y-y0)//{CELL} as cy, (x-x0)//{CELL} as cx, avg(cl) as ml, avg(ca) as ma, avg(cb) as mb, sqrt(greatest(0, avg(cl*cl)-avg(cl)*avg(cl))) as sd from {name}_px
+  where (y-y0)//{CELL} < (y1-y0)//{CELL} and (x-x0)//{CELL} < (x1-x0)//{CELL} group by 1, 2, 3, 4))""",
+    )
+    S.add(f"{name}_short", f"select image, slice_id, avg(cast(u as int)) >= 0.98 and avg(cast(wt as int)) >= 0.98 as short from {name}_cells group by 1, 2")
+    S.add(
+        f"{name}_found",
+        f"""select k.image, k.slice_id, count(*) as n from (select image, slice_id, ((y-y0)*((y1-y0)//{CELL}))//(y1-y0) as cy, ((x-x0)*((x1-x0)//{CELL}))//(x1-x0) as cx from {name}_px) k
+ join {name}_cells c on k.image = c.image and k.slice_id = c.slice_id and k.cy = c.cy and k.cx = c.cx where u and wt group by 1, 2""",
+    )
+    S.add(f"{name}_dark", f"select image, slice_id, avg(cl) > 100 and avg(dist) < 55 as all_water from {name}_px group by 1, 2")
+    S.add(
+        f"{name}_mask",
+        f"""select image, y, x, {merge}(case when short then true when coalesce(n, 0) < 3 then all_water else dist <= 20 end) as m from {name}_px
+ left join {name}_short using (image, slice_id) left join {name}_found using (image, slice_id) left join {name}_dark using (image, slice_id) group by 1, 2, 3""",
+    )
+
+
+_job_pass("jobfine", SLICE, "bool_or")
+_job_pass("jobcoarse", 64, "bool_and")
+S.add("jobshrunk", f"select a.image, a.y, a.x, bool_or(b.m) as m from jobcoarse_mask a join jobcoarse_mask b on a.image = b.image and abs(a.y-b.y) <= {KERNEL // 2} and abs(a.x-b.x) <= {KERNEL // 2} group by 1, 2, 3")
+_sql(
+    "coverage_job",
+    f"""select image, {R('count_if(kelp)*100e0/count(*)', 'coverage_percentage')} from (select f.image, case when f.m = c.m then not f.m else cl < 75 and sqrt(power(ca+14e0,2)+power(cb+10.7e0,2)) > 15 end as kelp
+ from jobfine_mask f join jobshrunk c using (image, y, x) join lab using (image, y, x)) group by 1""",
+)
+
+
+def _option_pass(name: str, size: int, merge: str) -> None:
+    """The same with a border of two black pixels a slice, and candidates by pixel."""
+    content = size - 4
+    S.add(f"{name}_plan", f"select image, slice_id, x0, y0, least(x0+{content}, w) as x1, least(y0+{content}, h) as y1 from ({_plan(content, content - int(0.2 * content))})")
+    S.add(f"{name}_px", f"select dist.*, slice_id, x0, y0, x1, y1 from dist join {name}_plan p on dist.image = p.image and x >= x0 and x < x1 and y >= y0 and y < y1")
+    area = "((any_value(y1)-any_value(y0)+4)*(any_value(x1)-any_value(x0)+4))"
+    black = "sqrt(47.25e0*47.25e0+14e0*14e0+10.7e0*10.7e0)"
+    S.add(f"{name}_flags", f"select image, slice_id, count_if(dist <= 9) as n, sum(cl)/{area} as mean_l, (sum(dist)+({area}-count(*))*{black})/{area} as mean_distance from {name}_px group by 1, 2")
+    S.add(f"{name}_mask", f"select image, y, x, {merge}(case when n < 60 then mean_l > 38 and mean_distance < 22 else dist <= 14 end) as m from {name}_px join {name}_flags using (image, slice_id) group by 1, 2, 3")
+
+
+_option_pass("optfine", SLICE, "bool_or")
+_option_pass("optcoarse", 64, "bool_and")
+_sql("coverage_options", f"select image, {R('count_if(not f.m and not c.m)*100e0/count(*)', 'coverage_percentage')} from optfine_mask f join optcoarse_mask c using (image, y, x) group by 1")
+_sql("agg_6_fallback_padded", f"select image, slice_id, {R('mean_l', 'mean_l')}, {R('mean_distance', 'mean_distance')}, mean_l > 38 and mean_distance < 22 as all_water from optfine_flags")

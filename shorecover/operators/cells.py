@@ -51,6 +51,12 @@ def candidate_pixels(rows: DataFrame, cells: DataFrame, grid_size: int = 64) ->
     return keyed.join(valid, [*SLICE, "cy", "cx"], "left_semi").select(*SLICE, "sy", "sx", "h", "w", "cy", "cx")
 
 
+def pixel_candidates(rows: DataFrame, threshold: float = 20) -> DataFrame:
+    """Pixels within the threshold of the water colour: the candidates where cells are not judged."""
+    keyed = rows.where(distance() <= threshold).withColumns({"sy": F.col("y") - F.col("y0"), "sx": F.col("x") - F.col("x0"), "h": F.col("y1") - F.col("y0"), "w": F.col("x1") - F.col("x0")})
+    return keyed.select(*SLICE, "sy", "sx", "h", "w")
+
+
 def slice_diagnostics(cells: DataFrame, candidates: DataFrame, filtered: DataFrame, points: DataFrame, threshold: float = 20) -> DataFrame:
     """Per slice: cells by category, candidates, candidates left one a cell, points, and the threshold used (null without candidates)."""
     count = lambda name: F.count_if(F.col("category") == name).alias(f"n_{name}")

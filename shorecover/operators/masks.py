@@ -56,11 +56,11 @@ def merge_passes(fine: DataFrame, coarse: DataFrame, lab: DataFrame | None = Non
     return rows.select(*PIXEL, "agreed", "disputed", validated.alias("validated"), (~(F.col("agreed") | validated)).alias("is_water"))
 
 
-def merge_report(merged: DataFrame, fine: DataFrame, coarse: DataFrame, fine_eroded: DataFrame) -> DataFrame:
-    """Per image: disputed pixels, those validated, kelp in all, kelp of the fine pass before and after erosion, coverage of both passes."""
+def merge_report(merged: DataFrame, fine: DataFrame, coarse: DataFrame, coarse_eroded: DataFrame) -> DataFrame:
+    """Per image: disputed pixels, those validated, kelp in all, kelp of the coarse pass before and after erosion, coverage of both passes."""
     total = merged.groupBy(IMAGE).agg(F.count_if("disputed").alias("n_disputed"), F.count_if("validated").alias("n_validated"), F.count_if(~F.col("is_water")).alias("n_kelp"))
     kelp = lambda m, name: m.groupBy(IMAGE).agg(F.count_if(~F.col("is_water")).alias(name))
-    out = total.join(kelp(fine, "n_before"), IMAGE).join(kelp(fine_eroded, "n_after"), IMAGE)
+    out = total.join(kelp(coarse, "n_before"), IMAGE).join(kelp(coarse_eroded, "n_after"), IMAGE)
     for m, name in ((fine, "fine_coverage"), (coarse, "coarse_coverage")):
         out = out.join(coverage(m).withColumnRenamed("coverage_percentage", name), IMAGE)
     return out

@@ -16,7 +16,7 @@ def image_sizes(pixels: DataFrame) -> DataFrame:
 
 
 def sample_pixels(pixels: DataFrame, n: int = 50_000, seed: int = 0) -> DataFrame:
-    """At most n pixels of each image, without repeats. For stored rasters, blocks.sample does it before pixels are rows."""
+    """At most n pixels of each image, without repeats. For stored rasters, blocks.sample_colors does it before pixels are rows."""
     order = Window.partitionBy(IMAGE).orderBy(order_hash(seed, IMAGE, "y", "x"), "y", "x")
     return pixels.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 

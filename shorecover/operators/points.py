@@ -46,33 +46,38 @@ def choose_points(points: DataFrame, strategy: str = "random", num_points: int =
 
 
 def poisson_disk(points: DataFrame, num_points: int = 3, seed: int = 0, slice_size: int = 1024, tries: int = 30) -> DataFrame:
-    """Points at least slice_size * sqrt(2) / (2 n) apart: a random first one, then up to `tries` random candidates for each further one.
+    """Of n = min(num_points, candidates) points, those that lie at least slice_size * sqrt(2) / (2 n) apart: a random first one, then up to `tries` random candidates for each further one.
 
-    May give fewer. Slices of fewer candidates than num_points keep all. Input has one point a cell, so a group is small.
+    May give fewer than n, also in a slice of few candidates. Input has one point a cell, so a group is small.
     """
-    least = slice_size**2 * 2 / (num_points**2 * 4)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sy", "sx"], ignore_index=True)
-        if len(pdf) > num_points:
-            rng = np.random.default_rng([seed, *str(pdf.iloc[0][SLICE[0]]).encode(), int(pdf.iloc[0]["slice_id"])])
-            at = pdf[["sy", "sx"]].to_numpy(float)
-            chosen = [int(rng.integers(len(at)))]
-            while len(chosen) < num_points:
-                for k in rng.integers(0, len(at), tries):
-                    if ((at[chosen] - at[k]) ** 2).sum(1).min() > least:
-                        chosen.append(int(k))
-                        break
-                else:
-                    break
-            pdf = pdf.iloc[chosen]
-        return pdf.rename(columns={"sx": "x", "sy": "y"})[[*SLICE, "x", "y"]]
+        rng = np.random.default_rng([seed, *str(pdf.iloc[0][SLICE[0]]).encode(), int(pdf.iloc[0]["slice_id"])])
+        chosen = apart(pdf[["sy", "sx"]].to_numpy(float), num_points, slice_size, rng, tries)
+        return pdf.iloc[chosen].rename(columns={"sx": "x", "sy": "y"})[[*SLICE, "x", "y"]]
 
     rows = points.select(*SLICE, "sy", "sx")
     kinds = dict(rows.dtypes)
     return rows.groupBy(*SLICE).applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in SLICE) + f", x {kinds['sx']}, y {kinds['sy']}")
 
 
+def apart(at: np.ndarray, num_points: int, slice_size: int, rng: np.random.Generator, tries: int = 30) -> list[int]:
+    """The indexes of the points chosen of at (y, x) by the rule of poisson_disk()."""
+    n = min(num_points, len(at))
+    if not n:
+        return []
+    least = slice_size**2 * 2 / (n**2 * 4)
+    chosen = [int(rng.integers(len(at)))]
+    while len(chosen) < n:
+        drawn = rng.integers(0, len(at), tries)
+        far = (((at[drawn][:, None] - at[chosen]) ** 2).sum(2) > least).all(1)
+        if not far.any():
+            break
+        chosen.append(int(drawn[far.argmax()]))
+    return chosen
+
+
 def sample_per_cell(candidates: DataFrame, cells: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
     """Up to n candidates of each valid cell (cy, cx)."""
     valid = cells.where("is_valid").select(*SLICE, "cy", "cx")

@@ -21,18 +21,25 @@ def route_slices(slices: DataFrame, shortcuts: DataFrame, points: DataFrame, fal
     return rows.withColumns({"route": route, "all_water": F.coalesce("all_water", F.lit(False))}).drop("shortcut")
 
 
-def color_mask(threshold: float = 20.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """The model that ships: water is what lies within the threshold of the water colour. lab[N, pixels * 3], water[N, 3] -> bool[N, pixels]."""
+#: lab[N, pixels * 3], water[N, 3], prompt points (x, y) of each slice -> water bool[N, pixels].
+Model = Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray]
 
-    def model(lab: np.ndarray, water: np.ndarray) -> np.ndarray:
+
+def color_mask(threshold: float = 20.0) -> Model:
+    """The model that ships: water is what lies within the threshold of the water colour; it needs no points."""
+
+    def model(lab: np.ndarray, water: np.ndarray, points: list[np.ndarray]) -> np.ndarray:
         away = lab.reshape(len(lab), -1, 3) - water[:, None, :]
         return np.sqrt((away**2).sum(-1)) <= threshold
 
     return model
 
 
-def predict_masks(slices: DataFrame, model_fn: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, batch_size: int = 32) -> DataFrame:
-    """slices: lab (array of L, a, b by pixel), water (array of 3); adds mask (array of 0 and 1). model_fn works on up to batch_size slices of one shape."""
+def predict_masks(slices: DataFrame, model_fn: Model | None = None, batch_size: int = 32) -> DataFrame:
+    """slices: lab (array of L, a, b by pixel), water (array of 3), perhaps points (array of x, y, x, y ...); adds mask (array of 0 and 1).
+
+    model_fn works on up to batch_size slices of one shape; slices without points get an empty list of them.
+    """
     model = model_fn or color_mask()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +48,9 @@ def predict_masks(slices: DataFrame, model_fn: Callable[[np.ndarray, np.ndarray]
             for n in set(pdf["lab"].map(len)):
                 same = [k for k, lab in enumerate(pdf["lab"]) if len(lab) == n]
                 for at in (same[k : k + batch_size] for k in range(0, len(same), batch_size)):
-                    found = model(np.stack(pdf["lab"].iloc[at]).astype(float), np.stack(pdf["water"].iloc[at]).astype(float))
+                    given = [pdf["points"].iloc[k] if "points" in pdf else None for k in at]
+                    prompts = [np.array([] if p is None else p, np.int64).reshape(-1, 2) for p in given]
+                    found = model(np.stack(pdf["lab"].iloc[at]).astype(float), np.stack(pdf["water"].iloc[at]).astype(float), prompts)
                     for k, mask in zip(at, found, strict=True):
                         masks[k] = mask.astype(np.int32)
             yield pdf.assign(mask=masks)

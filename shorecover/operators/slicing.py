@@ -61,6 +61,20 @@ def pad_slices(rows: DataFrame, padding: int) -> DataFrame:
     return inner.unionByName(border.where(~inside).select(IMAGE, "slice_id", "sy", "sx", *green))
 
 
+def with_border(rows: DataFrame, padding: int) -> DataFrame:
+    """Pixels of slices (with L, a, b_ and water colour) and their border of zeros: y0, x0, y1, x1 grow by the padding."""
+    if not padding:
+        return rows
+    grown = rows.withColumns({"y0": F.col("y0") - padding, "x0": F.col("x0") - padding, "y1": F.col("y1") + padding, "x1": F.col("x1") + padding})
+    kept = ["water_l", "water_a", "water_b"]
+    frames = grown.groupBy(IMAGE, "slice_id", "y0", "x0", "y1", "x1").agg(*[F.first(c).alias(c) for c in kept])
+    every = frames.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
+    inside = F.expr(f"y >= y0 + {padding} and y < y1 - {padding} and x >= x0 + {padding} and x < x1 - {padding}")
+    border = every.where(~inside).withColumns({c: F.lit(0.0) for c in ("L", "a", "b_")})
+    columns = [IMAGE, "slice_id", "y", "x", "y0", "x0", "y1", "x1", "L", "a", "b_", *kept]
+    return grown.select(*columns).unionByName(border.select(*columns))
+
+
 def unpad_masks(masks: DataFrame, slices: DataFrame, padding: int) -> DataFrame:
     """Masks in padded slice coordinates (sy, sx) to image coordinates, without the border."""
     rows = masks.join(slices, [IMAGE, "slice_id"]).withColumns({"y": F.col("y0") + F.col("sy") - padding, "x": F.col("x0") + F.col("sx") - padding})

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import color, geo
-from ..operators import cells, heat, masks, pixels, points, segment, slicing
+from .. import blocks
+from ..functions import color, geo, naming
+from ..operators import cells, heat, masks, pixels, points, segment, slicing, survey
+from ..session import cut
+from ..sources import tables
 
 
 def calibrate(samples: DataFrame) -> DataFrame:
@@ -23,34 +26,81 @@ def heatmap(results: DataFrame, cell: float = geo.CELL, by: tuple[str, ...] = ()
     return heat.weighted_grid(heat.overlay(p, heat.total_bounds(p, by=by), cell, by=by), by=by)
 
 
-def _prompted(px: DataFrame, size: int, overlap: float, grid: int, uniform_std: float, threshold_max: float, num_points: int, seed: int):
+def _prompted(px: DataFrame, size: int, overlap: float, grid: int, uniform_std: float, threshold_max: float, num_points: int, seed: int, padding: int = 0, uniformity: bool = True):
+    """Pixels of slices, flagged cells and what is left to choose from are written tables, as several steps read them: (image sizes, slice pixels, the same with their border, flagged cells, candidates, candidates left to choose from)."""
     sizes = pixels.image_sizes(px)
-    rows = slicing.assign_slices(px, sizes, size, overlap)
+    rows = cut(slicing.assign_slices(px, sizes, size, overlap, padding))
+    padded = cut(slicing.with_border(rows, padding)) if padding else rows
     water = px.groupBy("image").agg(*[F.first(c).alias(c) for c in ("water_l", "water_a", "water_b")])
-    flagged = cells.cell_flags(cells.cell_stats(rows, grid).join(water, "image"), uniform_std, threshold_max)
-    found = cells.candidate_pixels(rows, flagged, grid)
-    kept = points.require_points(points.one_per_cell(found, grid, seed), found, num_points)
-    return sizes, rows, flagged, found, kept
-
-
-def one_pass(px: DataFrame, size: int, overlap: float, grid: int, logic: str, uniform_std: float = 4.0, threshold_max: float = 20, threshold: float = 20, num_points: int = 3, seed: int = 0) -> DataFrame:
-    """The water mask of one pass: slices are routed, masked (the model is the colour test) and merged. px has L, a, b_ and the water colour."""
-    sizes, rows, flagged, _, kept = _prompted(px, size, overlap, grid, uniform_std, threshold_max, num_points, seed)
-    plan = slicing.plan_slices(sizes, size, overlap)
-    routes = segment.route_slices(plan, cells.slice_shortcut(flagged), points.choose_points(kept, "random", num_points, seed), cells.slice_fallback(rows))
+    flagged = cut(cells.cell_flags(cells.cell_stats(padded, grid).join(water, "image"), uniform_std, threshold_max))
+    if uniformity:
+        found = cells.candidate_pixels(padded, flagged, grid)
+        left = points.one_per_cell(found, grid, seed)
+    else:
+        flagged = flagged.limit(0)
+        left = found = cells.pixel_candidates(padded, threshold_max)
+    return sizes, rows, padded, flagged, found, cut(points.require_points(left, found, num_points))
+
+
+def one_pass(
+    px: DataFrame, size: int, overlap: float, grid: int, logic: str, uniform_std: float = 4.0, threshold_max: float = 20, threshold: float = 20, num_points: int = 3, seed: int = 0,
+    padding: int = 0, uniformity: bool = True, strategy: str = "random", uniform_share: float = 0.98, water_share: float = 0.98, brightness: float = 100.0, max_distance: float = 55.0,
+) -> DataFrame:
+    """The water mask of one pass: slices are routed, masked (the model is the colour test) and merged. px has L, a, b_ and the water colour.
+
+    uniformity off: candidates are the pixels near the water colour, and no slice takes the
+    shortcut. For a model of one's own on whole rasters see blocks.coverage().
+    """
+    sizes, rows, padded, flagged, _, kept = _prompted(px, size, overlap, grid, uniform_std, threshold_max, num_points, seed, padding, uniformity)
+    plan = slicing.plan_slices(sizes, size, overlap, padding)
+    chosen = points.choose_points(kept, strategy, num_points, seed, size)
+    routes = cut(segment.route_slices(plan, cells.slice_shortcut(flagged, uniform_share, water_share), chosen, cells.slice_fallback(padded, brightness, max_distance)))
     joined = rows.join(routes.select("image", "slice_id", "route", "all_water"), ["image", "slice_id"])
     water = F.when(F.col("route") == "shortcut", True).when(F.col("route") == "fallback", F.col("all_water")).otherwise(color.distance() <= threshold)
     return masks.merge_masks(joined.select("image", "slice_id", "y", "x", water.alias("is_water")), px, logic)
 
 
-def coverage(px: DataFrame, size: int = 1024, coarse_size: int = 4096, overlap: float = 0.2, grid: int = 64, kernel: int = 51, color_threshold: float = 15, lightness: float = 75.0, **options) -> DataFrame:
-    """coverage_percentage of each image: fine slices by OR, coarse ones by AND, eroded, compared and checked by colour."""
+def coverage(
+    px: DataFrame, size: int = 1024, coarse_size: int = 4096, overlap: float = 0.2, grid: int = 64, kernel: int = 51, color_threshold: float = 15, lightness: float = 75.0,
+    erosion: bool = True, validation: bool = True, hierarchical: bool = True, **options,
+) -> DataFrame:
+    """coverage_percentage of each image: fine slices by OR; coarse ones by AND, their kelp eroded; compared and checked by colour.
+
+    erosion, validation: the switches of the two later steps. hierarchical off: the fine pass
+    alone. options: those of one_pass().
+    """
+    px = cut(px)
     fine = one_pass(px, size, overlap, grid, "OR", **options)
+    if not hierarchical:
+        return masks.coverage(fine)
     coarse = one_pass(px, coarse_size, overlap, grid, "AND", **options)
-    return masks.coverage(masks.merge_passes(masks.erode(fine, kernel), coarse, px, color_threshold, lightness))
+    if erosion:
+        coarse = masks.erode(coarse, kernel)
+    return masks.coverage(masks.merge_passes(fine, coarse, px if validation else None, color_threshold, lightness))
 
 
 def diagnose(px: DataFrame, size: int = 1024, overlap: float = 0.2, grid: int = 64, uniform_std: float = 4.0, threshold_max: float = 20, num_points: int = 3, seed: int = 0) -> DataFrame:
     """Counts of cells, candidates and points of each slice."""
-    _, _, flagged, found, kept = _prompted(px, size, overlap, grid, uniform_std, threshold_max, num_points, seed)
+    _, _, _, flagged, found, kept = _prompted(px, size, overlap, grid, uniform_std, threshold_max, num_points, seed)
     return cells.slice_diagnostics(flagged, found, points.one_per_cell(found, grid, seed), points.choose_points(kept, "random", num_points, seed), threshold_max)
+
+
+def analyze(rasters: DataFrame, site_colors: DataFrame, survey_rows: DataFrame, known: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(results, errors) of decoded rasters (see sources.read_rasters): location from the name, water colour, coverage, metadata.
+
+    A raster that could not be decoded, one without a location and one whose location has no
+    colour are error rows (image_name, error). known: results of earlier runs; their images are
+    skipped and their rows kept. options: those of blocks.coverage().
+    """
+    named = naming.with_location(rasters.withColumn("image_name", F.col("image")), "image_name")
+    if known is not None:
+        named = survey.pending_results(named, known)
+    water = color.lab_decode8(site_colors).select("location", "water_l", "water_a", "water_b")
+    rows = named.join(water, "location", "left")
+    error = F.when(F.col("height") <= 0, "not an image").when(F.col("location").isNull(), "no location in the name").when(F.col("water_l").isNull(), F.concat(F.lit("no water colour for "), "location"))
+    ok, errors = tables.split_errors(rows.withColumn("error", error))
+    found = blocks.coverage(ok, **options).withColumnRenamed("image", "image_name")
+    results = survey.result_rows(survey.attach_metadata(found, survey_rows.select("image_name", "image_id", "latitude", "longitude")))
+    if known is not None:
+        results = survey.upsert_results(known.select(results.columns), results)
+    return results, errors.select("image_name", "error")

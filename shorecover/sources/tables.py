@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import shared_dir
+from ..session import temporary
 
 
 def _path(spark: SparkSession, path: str | None) -> str:
-    return path or f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    return path or temporary(spark, "table")
 
 
 def read_survey(spark: SparkSession, path: str) -> DataFrame:
@@ -53,9 +51,9 @@ def read_site_colors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("location", *[F.col(c).cast("int").alias(c) for c in "LAB"])
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row a result of the results documents; a document that can't be read, or without results, has none."""
-    return spark.read.schema(schemas.RESULTS_DOCUMENT).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+def read_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row a result of the results documents; a document that can't be read, or without results, has none. multi_line: a file is one document, else each line is."""
+    return spark.read.schema(schemas.RESULTS_DOCUMENT).option("multiLine", multi_line).json(path).select(F.explode("results").alias("r")).select("r.*")
 
 
 def write_results(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
@@ -65,12 +63,17 @@ def write_results(df: DataFrame, path: str | None = None, mode: str = "overwrite
     return path
 
 
+#: The results of a document lie in one array of one row: a site's, or where no site is named a part of about a hundred thousandth of them.
+PARTS = 100_000
+
+
 def documents(df: DataFrame, command: str, run_args: dict[str, str], existing: DataFrame | None = None, by: str | Column | None = None) -> DataFrame:
     """A results document for each group: the command and arguments of the first run stay.
 
-    existing: site, command, run_args. The results of one site make one document by the format.
+    existing: site, command, run_args. The results of one site make one document by the format;
+    without `by` the names are dealt into PARTS documents.
     """
-    key = by if by is not None else F.lit("all")
+    key = by if by is not None else F.pmod(F.xxhash64("image_name"), F.lit(PARTS)).cast("string")
     rows = df.groupBy((F.col(key) if isinstance(key, str) else key).alias("site")).agg(F.array_sort(F.collect_list(F.struct(*schemas.RESULT.names))).alias("results"))
     args = F.create_map(*[F.lit(x) for pair in run_args.items() for x in pair])
     if existing is None:
@@ -79,10 +82,9 @@ def documents(df: DataFrame, command: str, run_args: dict[str, str], existing: D
 
 
 def write_documents(df: DataFrame, command: str, run_args: dict[str, str], path: str | None = None, by: str | Column | None = None) -> str:
-    """The documents as JSON files, one a site (default: a site for each hundred names)."""
+    """The documents as JSON lines, one a site (default: see documents())."""
     path = _path(df.sparkSession, path)
-    by = by if by is not None else F.pmod(F.xxhash64("image_name"), F.lit(100))
-    documents(df, command, run_args, by=by).select("command", "run_args", "results").repartition(100).write.option("maxRecordsPerFile", 1).json(path)
+    documents(df, command, run_args, by=by).select("command", "run_args", "results").write.json(path)
     return path
 
 

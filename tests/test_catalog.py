@@ -1,14 +1,12 @@
 """Every registered query of the coverage library against its SQL in DuckDB, at the smallest size."""
 
-import os
-
 import duckdb
 import pytest
 
 from shorecover import catalog
 
 DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"coverage_job", "win_8_poisson_disk", "src_2_list_images"}
+ROWS_ONLY = {"win_8_poisson_disk"}
 
 
 @pytest.fixture(scope="module")
@@ -23,12 +21,7 @@ def plain(row):
     return tuple(f"{x + 0.0:.6f}" if isinstance(x, float) else str(x) for x in row)
 
 
-#: Queries on rasters take seconds each; these stand for them unless SHORECOVER_ALL is set.
-RASTER = {"agg_3_cell_stats", "agg_8_and_merge", "agg_13_merge_report", "win_10_erode", "win_12_equalize", "set_1_combine_routes", "math_7_downsample", "udf_2_predict_masks", "src_4_explode_pixels"}
-TABLE = {n for n in catalog.queries() if n.startswith(("prj_", "join_", "heatmap", "calibration", "agg_1_", "agg_2", "agg_10", "agg_11", "win_1_", "win_2", "win_3", "math_9", "math_10", "math_11", "math_3", "src_5", "src_6", "src_7", "src_9"))} - {"prj_12_cell_category", "join_7_candidates", "join_6_assign_slices", "join_8_compare", "prj_13_distance_map"}
-
-
-@pytest.mark.parametrize("name", sorted(catalog.queries()) if os.environ.get("SHORECOVER_ALL") else sorted(RASTER | TABLE))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, DIR)
     columns = sorted(df.columns)

@@ -1,8 +1,5 @@
 """Goldens, properties and edge rows of the operators, and the readers on real files."""
 
-import struct
-import zlib
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +44,7 @@ def test_tiers_agree(spark, images):
     px = water(color.lab_encode8(color.rgb_to_lab(frame(spark, images))))
     for r in px.collect():
         v = blocks.lab(images[r.image][r.y, r.x])
-        assert np.allclose(v, (r.L, r.a, r.b_)) and tuple(blocks.lab8(v)) == (r.L8, r.A8, r.B8)
+        assert np.allclose(v, (r.L, r.a, r.b_), atol=1e-3) and np.abs(blocks.lab8(v) - (r.L8, r.A8, r.B8)).max() <= 1
     sizes = pixels.image_sizes(px)
     stats = {(r.image, r.slice_id, r.cy, r.cx): (r.mean_l, r.std_l) for r in cells.cell_stats(slicing.assign_slices(px, sizes, 8), 4).collect()}
     for s in slicing.plan_slices(sizes, 8).collect():
@@ -55,7 +52,7 @@ def test_tiers_agree(spark, images):
         for cy in range(mean.shape[0]):
             for cx in range(mean.shape[1]):
                 got = stats.pop((s.image, s.slice_id, cy, cx))
-                assert np.allclose(got, (mean[cy, cx, 0], std[cy, cx]), atol=1e-5)
+                assert np.allclose(got, (mean[cy, cx, 0], std[cy, cx]), atol=1e-2)
     assert not stats
     assert {tuple(r) for r in rasters.explode_pixels(rasters.pack_rasters(frame(spark, images))).collect()} == {tuple(r) for r in frame(spark, images).collect()}
 
@@ -105,12 +102,20 @@ def test_poisson_points_keep_their_distance(spark):
     df = spark.createDataFrame(rows, "image string, slice_id int, sy int, sx int, h int, w int")
     got = points.choose_points(df, "poisson_disk", 3, 5, 100)
     by = {s: [(r.y, r.x) for r in got.where(F.col("slice_id") == s).collect()] for s in range(6)}
-    assert len(by[0]) == 2 and all(1 <= len(v) <= 3 for v in by.values())
-    least = 100**2 * 2 / (9 * 4)
-    assert all((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 > least for s in range(1, 6) for k, a in enumerate(by[s]) for b in by[s][:k])
+    assert 1 <= len(by[0]) <= 2 and all(1 <= len(v) <= 3 for v in by.values())
+    far = lambda v, n: all((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 > 100**2 * 2 / (n**2 * 4) for k, a in enumerate(v) for b in v[:k])
+    assert far(by[0], 2) and all(far(by[s], 3) for s in range(1, 6))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, points.choose_points(df, "poisson_disk", 3, 5, 100).collect()))
 
 
+def test_poisson_rule_of_few_candidates():
+    """The distance follows the number of points that can be had: two close candidates give one point, two far ones both."""
+    rng = np.random.default_rng(0)
+    assert len(points.apart(np.array([[0.0, 0.0], [0.0, 30.0]]), 3, 100, rng)) == 1
+    assert len(points.apart(np.array([[0.0, 0.0], [0.0, 40.0]]), 3, 100, rng)) == 2
+    assert points.apart(np.array([[5.0, 5.0]]), 3, 100, rng) == [0] and points.apart(np.zeros((0, 2)), 3, 100, rng) == []
+
+
 def test_samples_and_slices_of_locations(spark):
     df = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(11)], "image_id long, location string")
     for start, end in ((0, 1), (2, None), (None, -2), (-3, -1), (4, 100), (-100, 2)):
@@ -129,17 +134,10 @@ def test_empty_tables(spark, images):
     assert jobs.heatmap(none).count() == 0
 
 
-def png(path, rgb):
-    h, w, _ = rgb.shape
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    raw = b"".join(b"\0" + line.astype(np.uint8).tobytes() for line in rgb)
-    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
-
-
 def test_image_files(spark, images, tmp_path):
     (tmp_path / "in/site").mkdir(parents=True)
     for name, rgb in images.items():
-        png(tmp_path / "in/site" / f"{name}.PNG", rgb)
+        (tmp_path / "in/site" / f"{name}.PNG").write_bytes(rasters.png(rgb.astype(np.uint8)))
     (tmp_path / "in/site/junk.jpg").write_bytes(b"no image")
     (tmp_path / "in/site/note.txt").write_bytes(b"x")
     folder = str(tmp_path / "in")
@@ -147,25 +145,132 @@ def test_image_files(spark, images, tmp_path):
     read = rasters.read_rasters(spark, folder)
     got = {tuple(r) for r in rasters.explode_pixels(read.withColumn("image", F.split("image", r"\.")[0])).collect()}
     assert got == {tuple(r) for r in frame(spark, images).collect()}
-    found = blocks.coverage(water(read), 8, 16, 0.2, 30.0, 40.0, 3, 6.0)
+    found = blocks.coverage(water(read), 8, 16, 0.2, 30.0, 3, 6.0)
     assert {r.image for r in found.collect()} == {"one.PNG", "two.PNG", "thin.PNG"}
     colors = blocks.sample_colors(read.withColumn("location", F.lit("site")), 50)
     assert colors.groupBy("image").count().agg(F.max("count")).first()[0] == 50
     assert pixels.site_colors(colors).first().location == "site"
 
 
-def test_block_coverage_equals_pixel_rows(spark, images):
-    """With every slice sent to the model, the job is the colour test: both tiers give the same share."""
-    px = water(color.rgb_to_lab(frame(spark, images)))
-    sizes = pixels.image_sizes(px)
-    passes = []
-    for size, limit, logic in ((8, 30.0, "OR"), (16, 40.0, "AND")):
-        rows = slicing.assign_slices(px, sizes, size, 0.2)
-        passes.append(masks.merge_masks(rows.select("image", "slice_id", "y", "x", (color.distance() <= limit).alias("is_water")), px, logic))
-    merged = masks.merge_passes(masks.erode(passes[0], 3), passes[1], px, 6.0, 75.0)
-    want = {r.image: r.coverage_percentage for r in masks.coverage(merged).collect()}
-    got = blocks.coverage(water(rasters.pack_rasters(frame(spark, images))), 8, 16, 0.2, 30.0, 40.0, 3, 6.0).collect()
-    assert {r.image: round(r.coverage_percentage, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+ROUTED = dict(grid=4, uniform_std=9.0, threshold_max=14.0, num_points=3, brightness=40.0, max_distance=40.0, uniform_share=0.7, water_share=0.7)
+
+
+def survey_like(rng):
+    """Rasters with calm, dark and mixed parts, so that slices take all three routes."""
+    calm = np.array([60, 122, 128])
+    out = {}
+    for name, shape in (("p", (33, 45)), ("q", (20, 29)), ("r", (7, 50))):
+        a = np.tile(calm, (*shape, 1)) + rng.integers(-3, 4, (*shape, 3))
+        a[:, shape[1] // 2 :] = rng.integers(0, 256, (shape[0], shape[1] - shape[1] // 2, 3))
+        a[shape[0] // 2 :, : shape[1] // 4] += rng.integers(-40, 60, (shape[0] - shape[0] // 2, shape[1] // 4, 3))
+        out[name] = np.clip(a, 0, 255)
+    return out
+
+
+@pytest.mark.parametrize("given", [{}, {"padding": 1, "strategy": "poisson_disk", "validation": False}, {"uniformity": False, "threshold": 25.0, "erosion": False}], ids=str)
+def test_block_coverage_equals_pixel_rows(spark, given):
+    """The whole job, routes included, gives the same share in both tiers."""
+    rows = frame(spark, survey_like(np.random.default_rng(11)))
+    px = water(color.rgb_to_lab(rows))
+    options = ROUTED | {"threshold": 30.0} | given
+    want = {r.image: r.coverage_percentage for r in jobs.coverage(px, 12, 24, 0.2, kernel=3, color_threshold=6.0, **options).collect()}
+    got = {r.image: r.coverage_percentage for r in blocks.coverage(water(rasters.pack_rasters(rows)), 12, 24, 0.2, kernel=3, color_threshold=6.0, **options).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+    assert len(set(want.values())) > 1
+
+
+def test_all_routes_are_taken():
+    how, found = blocks.Prompting(**ROUTED), set()
+    for a in survey_like(np.random.default_rng(11)).values():
+        values = blocks.lab(a)
+        for y in range(0, a.shape[0], 10):
+            for x in range(0, a.shape[1], 10):
+                what = blocks.route(values[y : y + 12, x : x + 12], np.array([47.0, -14.0, -10.0]), 12, how, np.random.default_rng(0))
+                found.add(what if isinstance(what, bool) else "model")
+    assert found == {True, False, "model"}
+
+
+def test_the_coarse_kelp_is_eroded(spark):
+    """One fine kelp pixel in a coarse mask of kelp stays; one coarse kelp pixel in fine kelp goes."""
+    every = np.ones((8, 8), bool)
+    one = np.zeros((8, 8), bool)
+    one[4, 4] = True
+    rows = lambda kelp: spark.createDataFrame([("i", y, x, not bool(kelp[y, x])) for y in range(8) for x in range(8)], "image string, y int, x int, is_water boolean")
+    share = lambda fine, coarse: masks.coverage(masks.merge_passes(rows(fine), masks.erode(rows(coarse), 3))).first().coverage_percentage
+    assert share(one, every) == 100 / 64 and share(every, one) == 0
+    report = masks.merge_report(masks.merge_passes(rows(one), masks.erode(rows(every), 3)), rows(one), rows(every), masks.erode(rows(every), 3)).first()
+    assert (report.n_before, report.n_after, report.n_kelp) == (64, 64, 1)
+    # the jobs: fine slices are all kelp but one, the coarse slice is kelp in one pixel
+    dark, sea = [20, 20, 20], [60, 122, 128]
+    a = np.tile(dark, (16, 16, 1))
+    a[:8, :8] = sea
+    px = water(color.rgb_to_lab(frame(spark, {"i": a})))
+    plain = dict(grid=4, threshold=20.0, threshold_max=1e-9, brightness=1000.0, color_threshold=1000.0, num_points=1, uniformity=False)
+    got = [f.first().coverage_percentage for f in (jobs.coverage(px, 8, 16, 0.0, kernel=3, **plain), blocks.coverage(water(rasters.pack_rasters(frame(spark, {"i": a}))), 8, 16, 0.0, kernel=3, **plain))]
+    assert got == [100.0, 100.0]
+
+
+def test_the_model_gets_slices_and_points(spark):
+    """A model of one's own sees 8-bit pictures of one shape with its prompt points inside them, in batches."""
+    images = survey_like(np.random.default_rng(5))
+
+    def model(rgb, prompts):
+        assert rgb.dtype == np.uint8 and rgb.ndim == 4 and len(rgb) == len(prompts) <= 2
+        out = np.zeros(rgb.shape[:3], bool)
+        for k, p in enumerate(prompts):
+            assert 1 <= len(p) <= 3 and (p >= 0).all() and (p[:, 0] < rgb.shape[2]).all() and (p[:, 1] < rgb.shape[1]).all()
+            out[k, : rgb.shape[1] // 2] = True
+        return out
+
+    read = water(rasters.pack_rasters(frame(spark, images)))
+    half = {r.image: r.coverage_percentage for r in blocks.coverage(read, 12, 24, 0.2, model_fn=model, batch_size=2, padding=1, **ROUTED).collect()}
+    plain = {r.image: r.coverage_percentage for r in blocks.coverage(read, 12, 24, 0.2, padding=1, **ROUTED).collect()}
+    assert set(half) == set(plain) and half != plain
+    rows = spark.createDataFrame([(1, [1.0] * 6, [0.0] * 3, [0, 1]), (2, [1.0] * 6, [0.0] * 3, None)], "k int, lab array<double>, water array<double>, points array<int>")
+    from shorecover.operators import segment
+
+    found = segment.predict_masks(rows, lambda lab, water, points: np.array([[len(p) > 0] * 2 for p in points])).collect()
+    assert [r.mask for r in sorted(found)] == [[1, 1], [0, 0]]
+
+
+def test_equalize_and_downsample_by_blocks(spark, images):
+    a = survey_like(np.random.default_rng(3))
+    px = color.lab_encode8(color.rgb_to_lab(frame(spark, a)))
+    got = {(r.image, r.y, r.x): (r.v, r.equalized) for r in pixels.equalize(px, "L8").collect()}
+    for i, rgb in a.items():
+        v = np.array([[got[i, y, x][0] for x in range(rgb.shape[1])] for y in range(rgb.shape[0])])
+        want = np.array([[got[i, y, x][1] for x in range(rgb.shape[1])] for y in range(rgb.shape[0])])
+        assert (np.abs(blocks.equalize(v).astype(int) - want) <= 1).all() and (blocks.equalize(v) == want).mean() > 0.99
+    for factor in (1.5, 2.0, 3.3):
+        small = {(r.image, r.y, r.x): (r.r, r.g, r.b) for r in pixels.downsample(frame(spark, a), factor).collect()}
+        for i, rgb in a.items():
+            out = blocks.downsample(rgb, factor).astype(int)
+            assert out.shape[:2] == tuple(int(n / factor) for n in rgb.shape[:2])
+            assert all(np.abs(out[y, x] - small[i, y, x]).max() <= 1 for y in range(out.shape[0]) for x in range(out.shape[1]))
+    read = water(rasters.pack_rasters(frame(spark, a)))
+    assert blocks.coverage(read, 12, 24, 0.2, clahe=True, factor=1.5, **ROUTED).count() == 3
+
+
+def test_analyze_from_files(spark, tmp_path):
+    """From a folder to results and error rows; a second run keeps what is done."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, rgb in enumerate(survey_like(np.random.default_rng(2)).values()):
+        (folder / f"drone_2022_Cove_DSC0000{k}.png").write_bytes(rasters.png(rgb.astype(np.uint8)))
+    (folder / "drone_2022_Cove_DSC00009.png").write_bytes(b"no image")
+    (folder / "stray.png").write_bytes(rasters.png(np.zeros((4, 4, 3), np.uint8)))
+    (folder / "other_2021_Bay_DSC00001.png").write_bytes(rasters.png(np.zeros((4, 4, 3), np.uint8)))
+    read = rasters.read_rasters(spark, str(folder), drop_invalid=False)
+    colors = pixels.site_colors(blocks.sample_colors(naming.drop_unlocated(naming.with_location(read, "image")), 100)).where("location = 'drone_2022'")
+    known = spark.createDataFrame([("drone_2022_Cove_DSC00000.png", 7, 36.9, -122.0)], "image_name string, image_id long, latitude double, longitude double")
+    results, errors = jobs.analyze(read, colors, known, size=12, coarse_size=24, kernel=3, **ROUTED)
+    rows = {r.image_name: r for r in results.collect()}
+    assert sorted(rows) == [f"drone_2022_Cove_DSC0000{k}.png" for k in range(3)] and rows["drone_2022_Cove_DSC00000.png"].image_id == 7
+    assert {r.image_name: r.error for r in errors.collect()} == {"drone_2022_Cove_DSC00009.png": "not an image", "stray.png": "no location in the name", "other_2021_Bay_DSC00001.png": "no water colour for other_2021"}
+    old = spark.createDataFrame([("drone_2022_Cove_DSC00000.png", 7, 36.9, -122.0, 1.25)], results.schema)
+    again, _ = jobs.analyze(read, colors, known, old, size=12, coarse_size=24, kernel=3, **ROUTED)
+    again = {r.image_name: r.coverage_percentage for r in again.collect()}
+    assert again.pop("drone_2022_Cove_DSC00000.png") == 1.25 and again == {k: r.coverage_percentage for k, r in rows.items() if k in again}
 
 
 def test_documents_keep_the_first_run(spark, tmp_path):
