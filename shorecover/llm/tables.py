@@ -1,19 +1,5 @@
 """Written tables in the shared folder, to cut lineage and to compute a table once."""
 
-from __future__ import annotations
+from ..session import cut
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-from ..session import shared_dir
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again; the files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/shorecover-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut"]
