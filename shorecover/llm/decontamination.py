@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import cut
 
 WINDOW, MIN_WORDS, MIN_SHARE = 8, 13, 0.8
 #: A template window with fewer plain words is no evidence unless all its words are the item's own.
@@ -160,4 +161,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_words:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that leak no item."""
     found = leaks(docs, benchmark, id_col=id_col, item_col=item_col, text_col=text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    return docs.join(cut(found), id_col, "left_anti")

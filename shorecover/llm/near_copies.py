@@ -1,19 +1,21 @@
-"""SimHash near-dedup at a likeness of 0.8: long fingerprints, blocks of their bits, Hamming verified.
-
-Fingerprints of 64 bits can't tell a likeness of 0.8 (about 10 bits apart) by whole blocks. Here
-a fingerprint has BITS bits: each is 1 if it is set in over half the hashes of the text's distinct
-five-word shingles. Texts of Jaccard likeness J differ in a share acos(2J/(1+J))/pi of the bits,
-0.15 for 0.8; LIMIT is that share of BITS. Blocks are drawn choices of `width` bits, about
-log2 of the number of fingerprints, so unrelated texts seldom meet. Fingerprints that differ in a
-share p of bits agree in a block with a probability (1-p)^width; as many blocks are taken as
-let a pair at LIMIT miss all of them with a probability of MISS (at 0.9: below 10^-4).
-
-The first 64 bits name a fingerprint: texts that agree in them are one class (a likeness of 0.9
-does so with a probability of 10^-3, unrelated texts never). Each block is searched whole. In a
-block of at most SMALL fingerprints all pairs are held against each other, by 64 bits first and all
-bits then. A larger one is searched for a spanning forest by all bits, so many copies give a link
-each and no pairs. One beyond CROWD is cut into parts, and every two parts are searched as one, so
-no task holds more than two parts and no pair is left out.
+"""SimHash near-dedup at a similarity of 0.8: long fingerprints, blocks of their bits, Hamming verified.
+
+The similarity is the one that SimHash estimates, the cosine of the sets of five-word shingles
+(0.8 is a Jaccard likeness of 2/3). Fingerprints of 64 bits can't tell it. Here a fingerprint has
+BITS bits: each is 1 if it is set in over half the hashes of the text's distinct shingles. Texts
+of cosine c differ in a share acos(c)/pi of the bits, 0.205 for 0.8. LIMIT is that share of BITS
+and MARGIN deviations more, so a pair at 0.8 fails it with a probability of 0.02; pairs down to
+about 0.75 may pass. Blocks are drawn choices of `width` bits, such that a block value has about 8
+to 16 unrelated fingerprints. Fingerprints that differ in a share p of bits agree in a block with
+a probability (1-p)^width; as many blocks are taken as let a pair at 0.8 miss all of them with a
+probability of MISS (at a Jaccard likeness of 0.8: about 10^-4).
+
+The first 64 bits name a fingerprint: texts that agree in them are one class (a Jaccard likeness
+of 0.9 does so with a probability of 10^-3, unrelated texts never). Each block is searched whole. In
+a block of at most SMALL fingerprints all pairs are held against each other, by 128 bits first and
+all bits then. A larger one is searched for a spanning forest by all bits, so many copies give a
+link each and no pairs. One beyond CROWD is cut into parts, and every two parts are searched as one,
+so no task holds more than two parts and no pair is left out.
 """
 
 from __future__ import annotations
@@ -32,22 +34,23 @@ from .fingerprints import shingles
 from .simhash import first_rows
 from .tables import cut
 
-LANES, SIZE, LIKENESS, MISS = 16, 5, 0.8, 0.02
+LANES, SIZE, SIMILARITY, MISS, MARGIN = 16, 5, 0.8, 0.02, 2.0
 BITS = 64 * LANES
 #: Up to SMALL fingerprints of a block are paired; more are searched, in parts of about CROWD.
-SMALL, CROWD = 16, 8192
+SMALL, CROWD = 64, 8192
 _SEEDS = np.random.default_rng(64).integers(1, 2**63, LANES, dtype=np.uint64)
 
 
-def limit(likeness: float, bits: int = BITS) -> int:
-    """The number of bits in which texts of a Jaccard likeness differ on average."""
-    return math.floor(bits * math.acos(2 * likeness / (1 + likeness)) / math.pi)
+def limit(similarity: float, bits: int = BITS, margin: float = MARGIN) -> int:
+    """The number of bits in which texts of a similarity differ on average, and `margin` deviations."""
+    share = math.acos(similarity) / math.pi
+    return math.floor(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
-def blocks(n: int, likeness: float = LIKENESS, miss: float = MISS) -> np.ndarray:
+def blocks(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> np.ndarray:
     """The bit numbers of each block, for n fingerprints; the first blocks of a width are always the same."""
-    width = max(12, math.ceil(math.log2(max(n, 2))))
-    meet = (1 - limit(likeness) / BITS) ** width
+    width = max(10, math.ceil(math.log2(max(n, 2) / 16)))
+    meet = (1 - math.acos(similarity) / math.pi) ** width
     count = math.ceil(math.log(miss) / math.log(1 - meet))
     rng = np.random.default_rng(width)
     return np.array([np.sort(rng.choice(BITS, width, False)) for _ in range(count)])
@@ -89,15 +92,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LANES)
 
 
-def _pairs(k: np.ndarray, fp: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of one k, at most SMALL to a k, that differ in at most `near` of 64 bits. k is sorted."""
+def _pairs(k: np.ndarray, fp: np.ndarray, more: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of one k, at most SMALL to a k, that differ in at most `near` of 128 bits. k is sorted."""
     a, b = [fp[:0]], [fp[:0]]
     for lag in range(1, SMALL):
         same = np.flatnonzero(k[lag:] == k[:-lag])
         if not len(same):
             break
         x, y = fp[same], fp[same + lag]
-        met = np.bitwise_count((x ^ y).view(np.uint64)) <= near
+        met = np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) + np.bitwise_count((more[same] ^ more[same + lag]).view(np.uint64)) <= near
         a.append(x[met])
         b.append(y[met])
     return np.concatenate(a), np.concatenate(b)
@@ -138,33 +141,34 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def links(distinct: DataFrame, n: int, likeness: float = LIKENESS) -> DataFrame:
+def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
     """distinct: fp, wide (n rows, fp distinct). Columns a, b: verified links."""
-    chosen, most = blocks(n, likeness), limit(likeness)
-    # 3.5 deviations beyond the mean of the first 64 bits
+    chosen, most = blocks(n, similarity), limit(similarity)
+    # 3.5 deviations beyond the mean of the first 128 bits
     share = most / BITS
-    near = math.floor(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))
+    near = math.floor(128 * share + 3.5 * math.sqrt(128 * share * (1 - share)))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(0, batch.num_rows, 2048):
                 part = batch.slice(row, 2048)
-                bits = np.unpackbits(_matrix(part.column(1)).view(np.uint8), axis=1, bitorder="little")
+                wide = _matrix(part.column(1))
+                bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
                 k = np.zeros((len(bits), len(chosen)), np.uint64)
                 for place in range(chosen.shape[1]):
                     k = (k << np.uint64(1)) | bits[:, chosen[:, place]]
                 k = W.mix(k ^ W.mix(np.arange(1, len(chosen) + 1, dtype=np.uint64)))
-                fp = np.repeat(part.column(0).to_numpy(), len(chosen))
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(fp)], ["k", "fp"])
+                each = [np.repeat(x, len(chosen)) for x in (part.column(0).to_numpy(), wide[:, 1].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), *map(pa.array, each)], ["k", "fp", "more"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """k, a, b: the pairs of small blocks, without k; each fingerprint of a larger block as a, without b."""
         for table in _whole(batches):
-            k, fp = table["k"].to_numpy(), table["fp"].to_numpy()
+            k, fp, more = (table[c].to_numpy() for c in ("k", "fp", "more"))
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             sizes = np.diff(np.append(starts, len(k)))
             small = np.repeat(sizes <= SMALL, sizes)
-            a, b = _pairs(k[small], fp[small], near)
+            a, b = _pairs(k[small], fp[small], more[small], near)
             k, fp = k[~small], fp[~small]
             none = pa.nulls(len(a), pa.int64()), pa.nulls(len(fp), pa.int64())
             yield pa.RecordBatch.from_arrays([none[0], pa.array(a), pa.array(b)], ["k", "a", "b"])
@@ -184,7 +188,7 @@ def links(distinct: DataFrame, n: int, likeness: float = LIKENESS) -> DataFrame:
             apart = np.bitwise_count(_matrix(batch.column(2)) ^ _matrix(batch.column(3))).sum(1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(apart <= most))
 
-    keyed = distinct.select("fp", "wide").mapInArrow(keys, "k long, fp long")
+    keyed = distinct.select("fp", "wide").mapInArrow(keys, "k long, fp long, more long")
     found = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(met, "k long, a long, b long"))
     pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a = distinct.select(F.col("fp").alias("a"), F.col("wide").alias("wa"))
@@ -201,36 +205,39 @@ def links(distinct: DataFrame, n: int, likeness: float = LIKENESS) -> DataFrame:
     return near_pairs.unionAll(dealt.mapInArrow(searched, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, size: int = SIZE, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, component_id (the smallest doc_id reachable by links) for every row.
 
     Texts without words, null among them, are copies of each other. Null ids do not count as
-    smallest; a component of null ids alone has a null component_id.
+    smallest; a component of null ids alone has a null component_id. Repeated rows keep a row each.
+    A text is fingerprinted whole, a few hundred hashes at a time, whatever its length. Other
+    columns are ignored, also those named like columns of the result; an empty table gives none.
     """
     each = cut(fingerprints(docs, size, id_col, text_col))
     distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
-    roots = components(links(distinct, distinct.count(), likeness))
+    roots = components(links(distinct, distinct.count(), similarity))
     named = distinct.select("fp", "least").join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return each.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SIZE, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each component the row of the smallest id.
 
     Rows that share an id are one document: one of them stays at most, that of the smallest hash
-    of its text. Rows with a null id take no part and stay.
+    of its text. Rows with a null id take no part and stay. All columns stay, whatever their names;
+    an empty table stays empty.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    return first_rows(docs, near_copies(named, size, likeness, id_col, text_col), id_col, text_col)
+    return first_rows(docs, near_copies(named, size, similarity, id_col, text_col), id_col, text_col)
 
 
-def brute_force(rows: list[tuple[int | None, str | None]], size: int = SIZE, likeness: float = LIKENESS) -> list[tuple]:
+def brute_force(rows: list[tuple[int | None, str | None]], size: int = SIZE, similarity: float = SIMILARITY) -> list[tuple]:
     """(id, component) by comparing all fingerprints with each other, over a small list; for tests."""
     wide = np.concatenate([prints(texts, size) for _, texts in W.runs(pa.array([t for _, t in rows], pa.string()))])
     group = np.arange(len(rows))
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(wide[:i] ^ wide[i]).sum(1, dtype=np.int64) <= limit(likeness)):
+        for j in np.flatnonzero(np.bitwise_count(wide[:i] ^ wide[i]).sum(1, dtype=np.int64) <= limit(similarity)):
             group[group == group[i]] = group[j]
     least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in group}
     return [(r[0], least[g]) for r, g in zip(rows, group, strict=True)]

@@ -162,10 +162,10 @@ def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     Rows that share an id are one document: one of them stays at most, that of the smallest hash
     of its text. Rows with a null id take no part and stay.
     """
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    # the lists of ids are written first: Spark then knows their size and moves them instead of the texts where that is less
+    copies = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    shared = cut(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     kept = docs.where(F.col(id_col).isNotNull()).join(copies, id_col, "left_anti")
-    # only rows with shared ids are sorted: a window over all would shuffle every text
-    shared = docs.groupBy(id_col).count().where("count > 1").select(id_col)
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     one = kept.join(shared, id_col, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
     alone = kept.join(shared, id_col, "left_anti")
