@@ -109,3 +109,17 @@ def cuts(sorted_values: np.ndarray, buckets: int) -> np.ndarray:
     """Where each of `buckets` equal ranges of 64-bit numbers begins, and the end."""
     edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
     return np.append(np.searchsorted(sorted_values, edges), len(sorted_values))
+
+
+def joined(parts: list[bytes]) -> bytes:
+    """Parts of under 4 GB as one blob."""
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def parted(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        out.append(blob[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .elias_fano import EliasFano, mapped
-from .exchange import asked, grouped, pack, unpack
+from .exchange import asked, grouped, joined, pack, parted, unpack
 
 MU, HOT, STEPS = 20.0, 0.002, 8192
 #: Bytes of text in a group, about: a group's tokens, pairs and their order are in memory at once.
@@ -68,19 +68,6 @@ def _unpack_counts(blob: memoryview, n: int) -> tuple[np.ndarray, int]:
     return c, n + 4 * len(big)
 
 
-def _joined(parts: list[bytes]) -> bytes:
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-
-
-def _parted(blob: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(blob):
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(blob[at + 4 : at + 4 + n])
-        at += 4 + n
-    return out
-
-
 class _Group:
     """Distinct words and pairs of a group's texts, dealt to buckets."""
 
@@ -117,13 +104,13 @@ class _Group:
             p = self.pair_order[self.pair_cuts[b] : self.pair_cuts[b + 1]]
             heads, n = np.unique(self.head[p], return_counts=True)
             tails = (self.words[self.tail[p]] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            out.append((b, _joined([pack(self.words[w]), _pack_counts(self.count[w]), pack(self.words[heads]), _pack_counts(n), np.ascontiguousarray(tails).tobytes(), _pack_counts(self.pair_count[p])])))
+            out.append((b, joined([pack(self.words[w]), _pack_counts(self.count[w]), pack(self.words[heads]), _pack_counts(n), np.ascontiguousarray(tails).tobytes(), _pack_counts(self.pair_count[p])])))
         return out
 
 
 def _read(blob: bytes) -> tuple[np.ndarray, ...]:
     """(words, counts, heads of the pairs, tails, counts)."""
-    words, count, heads, n, tails, pair_count = _parted(blob)
+    words, count, heads, n, tails, pair_count = parted(blob)
     words, heads = unpack(words), unpack(heads)
     n = _unpack_counts(memoryview(n), len(heads))[0]
     raw = np.zeros((len(tails) // 5, 8), np.uint8)
@@ -226,14 +213,14 @@ def score(docs: DataFrame, divisor: int = 7, rest: int = 2, mu: float = MU, id_c
         count = np.bincount(at, np.concatenate([x[1] for x in each]), len(words)).astype(np.int64)
         trie = Trie(np.concatenate([x[2] for x in each]), np.concatenate([x[3] for x in each]), np.concatenate([x[4] for x in each]), totals, mu)
         head = np.array([(count > 0).sum(), count.sum()], "<i8").tobytes()
-        return [_joined([head, _pack_counts(count[np.searchsorted(words, w)]), trie(h, t).astype("<u2").tobytes()]) for w, _, h, t, _ in each]
+        return [joined([head, _pack_counts(count[np.searchsorted(words, w)]), trie(h, t).astype("<u2").tobytes()]) for w, _, h, t, _ in each]
 
     def settle(table, answers):
         g = _Group(table, buckets, divisor, rest, hot)
         n = v = 0
         count, code = np.zeros(len(g.words), np.int64), np.zeros(len(g.head), np.uint16)
         for b, blob in answers.items():
-            head, counts, codes = _parted(blob)
+            head, counts, codes = parted(blob)
             head = np.frombuffer(head, "<i8")
             v, n = v + int(head[0]), n + int(head[1])
             w = g.word_order[g.word_cuts[b] : g.word_cuts[b + 1]]

@@ -29,3 +29,19 @@ def test_equals_the_library(spark):
     got = {r[0]: tuple(r[1:]) for r in bpe.digest(bpe.decode(bpe.encode(df, spec), spec)).collect()}
     assert {k: expected(t) for k, t in rows} == got
     assert bpe.digest(bpe.decode(bpe.encode(df.limit(0), spec), spec)).count() == 0
+
+
+def test_many_groups_and_buckets_and_edge_rows(spark):
+    """Repeated rows and ids, null ids, a very long text; units of many groups and buckets, each encoded once."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgé ") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    rows = [(k % 50 if k % 7 else None, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 200)))) for k in range(300)]
+    rows += rows[:20] + [(1000, " ".join(rng.choice(words) for _ in range(60_000))), (1001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as g", "2 as b", "3 as blob").repartition(5)
+    was, (bpe.GROUP, bpe.BUCKET) = (bpe.GROUP, bpe.BUCKET), (20_000, 50_000)
+    try:
+        spec = bpe.load(spark, PATH)
+        got = sorted((tuple(r) for r in bpe.digest(bpe.decode(bpe.encode(df, spec), spec)).collect()), key=str)
+    finally:
+        bpe.GROUP, bpe.BUCKET = was
+    assert got == sorted(((i, *expected(t)) for i, t in rows), key=str)
