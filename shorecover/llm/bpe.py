@@ -12,6 +12,7 @@ always ends a piece, so the ids equal those of the whole text.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .exchange import joined, parted
 
 #: Bytes of text in a group and, about, for a bucket of distinct units.
-GROUP, BUCKET = 8 << 20, 32 << 20
+GROUP, BUCKET = 8 << 20, 16 << 20
 #: White space as the pre-tokenizer's \s has it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -113,9 +114,14 @@ class _Group:
         self.counts.append(len(units))
         self.bytes += len(text)
 
-    def rows(self, g: int, buckets: int) -> pa.RecordBatch:
-        """One row of the layout (b = -1), and one for each bucket that has units of this group."""
+    def rows(self, number: int, buckets: int) -> pa.RecordBatch:
+        """One row of the layout (b = -1), and one for each bucket that has units of this group.
+
+        Spark may run this twice; the group's name holds its place and its units, so that rows in
+        another order the second time would give a group without answers and not wrong ones.
+        """
         units = [u.encode() for u in self.index]
+        g = int.from_bytes(hashlib.blake2b(b"\0".join([str(number).encode(), *units]), digest_size=8).digest(), "little") >> 1
         bucket = np.fromiter((zlib.crc32(u) % buckets for u in units), np.int64, len(units))
         ids = np.array([i or 0 for i in self.ids], "<i8").tobytes()
         null = np.array([i is None for i in self.ids], np.uint8).tobytes()
@@ -188,11 +194,15 @@ def encode(docs: DataFrame, spec: Broadcast, id_col: str = "doc_id", text_col: s
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         """The ids of each text, by the position of its units."""
+        if not left.num_rows:
+            raise ValueError("rows of docs came in another order when they were read again")
         ids, null, counts, bucket, at = parted(left["blob"][0].as_py())
         counts, bucket, at = unpack_numbers(counts).astype(np.int64), unpack_numbers(bucket), unpack_numbers(at).astype(np.int64)
         replies = [parted(blob) for _, blob in sorted(zip(right["b"].to_pylist(), right["blob"].to_pylist()))]
         flat = np.concatenate([np.zeros(0, np.uint32), *[unpack_numbers(x) for _, x in replies]])
         sizes = np.concatenate([np.zeros(0, np.int64), *[unpack_numbers(n).astype(np.int64) for n, _ in replies]])
+        if len(sizes) != len(bucket):
+            raise ValueError("rows of docs came in another order when they were read again")
         rank = np.empty(len(bucket), np.int64)
         rank[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
         out, ends = gather(flat, np.concatenate(([0], np.cumsum(sizes))), rank[at])

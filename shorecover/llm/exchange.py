@@ -1,55 +1,87 @@
 """Questions of texts about the whole corpus, asked in packed blobs.
 
-Texts lie in groups of consecutive ids. Each group sends one blob to each bucket of hashes; a
-bucket sees every blob of its hashes and answers each; a group reads its answers beside its
-texts. The texts are shuffled once (both uses read one exchange), and a hash costs about its
-own entropy instead of a row. Groups are bounded in bytes, buckets in hashes.
+Texts lie in groups bounded in bytes. Each group sends a blob to each bucket of hashes of which it
+has any; a bucket sees every blob of its hashes and answers each; a group reads its answers beside
+its texts. The texts are shuffled once (both uses read one exchange), and a hash costs about its own
+entropy instead of a row. There are never more blobs than hashes, and up to GROW times GROW GB of
+text the size of a group follows the square root of the input, so that their number grows in
+proportion. Groups of one id, or of no id, are split like any other.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a group, about.
-GROUP_BYTES = 8 << 20
+#: Bytes of text in a group for 1 GB of text; beyond, the root of the GB, at most GROW, times as many.
+GROUP_BYTES, GROW = 8 << 20, 8
 
 Blobs = list[tuple[int, bytes]]
 
 
 @dataclass
 class Grouped:
+    """texts: id, text, g (the group), o (smaller for smaller ids, equal for groups that share an id)."""
+
     texts: DataFrame
     groups: int
     partitions: int
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, int, int]:
+    """(id, text; bytes of text; number of groups)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = group_bytes * min(GROW, max(1.0, math.sqrt(n_bytes / 1e9)))
+    return docs, n_bytes, max(1, math.ceil(n_bytes / size))
+
+
+def spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> Grouped:
+    """Groups in no order: rows go to them by a hash of id and text; rows equal in both share a group."""
+    docs, _, groups = _rows(docs, id_col, text_col, group_bytes)
+    g = F.pmod(F.xxhash64("id", "text"), F.lit(groups))
+    return Grouped(docs.withColumns({"g": g.cast("int"), "o": F.lit(0)}).repartition(2 * groups, "g"), groups, 2 * groups)
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> Grouped:
-    """Columns id, text, g: g numbers groups of consecutive ids; a null id is in group 0.
+    """Groups in the order of (id, hash of the text); null ids come first.
 
-    The bounds are quantiles of the ids over all rows; one number a group reaches the driver.
+    Bounds are quantiles of the ids in which a row counts by its bytes, so a run of long texts
+    makes as many groups as its bytes need; they are one number a group. An id that fills whole
+    groups alone, and the null id, are split by the hash of the text.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, math.ceil(n_bytes / group_bytes))
-    bounds: list[int] = []
+    docs, n_bytes, groups = _rows(docs, id_col, text_col, group_bytes)
+    weights = docs.select("id", (1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) * groups * 64 / max(1, n_bytes))).cast("int").alias("n"))
+    firsts, bounds, subs = [0], [], [1]
     if groups > 1:
         shares = [k / groups for k in range(1, groups)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("id", shares, max(10_000, 20 * groups))).first()[0] or []))
+        # a row counts 1 for each 64th of a group that it fills, and 1 more
+        each = weights.withColumn("_", F.explode(F.sequence(F.lit(1), "n")))
+        found, none, every = each.agg(F.percentile_approx("id", shares, max(10_000, 20 * groups)), F.count_if(F.col("id").isNull()), F.count("*")).first()
+        often = Counter(found or [])
+        bounds = sorted(set(often) | {b - 1 for b, n in often.items() if n > 1})
+        # ranges: no id; then up to and with each bound; then the rest
+        subs = [1 + round(groups * none / max(1, every)), *[often[b] + 1 if often[b] > 1 else 1 for b in bounds], 1]
+        firsts = [0, *accumulate(subs)][:-1]
+    at = F.lit(0)
     if bounds:
         steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
-        found = F.lit(bounds)
-        g = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(found, at + step - 1) < F.col("id")), at + step).otherwise(at))
-    else:
-        g = F.lit(0)
-    parts = 2 * groups
-    return Grouped(docs.withColumn("g", g.cast("int")).repartition(parts, "g"), groups, parts)
+        known = F.lit(bounds)
+        at = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(known, at + step - 1) < F.col("id")), at + step).otherwise(at)) + 1
+    o = F.when(F.col("id").isNull(), 0).otherwise(at)
+    high = F.shiftright(F.xxhash64("text"), 32) + F.lit(1 << 31)
+    rows = docs.withColumn("o", o.cast("int"))
+    g = F.get(F.lit(firsts), F.col("o")) + F.shiftright(high * F.get(F.lit(subs), F.col("o")), 32) if bounds else F.lit(0)
+    groups = sum(subs)
+    return Grouped(rows.withColumn("g", g.cast("int")).repartition(2 * groups, "g"), groups, 2 * groups)
 
 
 def asked(
@@ -60,23 +92,23 @@ def asked(
     schema: str,
     partitions: int,
 ) -> DataFrame:
-    """ask(texts of a group) -> (bucket, blob); answer(blobs of a bucket, their groups in ascending order) -> a blob or None for each; settle(texts of a group, answers by bucket) -> rows."""
+    """ask(texts of a group) -> (bucket, blob); answer(blobs of a bucket, the order number of each, ascending) -> a blob or None for each; settle(texts of a group, answers by bucket) -> rows."""
 
     def asks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = ask(table)
-        return pa.table({"b": pa.array([b for b, _ in found], pa.int32()), "g": pa.array([key[0].as_py()] * len(found), pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
+        found, o = ask(table), table["o"][0].as_py()
+        return pa.table({"b": pa.array([b for b, _ in found], pa.int32()), "g": pa.array([key[0].as_py()] * len(found), pa.int32()), "o": pa.array([o] * len(found), pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
 
     def answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("g")
+        table = table.sort_by([("o", "ascending"), ("g", "ascending")])
         groups = table["g"].to_pylist()
-        found = answer(table["blob"].to_pylist(), groups)
+        found = answer(table["blob"].to_pylist(), table["o"].to_pylist())
         rows = [(g, x) for g, x in zip(groups, found, strict=True) if x is not None]
         return pa.table({"g": pa.array([g for g, _ in rows], pa.int32()), "b": pa.array([key[0].as_py()] * len(rows), pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
     def settles(left: pa.Table, right: pa.Table) -> pa.Table:
         return settle(left, dict(zip(right["b"].to_pylist(), right["blob"].to_pylist(), strict=True)))
 
-    blobs = texts.texts.groupBy("g").applyInArrow(asks, "b int, g int, blob binary")
+    blobs = texts.texts.groupBy("g").applyInArrow(asks, "b int, g int, o int, blob binary")
     replies = blobs.repartition(partitions, "b").groupBy("b").applyInArrow(answers, "g int, b int, blob binary")
     return texts.texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(settles, schema)
 

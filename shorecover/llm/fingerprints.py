@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -134,21 +134,26 @@ def _shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> Dat
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text beside an edited one: its last floor(n/2) code points give way to the first as many of the next text.
 
-    The next text is that of the next smaller id (ties: of the next smaller text; null ids come
-    last), after the last the first. Columns doc_id, n_chars, edited_sha256, signature and
-    edited_signature (binary), near_edited, near_next. Texts lie in groups of consecutive ids; each
-    group also gets the one text that follows it.
+    The next text is that of the next smaller id (ties: of the next smaller hash of the text, then
+    text; null ids come last), after the last the first. Columns doc_id, n_chars, edited_sha256,
+    signature and edited_signature (binary), near_edited, near_next. Texts lie in groups in this order,
+    also those of one id; each group also gets the one text that follows it. A null text counts as
+    empty; other columns are ignored; an empty table gives none.
     """
-    texts = grouped(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-    present = sorted(r.g for r in texts.texts.select("g").distinct().collect())
-    above = {g: present[(k + 1) % len(present)] for k, g in enumerate(present)}
-    heads = texts.texts.groupBy("g").agg(F.max(F.struct("id", "text")).alias("top"))
-    after = F.create_map(*[F.lit(x) for pair in above.items() for x in pair]) if above else F.create_map(F.lit(0), F.lit(0))
-    heads = heads.select(F.get(F.map_values(after), F.array_position(F.map_keys(after), F.col("g")).cast("int") - 1).alias("g"), F.col("top.text").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = grouped(docs)
+    rows = texts.texts.withColumn("h", F.xxhash64("text"))
+    heads = rows.groupBy("g").agg(F.max(F.struct("id", "h", "text")).alias("top")).select("g", F.col("top.text").alias("text"))
+    # the head of a group goes to the next greater group, that of the greatest to the least
+    order = Window.orderBy("g")
+    present = rows.select("g").distinct()
+    places = present.select("g", F.coalesce(F.lead("g").over(order), F.first("g").over(order)).alias("to"))
+    heads = heads.join(places, "g").select(F.col("to").alias("g"), "text")
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, own = left["id"].to_pylist(), [t or "" for t in left["text"].to_pylist()]
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, own[k].encode()), reverse=True)
+        hashes = left["h"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, hashes[k], own[k].encode()), reverse=True)
         following = right["text"][0].as_py() if right.num_rows else own[order[0]] if order else ""
         ordered = [own[k] for k in order]
         nexts = [*ordered[1:], following]
@@ -168,7 +173,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, signature binary, edited_signature binary, near_edited double, near_next double"
-    return texts.texts.groupBy("g").cogroup(heads.groupBy("g")).applyInArrow(settle, schema)
+    return rows.groupBy("g").cogroup(heads.groupBy("g")).applyInArrow(settle, schema)
 
 
 def _signed(texts: list[str]) -> np.ndarray:

@@ -6,29 +6,30 @@ the base (c(w)+1)/(N+V+1). Counts cover all training texts. The trie is spread o
 context words: in a bucket, monotone Elias-Fano pointers lead from a context to its successors,
 which are an Elias-Fano sequence of (rank of the context, successor), found by successor search
 relative to the context; beside each lies its smoothed share c(hw)/(c(h)+MU) in 16 bits (log10
-in steps of 1/8192, rounded down so that no probability passes 1). Successors are known by 40 bits of their hash within a context.
+in steps of 1/5000, rounded down so that no probability passes 1). Successors are known by 40 bits of their hash within a context.
 
-A context with over HOT of all tokens is spread over buckets by successor as well; its count
-comes from one pass over all texts beforehand, and the exact count takes its place in the end.
-Every group of texts sends each bucket its distinct words and pairs with counts and gets back
-counts and shares: no row for each token leaves a task.
+A first pass counts all words: it gives the numbers N and V, and the contexts with over HOT of all
+tokens, which are spread over buckets by successor as well. Every group of texts sends each bucket
+its distinct words and pairs with counts and gets back counts and shares: no row for each token
+leaves a task.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import words as W
 from .elias_fano import EliasFano, mapped
-from .exchange import asked, grouped, joined, pack, parted, unpack
+from .exchange import asked, joined, pack, parted, spread, unpack
 
-MU, HOT, STEPS = 20.0, 0.002, 8192
+MU, HOT, STEPS = 20.0, 0.002, 5000
 #: Bytes of text in a group, about: a group's tokens, pairs and their order are in memory at once.
 GROUP = 4 << 20
 END, BOS = np.uint64(0x5EED5EED00000001), np.uint64(0x5EED5EED00000002)
@@ -102,6 +103,8 @@ class _Group:
         for b in range(buckets):
             w = self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]
             p = self.pair_order[self.pair_cuts[b] : self.pair_cuts[b + 1]]
+            if not len(w) and not len(p):
+                continue
             heads, n = np.unique(self.head[p], return_counts=True)
             tails = (self.words[self.tail[p]] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             out.append((b, joined([pack(self.words[w]), _pack_counts(self.count[w]), pack(self.words[heads]), _pack_counts(n), np.ascontiguousarray(tails).tobytes(), _pack_counts(self.pair_count[p])])))
@@ -119,7 +122,7 @@ def _read(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def quantised(share: np.ndarray) -> np.ndarray:
-    """16 bits: 0 for none, else 1 to 65535 for 10^0 down to 10^(-65534/STEPS), just below 10^-8."""
+    """16 bits: 0 for none, else 1 to 65535 for 10^0 down to 10^(-65534/STEPS), about 10^-13."""
     with np.errstate(divide="ignore"):
         code = 1 + np.ceil(-np.log10(share) * STEPS)
     return np.where(share > 0, np.clip(code, 1, 65535), 0).astype(np.uint16)
@@ -161,68 +164,71 @@ class Trie:
         at = self.successors.successor((rank.astype(np.uint64) << np.uint64(40)) | tails[known])
         inside = at < self.pointers.get(rank + 1).astype(np.int64)
         known, at, rank = known[inside], at[inside], rank[inside]
-        same = self.successors.lows(at) == (((rank.astype(np.uint64) << np.uint64(40)) | tails[known]) & np.uint64((1 << 8 * self.successors.low_bytes) - 1))
-        same &= self.successors.get(at) == ((rank.astype(np.uint64) << np.uint64(40)) | tails[known])
+        same = self.successors.get(at) == ((rank.astype(np.uint64) << np.uint64(40)) | tails[known])
         out[known[same]] = self.shares[at[same]]
         return out
 
 
-def _hot(docs: DataFrame, divisor: int, rest: int) -> dict[int, int]:
-    """Counts of the words with over HOT of the training tokens: at most 1/HOT numbers. A count may lack parts in which a word is rare."""
+def _counted(docs: DataFrame, divisor: int, rest: int) -> tuple[dict[int, int], int, int]:
+    """(counts of the words with over HOT of the training tokens, at most 1/HOT; N; V). A task sends each of its words once, but for those beyond a million."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
-        n = 0
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["h", "c"])
+
         for batch in batches:
-            keep = pa.array(is_training(batch.column(0).to_pylist(), divisor, rest))
-            h, _ = tokens(pa.table({"text": batch.column(1).filter(keep)}))
-            words, counts = np.unique(h, return_counts=True)
-            n += len(h)
-            often = counts > HOT / 4 * max(1, len(h))
-            for w, c in zip(words[often].tolist(), counts[often].tolist(), strict=True):
-                found[w] = found.get(w, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array([0, *np.array(list(found), np.uint64).view(np.int64).tolist()], pa.int64()), pa.array([n, *found.values()], pa.int64())], ["h", "c"])
+            keep = is_training(batch.column(0).to_pylist(), divisor, rest)
+            for at, texts in W.runs(batch.column(1)):
+                mine = texts.filter(pa.array(keep[at : at + len(texts)]))
+                h, c = np.unique(tokens(pa.table({"text": mine}))[0], return_counts=True)
+                words, at_word = np.unique(np.concatenate((words, h)), return_inverse=True)
+                counts = np.bincount(at_word, np.concatenate((counts, c)), len(words)).astype(np.int64)
+                if len(words) > 1_000_000:
+                    yield rows()
+                    words, counts = words[:0], counts[:0]
+        yield rows()
 
     counts = docs.mapInArrow(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    total = counts.where("h = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    rows = counts.where((F.col("h") != 0) & (F.col("c") > HOT * total)).collect()
-    hot = {r.h % (1 << 64): r.c for r in rows}
+    seen = Observation()
+    top = counts.observe(seen, F.sum("c").alias("n"), F.count("*").alias("v")).orderBy(F.desc("c")).limit(math.ceil(1 / HOT)).collect()
+    n, v = seen.get.get("n") or 0, seen.get.get("v") or 0
+    hot = {r.h % (1 << 64): r.c for r in top if r.c > HOT * n}
     if int(END) in hot:
         hot[int(BOS)] = hot[int(END)]
-    return hot
+    return hot, n, v
 
 
 def score(docs: DataFrame, divisor: int = 7, rest: int = 2, mu: float = MU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     A row is held out from training if crc32 of its id as text leaves `rest` by `divisor`; a null
-    id is neither learned nor held out. A null or empty text is one end token.
+    id is neither learned nor held out. A null or empty text is one end token. Repeated rows count
+    and are scored each; a very long text is in one group, alone. Other columns are ignored,
+    whatever their names; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    totals = _hot(rows, divisor, rest)
+    totals, n, v = _counted(rows, divisor, rest)
     hot = np.array(sorted(totals), np.uint64)
-    texts = grouped(docs, id_col, text_col, GROUP)
+    texts = spread(docs, id_col, text_col, GROUP)
     buckets = texts.groups
 
     def ask(table):
         return _Group(table, buckets, divisor, rest, hot).blobs(buckets)
 
-    def answer(blobs, groups):
+    def answer(blobs, orders):
         each = [_read(x) for x in blobs]
         words, at = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
         count = np.bincount(at, np.concatenate([x[1] for x in each]), len(words)).astype(np.int64)
         trie = Trie(np.concatenate([x[2] for x in each]), np.concatenate([x[3] for x in each]), np.concatenate([x[4] for x in each]), totals, mu)
-        head = np.array([(count > 0).sum(), count.sum()], "<i8").tobytes()
-        return [joined([head, _pack_counts(count[np.searchsorted(words, w)]), trie(h, t).astype("<u2").tobytes()]) for w, _, h, t, _ in each]
+        return [joined([_pack_counts(count[np.searchsorted(words, w)]), trie(h, t).astype("<u2").tobytes()]) for w, _, h, t, _ in each]
 
     def settle(table, answers):
         g = _Group(table, buckets, divisor, rest, hot)
-        n = v = 0
         count, code = np.zeros(len(g.words), np.int64), np.zeros(len(g.head), np.uint16)
         for b, blob in answers.items():
-            head, counts, codes = parted(blob)
-            head = np.frombuffer(head, "<i8")
-            v, n = v + int(head[0]), n + int(head[1])
+            counts, codes = parted(blob)
             w = g.word_order[g.word_cuts[b] : g.word_cuts[b + 1]]
             count[w] = _unpack_counts(memoryview(counts), len(w))[0]
             code[g.pair_order[g.pair_cuts[b] : g.pair_cuts[b + 1]]] = np.frombuffer(codes, "<u2")

@@ -42,8 +42,9 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
 
     spans holds the removed intervals as (first word, end) pairs. A null text has no words. A row
     with a null id keeps all its words and removes none elsewhere. Rows that share an id are
-    judged one by one and never remove each other's words. Other columns are ignored; an empty
-    table gives an empty result.
+    judged one by one and never remove each other's words, in one group or in several. Texts are
+    read whole, a run of about 1 MB at a time. Other columns are ignored; an empty table gives an
+    empty result.
     """
     texts = grouped(docs, id_col, text_col)
     buckets = texts.groups
@@ -60,13 +61,16 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
         at = cuts(h, buckets)
         return [(b, pack(h[at[b] : at[b + 1]])) for b in range(buckets) if at[b] < at[b + 1]]
 
-    def answer(blobs, groups):
-        """A bit for each hash of a blob: a group of smaller ids has it too."""
+    def answer(blobs, orders):
+        """A bit for each hash of a blob: a group of smaller ids has it too (groups that share an id have one order number)."""
         each = [unpack(x) for x in blobs]
-        h = np.concatenate(each)
+        h, own = np.concatenate(each), np.repeat(orders, [len(x) for x in each])
         order = np.argsort(h, kind="stable")
+        first = np.ones(len(h), bool)
+        first[1:] = h[order[1:]] != h[order[:-1]]
+        least = own[order[np.flatnonzero(first)]][np.cumsum(first) - 1]
         again = np.zeros(len(h), bool)
-        again[order[1:]] = h[order[1:]] == h[order[:-1]]
+        again[order] = own[order] > least
         ends = np.cumsum([len(x) for x in each])
         return [np.packbits(x).tobytes() if x.any() else None for x in np.split(again, ends[:-1])]
 

@@ -72,3 +72,16 @@ def test_held_out_gain(spark):
     rows = [r for r in ngram_lm.score(df).collect() if r.held_out]
     assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows)
     check(df, [tuple(r) for r in df.select("doc_id", "text").collect()])
+
+
+def test_elias_fano_is_compact():
+    """About 2 bits an element beside the low bits, nothing unpacked; successors by definition."""
+    rng = np.random.default_rng(4)
+    for n, universe in ((300_000, 50_000 << 40), (100_000, 100_001), (5, 1 << 50)):
+        values = np.sort(rng.integers(0, universe, n, dtype=np.uint64))
+        ef = EliasFano(values, universe)
+        assert ef.nbytes <= n * (ef.low_bits + 3.4) / 8 + 400
+        keys = rng.integers(0, universe, 50_000, dtype=np.uint64)
+        assert (ef.successor(keys) == np.searchsorted(values, keys)).all()
+        at = rng.integers(0, n, 50_000)
+        assert (ef.get(at) == values[at]).all()
