@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-Texts are brought to templates: numbers, names and units after numbers become typed slots,
+Texts are brought to templates: numbers (also spelled out), names and units after numbers become typed slots,
 other words are compared in lower case without outer punctuation. Windows of WINDOW words
 hash-join those of the benchmark, as templates and, whatever their slots, as they are; windows of
 a document and an item that lie on one diagonal are one passage. In it one value of the item
@@ -29,6 +29,8 @@ MIN_PLAIN = 4
 LOCAL_WINDOWS = 500_000
 #: Units of measure.
 UNITS = "mm cm m km in ft yd mi g kg mg lb oz t l ml s sec min h hr hours minutes seconds days weeks months years meters metres miles kilometers kilometres feet inches pounds dollars euros cents percent kmh mph hz khz w kw v a k c f °c °f % $ €".split()
+#: Spelled-out numbers; "one" is left out, as it mostly is no number.
+NUMBERS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _NUMERIC = _DIGIT.copy()
@@ -43,12 +45,11 @@ _STOP[[ord(c) for c in ".!?:\""]] = True
 NUM, NAME, UNIT, TEMPLATE = np.uint64(0x1111), np.uint64(0x2222), np.uint64(0x3333), np.uint64(0x4444)
 
 
-def _unit_hashes() -> np.ndarray:
-    texts = pa.array([" ".join(UNITS)], pa.large_string())
-    return np.sort(W.hashes(W.split(texts)))
+def _listed(words: list[str]) -> np.ndarray:
+    return np.sort(W.hashes(W.split(pa.array([" ".join(words)], pa.large_string()))))
 
 
-_UNITS = _unit_hashes()
+_UNITS, _NUMBERS = _listed(UNITS), _listed(NUMBERS)
 
 
 def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +66,7 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         return own, own, np.zeros(0, bool), w.first
     sums = lambda flag: np.concatenate(([0], np.cumsum(flag[w.data])))
     digits, numeric = sums(_DIGIT), sums(_NUMERIC)
-    number = (digits[ends] > digits[starts]) & (numeric[ends] - numeric[starts] == ends - starts)
+    number = (digits[ends] > digits[starts]) & (numeric[ends] - numeric[starts] == ends - starts) | np.isin(own, _NUMBERS)
     at = np.minimum(np.searchsorted(_UNITS, own), len(_UNITS) - 1)
     unit = np.zeros(len(own), bool)
     unit[1:] = number[:-1] & (_UNITS[at[1:]] == own[1:])
@@ -126,16 +127,20 @@ def windows(texts: DataFrame, key: str, text_col: str, size: int, only: DataFram
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row for each document and item it leaks: doc_id, item_id, n_words (covered words of the item), n_slots (slot values seen), exact (all slots have the item's own values).
+    """One row for each document and item it leaks: doc_id, item_id, n_words (covered words of the item), n_slots (slot values seen), exact (all covered words are the item's own).
 
     Null or empty texts leak nothing; rows with a null id are left out; rows that share an id are
-    one document. An item of fewer than `size` words is one window and must be met whole.
+    one document, repeated rows among them. An item of fewer than `size` words is one window and must
+    be met whole; a very long text is worked on whole. Other columns are ignored, whatever their
+    names; an empty table of either kind gives no rows.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
     item = windows(items, "item_id", "text", size).select("item_id", F.col("pos").alias("at"), F.col("n").alias("len"), "h", F.col("words").alias("item_words"))
     found = windows(docs, "doc_id", "text", size, item)
     met = found.join(item, "h").where((F.col("len") >= size) | (F.col("len") == F.col("n"))).withColumn("diagonal", F.col("pos") - F.col("at")).where(F.size("words") == F.size("item_words"))
+    # few windows meet; written, they are found once for the steps below
+    met = cut(met.select("doc_id", "item_id", "diagonal", "len", "at", "item_words", "words"))
     passage = ["doc_id", "item_id", "diagonal"]
     each = met.select(*passage, "len", "at", F.posexplode(F.arrays_zip("item_words", "words")).alias("k", "p"))
     each = each.select(*passage, "len", (F.col("at") + F.col("k")).alias("at"), F.col("p.item_words.slot").alias("slot"), F.col("p.item_words.own").alias("x"), F.col("p.words.own").alias("y"))
@@ -159,6 +164,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_words:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that leak no item."""
-    found = leaks(docs, benchmark, id_col=id_col, item_col=item_col, text_col=text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(cut(found), id_col, "left_anti")
+    """The rows of docs that leak no item; a row with a null id is judged by its own text, rows that share an id as one document.
+
+    All columns stay, whatever their names; null and empty texts stay.
+    """
+    named, bare = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    ids = lambda found: cut(found.select("doc_id").distinct())
+    leaked = ids(leaks(named, benchmark, id_col=id_col, item_col=item_col, text_col=text_col)).withColumnRenamed("doc_id", id_col)
+    kept = named.join(leaked, id_col, "left_anti").select(*docs.columns)
+    if bare.isEmpty():
+        return kept
+    texts = bare.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    hashes = ids(leaks(texts, benchmark, item_col=item_col))
+    return kept.unionAll(bare.join(hashes, F.xxhash64(bare[text_col]) == hashes["doc_id"], "left_anti").select(*docs.columns))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .fingerprints import shingles
-from .simhash import first_rows
+from .simhash import by_key, first_rows, tiles
 from .tables import cut
 
 LANES, SIZE, SIMILARITY, MISS, MARGIN = 16, 5, 0.8, 0.02, 2.0
@@ -122,25 +122,6 @@ def _forest(fp: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np
     return np.concatenate(heads), np.concatenate(tails)
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of batches sorted by their first column, dealt so that no value of it is in two tables."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(0).to_numpy()
-        if rest and k[0] != rest[-1].column(0)[-1].as_py():
-            yield pa.Table.from_batches(rest)
-            rest = []
-        last = int(np.searchsorted(k, k[-1]))
-        if last:
-            yield pa.Table.from_batches([*rest, batch.slice(0, last)])
-            rest = []
-        rest.append(batch.slice(last))
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
     """distinct: fp, wide (n rows, fp distinct). Columns a, b: verified links."""
     chosen, most = blocks(n, similarity), limit(similarity)
@@ -163,11 +144,11 @@ def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFr
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """k, a, b: the pairs of small blocks, without k; each fingerprint of a larger block as a, without b."""
-        for table in _whole(batches):
+        for table, dense in by_key(batches, CROWD):
             k, fp, more = (table[c].to_numpy() for c in ("k", "fp", "more"))
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             sizes = np.diff(np.append(starts, len(k)))
-            small = np.repeat(sizes <= SMALL, sizes)
+            small = np.repeat((sizes <= SMALL) & (not dense), sizes)
             a, b = _pairs(k[small], fp[small], more[small], near)
             k, fp = k[~small], fp[~small]
             none = pa.nulls(len(a), pa.int64()), pa.nulls(len(fp), pa.int64())
@@ -175,7 +156,7 @@ def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), none[1]], ["k", "a", "b"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole(batches):
+        for table, _ in by_key(batches, 1 << 62):
             k, fp, wide = table["tile"].to_numpy(), table["fp"].to_numpy(), _matrix(table["wide"])
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             for s, e in zip(starts, np.append(starts[1:], len(k)), strict=True):
@@ -196,12 +177,7 @@ def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFr
     near_pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(verified, "a long, b long")
 
     crowded = found.where("b is null").select("k", F.col("a").alias("fp"))
-    parts = crowded.groupBy("k").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
-    own = crowded.join(parts, "k").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # each part meets every other one; a sole part meets itself
-    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other or parts = 1")
-    tiles = tiles.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp")
-    dealt = tiles.join(distinct.select("fp", "wide"), "fp").select("tile", "fp", "wide").repartition("tile").sortWithinPartitions("tile")
+    dealt = tiles(crowded, CROWD).join(distinct.select("fp", "wide"), "fp").select("tile", "fp", "wide").repartition("tile").sortWithinPartitions("tile")
     return near_pairs.unionAll(dealt.mapInArrow(searched, "a long, b long"))
 
 

@@ -5,8 +5,9 @@ blocks, two fingerprints that differ in at most r bits share at least b - r whol
 distinct fingerprint joins on every choice of b - r blocks, and pairs that meet are verified. b
 grows with the number of distinct fingerprints, so that a choice has about as many values.
 Equal fingerprints are one class before any join. Within one bucket, links are a spanning
-forest found by a search over the bucket, never all pairs; a dense bucket (many near copies)
-shrinks as fast as it is found, and a bucket of unrelated fingerprints stays small as b grows.
+forest found by a search over the bucket, never all pairs; a bucket of many near copies shrinks as
+fast as it is found. A bucket of over DENSE fingerprints is cut into parts, and every two parts are
+searched as one, each in a task that holds no more than these.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .tables import cut
 from .words import runs
 
 
+#: Fingerprints of a bucket that one task searches alone.
+DENSE = 16384
+
+
 def shingle_hashes(text: str, size: int) -> list[int]:
     """XXH64 (seed 42) of each run of `size` words, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.encode().lower().split()
@@ -121,22 +126,61 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     keys = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("k"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            k = np.concatenate((rest_k, batch.column(0).to_numpy()))
-            fp = np.concatenate((rest_fp, batch.column(1).to_numpy().view(np.uint64)))
-            if not len(k):
-                continue
-            last = int(np.searchsorted(k, k[-1]))
-            rest_k, rest_fp = k[last:], fp[last:]
-            if last:
-                a, b = _bucket_links(k[:last], fp[:last], radius)
+        """k, a, b: the links of a bucket, without k; each fingerprint of a dense one as a, without b."""
+        for table, dense in by_key(batches, DENSE):
+            k, fp = table["k"].to_numpy(), table["fp"].to_numpy()
+            if dense:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), pa.nulls(len(k), pa.int64())], ["k", "a", "b"])
+            else:
+                a, b = _bucket_links(k, fp.view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["k", "a", "b"])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in by_key(batches, 1 << 62):
+            k, fp = table["tile"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            for s, e in zip(starts, np.append(starts[1:], len(k)), strict=True):
+                a, b = _forest(np.unique(fp[s:e]), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-        if len(rest_k):
-            a, b = _bucket_links(rest_k, rest_fp, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return keys.select("k", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(work, "a long, b long")
+    found = cut(keys.select("k", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(work, "k long, a long, b long"))
+    dense = tiles(found.where("b is null").select("k", F.col("a").alias("fp")), DENSE)
+    return found.where("b is not null").select("a", "b").unionAll(dense.repartition("tile").sortWithinPartitions("tile").mapInArrow(searched, "a long, b long"))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """The rows of batches sorted by their first column, in tables of whole keys. A key of over `most` rows comes in tables of its own of about so many, each marked True."""
+    rest: list[pa.RecordBatch] = []
+    key, dense = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy()
+        at = int(np.searchsorted(k, key, "right")) if key is not None else 0
+        if at:
+            rest.append(batch.slice(0, at))
+        if at < len(k):
+            if rest:
+                yield pa.Table.from_batches(rest), dense
+            last = int(np.searchsorted(k, k[-1]))
+            if last > at:
+                yield pa.Table.from_batches([batch.slice(at, last - at)]), False
+            rest, key, dense = [batch.slice(last)], k[-1], False
+        if rest and sum(x.num_rows for x in rest) > most:
+            dense = True
+            yield pa.Table.from_batches(rest), True
+            rest = []
+    if rest:
+        yield pa.Table.from_batches(rest), dense
+
+
+def tiles(dense: DataFrame, size: int) -> DataFrame:
+    """dense: k, fp. Columns tile, fp: the fingerprints of a k in parts of about `size`, each two parts as one tile, so that every pair of a k meets in one."""
+    parts = dense.groupBy("k").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    own = dense.join(parts, "k").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # each part meets every other one; a sole part meets itself
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other or parts = 1")
+    return each.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp")
 
 
 def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -152,7 +196,12 @@ def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id, fp, component_id for every row; see fingerprints() and classes()."""
+    """Columns doc_id, fp, component_id for every row, repeated ones included; see fingerprints() and classes().
+
+    Null, empty and blank texts have fingerprint zero and are linked like any other; a text is
+    hashed whole, whatever its length. Other columns are ignored, whatever their names; an empty
+    table gives none.
+    """
     return classes(cut(fingerprints(docs, size, id_col, text_col)), radius)
 
 

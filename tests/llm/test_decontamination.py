@@ -26,7 +26,7 @@ def test_planted(spark):
     b = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 as doc_id")
     got = {(r.doc_id, r.item_id): r.exact for r in D.leaks(d, b).collect()}
     assert got == {(10, 1): True, (11, 1): False, (13, 2): True, (18, 3): True}
-    assert {r.doc_id for r in D.without_leaks(d, b).collect()} == {12, 14, 15, 16, 17, None, 19}
+    assert {r.doc_id for r in D.without_leaks(d, b).collect()} == {12, 14, 15, 16, 17, 19}
     assert D.leaks(d.limit(0), b).count() == D.leaks(d, b.limit(0)).count() == 0
 
 
@@ -84,3 +84,18 @@ def test_parts_and_low_plain_copies(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.exact for r in D.leaks(d, b).collect()}
     assert got == {(20, 1): True, (21, 1): True, (22, 1): True, (23, 1): True, (24, 2): True, (25, 3): False}
+
+
+def test_spelled_out_numbers_are_slots(spark):
+    item = "A farmer has seven red apples and then buys nine more green ones from the old market near the river how many"
+    docs = [(1, item), (2, item.replace("seven", "six").replace("nine", "four")), (3, "nothing of the kind is said in this text about a farmer")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.exact, r.n_slots) for r in D.leaks(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert got == {1: (True, 2), 2: (False, 2)}
+
+
+def test_rows_without_an_id_are_judged(spark):
+    item = "Which of these nineteen rivers runs through the greatest number of countries on its way down to the wide open sea"
+    df = spark.createDataFrame([(None, item), (None, "clean words only"), (1, item), (2, None), (None, None)], "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as h")
+    kept = D.without_leaks(df, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(None, "clean words only"), (2, None), (None, None)]))

@@ -47,3 +47,28 @@ def test_links_of_dense_and_sparse_buckets(spark):
         for r in simhash.components(simhash.links(df, n)).collect():
             got.setdefault(r.root, {r.root}).add(r.node)
         assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_dense_buckets_are_cut(spark):
+    """Buckets beyond DENSE are searched part by part and give the same components."""
+    import random
+
+    rng = random.Random(12)
+    low = (1 << 30) - 1
+    prints = {rng.getrandbits(14) << 45 | 0x155 for _ in range(3000)} | {rng.getrandbits(62) for _ in range(300)}
+    prints = sorted(prints | {p ^ 1 << rng.randrange(30) for p in rng.sample(sorted(prints), 400)})
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(prints)], "doc_id long, fp long")
+    want = sorted(map(tuple, simhash.classes(df).collect()))
+    was, simhash.DENSE = simhash.DENSE, 200
+    try:
+        assert sorted(map(tuple, simhash.classes(df).collect())) == want
+    finally:
+        simhash.DENSE = was
+    group = list(range(len(prints)))
+    find = lambda i: i if group[i] == i else find(group[i])
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= 4:
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    assert [c for _, _, c in want] == [find(i) for i in range(len(prints))] and low
