@@ -13,8 +13,8 @@ probability of MISS (at a Jaccard likeness of 0.8: about 10^-4).
 The first 64 bits name a fingerprint: texts that agree in them are one class (a Jaccard likeness
 of 0.9 does so with a probability of 10^-3, unrelated texts never). Each block is searched whole. In
 a block of at most SMALL fingerprints all pairs are held against each other, by 128 bits first and
-all bits then. A larger one is searched for a spanning forest by all bits, so many copies give a
-link each and no pairs. One beyond CROWD is cut into parts, and every two parts are searched as one,
+all bits then. One with more near pairs than members in them (a group of copies), and a larger one,
+is searched for a spanning forest by all bits, so many copies give a link each and no pairs. One beyond CROWD is cut into parts, and every two parts are searched as one,
 so no task holds more than two parts and no pair is left out.
 """
 
@@ -93,19 +93,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _pairs(k: np.ndarray, fp: np.ndarray, more: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of one k, at most SMALL to a k, that differ in at most `near` of 128 bits. k is sorted."""
-    a, b = [fp[:0]], [fp[:0]]
+    """The indexes of all pairs of one k, at most SMALL to a k, that differ in at most `near` of 128 bits. k is sorted."""
+    none = np.zeros(0, np.int64)
+    a, b = [none], [none]
     for lag in range(1, SMALL):
         same = np.flatnonzero(k[lag:] == k[:-lag])
         if not len(same):
             break
-        x, y = fp[same], fp[same + lag]
-        met = np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) + np.bitwise_count((more[same] ^ more[same + lag]).view(np.uint64)) <= near
-        a.append(x[met])
-        b.append(y[met])
+        apart = np.bitwise_count((fp[same] ^ fp[same + lag]).view(np.uint64)).astype(np.int16) + np.bitwise_count((more[same] ^ more[same + lag]).view(np.uint64))
+        met = same[apart <= near]
+        a.append(met)
+        b.append(met + lag)
     return np.concatenate(a), np.concatenate(b)
 
 
+def _sparse(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each pair is of a k with no more pairs than members in pairs, the members of the other k)."""
+    block = np.cumsum(np.concatenate(([0], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    members = np.unique(np.concatenate((a, b)))
+    n = int(block[-1]) + 1 if len(k) else 0
+    few = np.bincount(block[a], minlength=n) <= np.bincount(block[members], minlength=n)
+    return few[block[a]], members[~few[block[members]]]
+
+
 def _forest(fp: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever is connected within `most` bits."""
     heads, tails = [fp[:0]], [fp[:0]]
@@ -149,8 +159,11 @@ def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFr
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             sizes = np.diff(np.append(starts, len(k)))
             small = np.repeat((sizes <= SMALL) & (not dense), sizes)
-            a, b = _pairs(k[small], fp[small], more[small], near)
-            k, fp = k[~small], fp[~small]
+            sk, sfp = k[small], fp[small]
+            i, j = _pairs(sk, sfp, more[small], near)
+            keep, dense_members = _sparse(sk, i, j)
+            a, b = sfp[i[keep]], sfp[j[keep]]
+            k, fp = np.concatenate((k[~small], sk[dense_members])), np.concatenate((fp[~small], sfp[dense_members]))
             none = pa.nulls(len(a), pa.int64()), pa.nulls(len(fp), pa.int64())
             yield pa.RecordBatch.from_arrays([none[0], pa.array(a), pa.array(b)], ["k", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), none[1]], ["k", "a", "b"])
