@@ -92,14 +92,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LANES)
 
 
-def _pairs(k: np.ndarray, fp: np.ndarray, more: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """The indexes of all pairs of one k, at most SMALL to a k, that differ in at most `near` of 128 bits. k is sorted."""
+def _pairs(k: np.ndarray, fp: np.ndarray, more: np.ndarray, part: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """The indexes of all pairs of one k, at most SMALL to a k, and of two parts that differ in at most `near` of 128 bits. k is sorted."""
     none = np.zeros(0, np.int64)
     a, b = [none], [none]
     for lag in range(1, SMALL):
         same = np.flatnonzero(k[lag:] == k[:-lag])
         if not len(same):
             break
+        same = same[part[same] != part[same + lag]]
         apart = np.bitwise_count((fp[same] ^ fp[same + lag]).view(np.uint64)).astype(np.int16) + np.bitwise_count((more[same] ^ more[same + lag]).view(np.uint64))
         met = same[apart <= near]
         a.append(met)
@@ -107,6 +108,22 @@ def _pairs(k: np.ndarray, fp: np.ndarray, more: np.ndarray, near: int) -> tuple[
     return np.concatenate(a), np.concatenate(b)
 
 
+def _few_strangers(fp: np.ndarray, more: np.ndarray, part: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs of a block as by _pairs(), if but SMALL of its members are outside its largest part; else None."""
+    values, at, n = np.unique(part, return_inverse=True, return_counts=True)
+    others = np.flatnonzero(at != n.argmax())
+    if len(others) > SMALL:
+        return None
+    none = np.zeros(0, np.int64)
+    a, b = [none], [none]
+    for k in others:
+        apart = np.bitwise_count((fp ^ fp[k]).view(np.uint64)).astype(np.int16) + np.bitwise_count((more ^ more[k]).view(np.uint64))
+        met = np.flatnonzero((apart <= near) & (part != part[k]))
+        a.append(np.full(len(met), k))
+        b.append(met)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _sparse(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether each pair is of a k with no more pairs than members in pairs, the members of the other k)."""
     block = np.cumsum(np.concatenate(([0], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
@@ -133,8 +150,23 @@ def _forest(fp: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np
 
 
 def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """distinct: fp, wide (n rows, fp distinct). Columns a, b: verified links."""
-    chosen, most = blocks(n, similarity), limit(similarity)
+    """distinct: fp, wide (n rows, fp distinct). Columns a, b: verified links that connect what the blocks bring together.
+
+    A quarter of the blocks is searched first. What they link is one part, and the other blocks
+    are searched for links between different parts only: a group of copies is worked off once and
+    not in every block, and no link to a text outside it is lost.
+    """
+    chosen = blocks(n, similarity)
+    first = max(1, len(chosen) // 4)
+    found = cut(_searched(distinct.select("fp", "wide", F.col("fp").alias("part")), chosen[:first], similarity, 0))
+    roots = components(found)
+    parts = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "wide", F.coalesce("root", "fp").alias("part")))
+    return found.unionAll(_searched(parts, chosen[first:], similarity, first)) if first < len(chosen) else found
+
+
+def _searched(distinct: DataFrame, chosen: np.ndarray, similarity: float, number: int) -> DataFrame:
+    """The links (a, b) between different parts that the chosen blocks bring together; distinct: fp, wide, part. number: of the first block."""
+    most = limit(similarity)
     # 3.5 deviations beyond the mean of the first 128 bits
     share = most / BITS
     near = math.floor(128 * share + 3.5 * math.sqrt(128 * share * (1 - share)))
@@ -142,28 +174,34 @@ def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFr
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(0, batch.num_rows, 2048):
-                part = batch.slice(row, 2048)
-                wide = _matrix(part.column(1))
+                rows = batch.slice(row, 2048)
+                wide = _matrix(rows.column(1))
                 bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
                 k = np.zeros((len(bits), len(chosen)), np.uint64)
                 for place in range(chosen.shape[1]):
                     k = (k << np.uint64(1)) | bits[:, chosen[:, place]]
-                k = W.mix(k ^ W.mix(np.arange(1, len(chosen) + 1, dtype=np.uint64)))
-                each = [np.repeat(x, len(chosen)) for x in (part.column(0).to_numpy(), wide[:, 1].view(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), *map(pa.array, each)], ["k", "fp", "more"])
+                k = W.mix(k ^ W.mix(np.arange(number + 1, number + len(chosen) + 1, dtype=np.uint64)))
+                each = [np.repeat(x, len(chosen)) for x in (rows.column(0).to_numpy(), wide[:, 1].view(np.int64), rows.column(2).to_numpy())]
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), *map(pa.array, each)], ["k", "fp", "more", "part"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """k, a, b: the pairs of small blocks, without k; each fingerprint of a larger block as a, without b."""
+        """k, a, b: the pairs of blocks, without k; each fingerprint of a block that is searched by all bits as a, without b."""
         for table, dense in by_key(batches, CROWD):
-            k, fp, more = (table[c].to_numpy() for c in ("k", "fp", "more"))
+            k, fp, more, part = (table[c].to_numpy() for c in ("k", "fp", "more", "part"))
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             sizes = np.diff(np.append(starts, len(k)))
-            small = np.repeat((sizes <= SMALL) & (not dense), sizes)
-            sk, sfp = k[small], fp[small]
-            i, j = _pairs(sk, sfp, more[small], near)
-            keep, dense_members = _sparse(sk, i, j)
-            a, b = sfp[i[keep]], sfp[j[keep]]
-            k, fp = np.concatenate((k[~small], sk[dense_members])), np.concatenate((fp[~small], sfp[dense_members]))
+            small = np.flatnonzero(np.repeat((sizes <= SMALL) & (not dense), sizes))
+            i, j = (small[x] for x in _pairs(k[small], fp[small], more[small], part[small], near))
+            crowded = np.repeat((sizes > SMALL) | dense, sizes)
+            for s, n in zip(starts, sizes):
+                few = None if n <= SMALL or dense else _few_strangers(fp[s : s + n], more[s : s + n], part[s : s + n], near)
+                if few is not None:
+                    i, j = np.concatenate((i, s + few[0])), np.concatenate((j, s + few[1]))
+                    crowded[s : s + n] = False
+            keep, members = _sparse(k, i, j)
+            a, b = fp[i[keep]], fp[j[keep]]
+            crowded[members] = True
+            k, fp = k[crowded], fp[crowded]
             none = pa.nulls(len(a), pa.int64()), pa.nulls(len(fp), pa.int64())
             yield pa.RecordBatch.from_arrays([none[0], pa.array(a), pa.array(b)], ["k", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), none[1]], ["k", "a", "b"])
@@ -182,7 +220,7 @@ def links(distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFr
             apart = np.bitwise_count(_matrix(batch.column(2)) ^ _matrix(batch.column(3))).sum(1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(apart <= most))
 
-    keyed = distinct.select("fp", "wide").mapInArrow(keys, "k long, fp long, more long")
+    keyed = distinct.select("fp", "wide", "part").mapInArrow(keys, "k long, fp long, more long, part long")
     found = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(met, "k long, a long, b long"))
     pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a = distinct.select(F.col("fp").alias("a"), F.col("wide").alias("wa"))
