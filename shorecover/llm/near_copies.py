@@ -5,8 +5,8 @@ The similarity is the one that SimHash estimates, the cosine of the sets of five
 BITS bits: each is 1 if it is set in over half the hashes of the text's distinct shingles. Texts
 of cosine c differ in a share acos(c)/pi of the bits, 0.205 for 0.8. LIMIT is that share of BITS
 and MARGIN deviations more, so a pair at 0.8 fails it with a probability of 0.02; pairs down to
-about 0.75 may pass. Blocks are drawn choices of `width` bits, such that a block value has about 8
-to 16 unrelated fingerprints. Fingerprints that differ in a share p of bits agree in a block with
+about 0.75 may pass. Blocks are drawn choices of `width` bits, such that a block value has about 32
+to 64 unrelated fingerprints. Fingerprints that differ in a share p of bits agree in a block with
 a probability (1-p)^width; as many blocks are taken as let a pair at 0.8 miss all of them with a
 probability of MISS (at a Jaccard likeness of 0.8: about 10^-4).
 
@@ -37,7 +37,7 @@ from .tables import cut
 LANES, SIZE, SIMILARITY, MISS, MARGIN = 16, 5, 0.8, 0.02, 2.0
 BITS = 64 * LANES
 #: Up to SMALL fingerprints of a block are paired; more are searched, in parts of about CROWD.
-SMALL, CROWD = 64, 8192
+SMALL, CROWD = 256, 8192
 _SEEDS = np.random.default_rng(64).integers(1, 2**63, LANES, dtype=np.uint64)
 
 
@@ -49,7 +49,7 @@ def limit(similarity: float, bits: int = BITS, margin: float = MARGIN) -> int:
 
 def blocks(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> np.ndarray:
     """The bit numbers of each block, for n fingerprints; the first blocks of a width are always the same."""
-    width = max(10, math.ceil(math.log2(max(n, 2) / 16)))
+    width = max(10, math.ceil(math.log2(max(n, 2) / 64)))
     meet = (1 - math.acos(similarity) / math.pi) ** width
     count = math.ceil(math.log(miss) / math.log(1 - meet))
     rng = np.random.default_rng(width)
