@@ -259,12 +259,12 @@ def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY,
     return first_rows(docs, near_copies(named, size, similarity, id_col, text_col), id_col, text_col)
 
 
-def brute_force(rows: list[tuple[int | None, str | None]], size: int = SIZE, similarity: float = SIMILARITY) -> list[tuple]:
+def brute_force(rows: list[tuple[int | None, str | None]], size: int = SIZE, similarity: float = SIMILARITY, margin: float = MARGIN) -> list[tuple]:
     """(id, component) by comparing all fingerprints with each other, over a small list; for tests."""
     wide = np.concatenate([prints(texts, size) for _, texts in W.runs(pa.array([t for _, t in rows], pa.string()))])
     group = np.arange(len(rows))
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(wide[:i] ^ wide[i]).sum(1, dtype=np.int64) <= limit(similarity)):
+        for j in np.flatnonzero(np.bitwise_count(wide[:i] ^ wide[i]).sum(1, dtype=np.int64) <= limit(similarity, margin=margin)):
             group[group == group[i]] = group[j]
     least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in group}
     return [(r[0], least[g]) for r, g in zip(rows, group, strict=True)]

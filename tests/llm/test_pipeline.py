@@ -16,7 +16,10 @@ def test_against_plain_python(spark):
     model = toxicity.train(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
     worst = lambda t: model.scores(max(model.decisions(sorted(u)), default=model.bias) if (u := toxicity.units(t)) else model.bias)
     kept = [d for d in docs if worst(d[1]) < 0.7]
-    group = dict(near_copies.brute_force([d[:2] for d in kept]))
+    # links at 0.8 are all there but for the probability of a miss; no link is beyond the margin
+    group = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame([d[:2] for d in kept], "doc_id long, text string")).collect()}
+    sure, most = (dict(near_copies.brute_force([d[:2] for d in kept], margin=m)) for m in (0.0, near_copies.MARGIN))
+    assert all(group[i] == group[sure[i]] and most[i] == most[group[i]] for i in group)
     kept = [d for d in kept if group[d[0]] == d[0]]
     bad = {r.doc_id for r in decontamination.leaks(spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long"), spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
     kept = [d for d in kept if d[0] not in bad]
