@@ -1,35 +1,27 @@
 """License scans in DataFrame functions alone.
 
-Overlapping windows of words meet license templates by MinHash bands of one value: a window and
-a template share a band if the same shingle is the least of both under one of BANDS hashes. For a
-window of w shingles that holds a template of t of them, a band agrees with a probability of t/w,
-so all disagree with (1 - t/w)^BANDS: below 4e-5 for one shingle in 20 and BANDS = 200. A
-window without any shingle that is least in a template can share no band; its signature is not
-computed. A window that shares a band is a match if it holds CONTAINMENT of the
-template's shingles.
+Texts and templates are cut into overlapping windows of SIZE shingles, texts at every STRIDE-th
+shingle, templates at each. A window and a template share a band if the least shingle of a window
+of either is the same under one of BANDS hashes: with a probability of their windows' Jaccard
+likeness j, so all bands miss with (1 - j)^BANDS. The worst case is a template of one shingle, j = 1/4 and a miss
+of 1e-6; longer ones have higher j, or more windows. A document whose windows share a band with a template is a
+candidate, and a match if it holds CONTAINMENT of the template's distinct shingles, and of those with a
+number among their words, so that the version decides between two templates that differ in it alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, SHINGLE, BANDS, CONTAINMENT = 24, 12, 5, 200, 0.8
-#: Common license lines, of at most WINDOW - STRIDE + 1 words each, by SPDX identifier.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC0-1.0", "Released under CC0 1.0 Universal"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-]
+from . import license_texts
+from .tables import cut
+
+SHINGLE, SIZE, STRIDE, BANDS, CONTAINMENT = 5, 4, 3, 48, 0.8
+#: At most so many rows of bands and shingles go to every task at once (about 50 MB); more templates are searched in blocks.
+BLOCK_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -48,56 +40,71 @@ def shingles(w: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<long>"))
 
 
-def bands(hashes: Column) -> Column:
-    """The least value of each of BANDS seeded hashes."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
+def windows(s: Column, stride: int) -> Column:
+    """(a, b, c, d): SIZE shingles each, the first repeated where the text ends; none without shingles. All shingles are in a window."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(s) - SIZE + stride - 1), F.lit(stride))
+    cells = [lambda i, k=k: F.coalesce(F.get(s, i + k), F.get(s, i)) for k in range(SIZE)]
+    return F.when(F.size(s) > 0, F.transform(starts, lambda i: F.struct(*[c(i).alias(name) for c, name in zip(cells, "abcd", strict=True)])))
 
 
-def _templates(spark: SparkSession) -> list[tuple[str, list[int], list[int], list[int]]]:
-    """(identifier, shingles, bands, shingles that are least in a band) of each template: a fixed dozen rows."""
-    rows = spark.createDataFrame(TEMPLATES, "license string, line string").select("license", let(words(F.col("line")), shingles).alias("s"))
-    least = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform("s", lambda h: F.struct(F.xxhash64(h, k).alias("v"), h.alias("h"))))["h"]))
-    return [tuple(r) for r in rows.select("license", "s", bands(F.col("s")), least).collect()]
+def band(w: str) -> Column:
+    """The least value of a window's shingles under the hash of number k."""
+    return F.least(*[F.xxhash64(F.col(f"{w}.{c}"), F.col("k")) for c in "abcd"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document and license in it: doc_id, license, n_windows, containment (the highest).
+def standard_templates(spark: SparkSession) -> DataFrame:
+    """Columns license, text: common notices and whole license texts by SPDX identifier."""
+    return spark.createDataFrame(license_texts.TEMPLATES, "license string, text string")
 
-    A null, empty or short text has none; rows with one id count together; a null id is an id.
-    """
-    templates = _templates(docs.sparkSession)
-    long_array = lambda xs: F.array(*map(F.lit, xs))
-    telling = long_array(sorted({h for t in templates for h in t[3]}))
-    known = F.array(*[F.struct(F.lit(name).alias("license"), long_array(s).alias("s"), long_array(b).alias("b")) for name, s, b, _ in templates])
-    size = WINDOW - SHINGLE + 1
 
-    def cut(s: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - size + STRIDE), F.lit(STRIDE))
-        windows = F.filter(F.transform(starts, lambda i: F.slice(s, i, size)), lambda w: F.arrays_overlap(w, telling))
-        return F.when(F.arrays_overlap(s, telling), windows)
+def _known(templates: DataFrame) -> DataFrame:
+    """Columns t, license, value, h, numbered, n, n_numbered: for each template its bands (h null) and its shingles."""
+    w = templates.select("license", F.xxhash64("license", "text").alias("t"), words(F.col("text")).alias("w")).distinct()
+    numbered = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.exists(F.slice("w", i, SHINGLE), lambda x: x.rlike("[0-9]")))
+    each = w.where(F.size("w") >= SHINGLE).select("license", "t", shingles(F.col("w")).alias("s"), numbered.alias("x"))
+    pairs = each.select("license", "t", "s", F.array_distinct(F.arrays_zip(F.col("s").alias("h"), F.col("x").alias("numbered"))).alias("p"))
+    each = pairs.select("license", "t", "s", "p", F.size("p").alias("n"), F.size(F.filter("p", lambda p: p["numbered"])).alias("n_numbered"))
+    kept = ["license", "t", "n", "n_numbered"]
+    cells = each.select(*kept, F.explode(windows(F.col("s"), 1)).alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k"))
+    bands = cells.select(*kept, band("w").alias("value"), F.lit(None).cast("long").alias("h"), F.lit(False).alias("numbered")).distinct()
+    return bands.unionByName(each.select(*kept, F.explode("p").alias("p")).select(*kept, F.col("p.h").alias("value"), F.col("p.h").alias("h"), "p.numbered"))
 
-    def met(w: Column) -> Column:
-        def by(b: Column) -> Column:
-            near = F.filter(known, lambda t: F.exists(F.arrays_zip(t["b"].alias("x"), b.alias("y")), lambda p: p["x"] == p["y"]))
-            return F.transform(near, lambda t: F.struct(t["license"].alias("license"), (F.size(F.array_intersect(t["s"], w)) / F.size(F.array_distinct(t["s"]))).alias("c")))
 
-        return let(bands(w), by)
+def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document and license in it: doc_id, license, n_templates (found), containment (the highest).
 
-    windows = let(words(F.col(text_col).cast("string")), lambda w: let(shingles(w), cut))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(windows).alias("w")).where("w is not null")
-    found = rows.select("doc_id", F.explode_outer(met(F.col("w"))).alias("m")).where(F.col("m.c") >= CONTAINMENT)
-    return found.groupBy("doc_id", F.col("m.license").alias("license")).agg(F.count("*").alias("n_windows"), F.max("m.c").alias("containment"))
+    templates: columns license, text, of any length; those of fewer than SHINGLE words or of null are never
+    found, repeated ones count once; standard_templates() by default. Shingles count anywhere in the
+    document. A null, empty or short text holds none, rows with one id count together, a null id is an
+    id, and very long texts are cut into windows like others. Other columns are ignored, whatever
+    their names; an empty table of documents or templates gives no rows.
+    """
+    known = cut(_known(templates if templates is not None else standard_templates(docs.sparkSession)))
+    blocks = -(-known.count() // BLOCK_ROWS)
+    cells = let(words(F.col(text_col).cast("string")), lambda w: let(shingles(w), lambda s: windows(s, STRIDE)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(cells).alias("w")).where("w is not null")
+    keyed = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(BANDS + SIZE - 1))).alias("k"))
+    value = reduce(lambda found, k: found.when(F.col("k") == BANDS + k, F.col("w." + "abcd"[k])), range(SIZE), F.when(F.col("k") < BANDS, band("w")))
+    values = keyed.select("doc_id", value.alias("value"))
+    # a block of templates meets all windows; blocks hold whole templates
+    met = [values.join(F.broadcast(known.where(F.pmod("t", F.lit(blocks)) == k)), "value") for k in range(blocks)] or [values.join(known, "value")]
+    each = reduce(DataFrame.unionByName, met).groupBy("doc_id", "license", "t", "n", "n_numbered", "h", "numbered").agg(F.lit(1).alias("one"))
+    held = each.groupBy("doc_id", "license", "t", "n", "n_numbered").agg(F.bool_or(F.col("h").isNull()).alias("retrieved"), F.count("h").alias("c"), F.count_if(F.col("numbered")).alias("c_numbered"))
+    found = held.where(F.col("retrieved") & (F.col("c") / F.col("n") >= CONTAINMENT) & (F.col("c_numbered") >= CONTAINMENT * F.col("n_numbered")))
+    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_templates"), F.max(F.col("c") / F.col("n")).alias("containment"))
 
 
 def oracle() -> str:
-    """DuckDB SQL for scan() of documents, without bands: every window against every template."""
-    lines = ", ".join("('{}', '{}')".format(*t) for t in TEMPLATES)
+    """DuckDB SQL for scan() of documents, without bands: every shingle against every template."""
+    lines = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license_texts.TEMPLATES)
+    cut_words = f"unnest(list_distinct(list_transform(range(1, greatest(1, len(w) - {SHINGLE - 2})), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')))) as s"
     return f"""
-with t as (select license, list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))) as s
-  from (select license, regexp_extract_all(lower(line), '[a-z0-9]+') as w from (values {lines}) v(license, line))),
-d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents),
-p as (select doc_id, w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1} - {WINDOW - SHINGLE} + {STRIDE} - 1) + 1, {STRIDE})) as i from d where len(w) >= {SHINGLE}),
-s as (select doc_id, list_transform(range(i, least(i + {WINDOW - SHINGLE + 1}, len(w) - {SHINGLE - 2})), lambda k: array_to_string(w[k : k + {SHINGLE - 1}], ' ')) as s from p),
-m as (select doc_id, license, len(list_intersect(t.s, s.s)) / len(t.s) as c from s, t where list_has_any(s.s, t.s))
-select doc_id, license, count(*) as n_windows, max(c) as containment from m where c >= {CONTAINMENT} group by doc_id, license
+with v as (select distinct license, line, regexp_extract_all(lower(line), '[a-z0-9]+') as w from (values {lines}) v(license, line)),
+t as (select license, line, {cut_words} from v),
+n as (select license, line, count(*) as n, count(*) filter (where regexp_matches(s, '[0-9]')) as n_numbered from t group by license, line),
+d as (select doc_id, {cut_words} from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents)),
+m as (select doc_id, license, line, count(distinct s) as c, count(distinct s) filter (where regexp_matches(s, '[0-9]')) as c_numbered
+  from d join t using (s) group by doc_id, license, line)
+select doc_id, license, count(*) as n_templates, max(c / n) as containment
+from m join n using (license, line) where c / n >= {CONTAINMENT} and c_numbered >= {CONTAINMENT} * n_numbered group by doc_id, license
 """
