@@ -29,11 +29,12 @@ Blobs = list[tuple[int, bytes]]
 
 @dataclass
 class Grouped:
-    """texts: id, text, g (the group), o (smaller for smaller ids, equal for groups that share an id)."""
+    """texts: id, text, g (the group), o (smaller for smaller ids, equal for groups that share an id); dealt: the same before the shuffle."""
 
     texts: DataFrame
     groups: int
     partitions: int
+    dealt: DataFrame | None = None
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, int, int]:
@@ -81,7 +82,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     rows = docs.withColumn("o", o.cast("int"))
     g = F.get(F.lit(firsts), F.col("o")) + F.shiftright(high * F.get(F.lit(subs), F.col("o")), 32) if bounds else F.lit(0)
     groups = sum(subs)
-    return Grouped(rows.withColumn("g", g.cast("int")).repartition(2 * groups, "g"), groups, 2 * groups)
+    rows = rows.withColumn("g", g.cast("int"))
+    return Grouped(rows.repartition(2 * groups, "g"), groups, 2 * groups, rows)
 
 
 def asked(

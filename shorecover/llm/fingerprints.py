@@ -142,12 +142,12 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = grouped(docs)
-    # the same columns for both uses below, so that Spark shuffles the texts once
     rows = texts.texts.select("id", "text", "g").withColumn("h", F.xxhash64("text"))
-    heads = rows.groupBy("g").agg(F.max(F.struct("id", "h", "text")).alias("top")).select("g", F.col("top.text").alias("text"))
+    # from the rows before the shuffle: a task sends one text a group at most
+    heads = texts.dealt.withColumn("h", F.xxhash64("text")).groupBy("g").agg(F.max(F.struct("id", "h", "text")).alias("top")).select("g", F.col("top.text").alias("text"))
     # the head of a group goes to the next greater group, that of the greatest to the least
     order = Window.orderBy("g")
-    present = rows.select("g").distinct()
+    present = texts.dealt.select("g").distinct()
     places = present.select("g", F.coalesce(F.lead("g").over(order), F.first("g").over(order)).alias("to"))
     heads = heads.join(places, "g").select(F.col("to").alias("g"), "text")
 
