@@ -91,9 +91,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = SHINGLE
     """Columns doc_id, class_id (smallest id of the class), n_links (verified links at its signature).
 
     Texts of one signature are one class. Signatures that share a band meet in a bucket; there a
-    search links those whose likeness is within 0.1 of the threshold, and each link is verified by
+    search links those whose estimated likeness is at most 0.1 below the threshold, and each link is verified by
     the Jaccard likeness of the shingle sets. A pair at 0.8 shares none of 32 bands with a
-    probability below 10^-7. Null ids never are a class_id unless a class has no other.
+    probability below 10^-7; one that hangs on a rejected link in one bucket is left to its other
+    buckets. n_links counts the links of the searches that hold, not all pairs. Null texts count
+    as empty, texts without words are one class. A row for each row of docs, repeated ones
+    included; null ids never are a class_id unless a class has no other. Texts are read whole;
+    other columns are ignored, whatever their names; an empty table gives none.
     """
     prints = cut(fingerprints(docs, size, id_col, text_col))
     distinct = cut(prints.groupBy("signature").agg(F.min("doc_id").alias("least")).select("signature", "least", F.xxhash64("signature").alias("node")))
@@ -108,8 +112,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = SHINGLE
         pairs = _forest(sig, threshold - 0.1)
         return pa.table({"a": pa.array([int(nodes[a]) for a, _ in pairs], pa.int64()), "b": pa.array([int(nodes[b]) for _, b in pairs], pa.int64())})
 
-    links = keyed.join(crowded, "k", "left_semi").groupBy("k").applyInArrow(work, "a long, b long").distinct()
-    sets = _shingle_sets(docs, size, id_col, text_col).join(distinct.select("node", F.col("least").alias("id")), "id").dropDuplicates(["node"]).select("node", "s")
+    links = cut(keyed.join(crowded, "k", "left_semi").groupBy("k").applyInArrow(work, "a long, b long").distinct())
+    # the set of a signature comes from its own texts: ids may be null or shared by different texts
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _shingle_sets(docs, size, text_col).join(linked, "node", "left_semi").groupBy("node").agg(F.min_by("s", F.xxhash64("s")).alias("s"))
     a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = cut(links.join(a, "a").join(b, "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
@@ -119,16 +125,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = SHINGLE
     return prints.join(each.join(least, "root").select("signature", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "signature").select("doc_id", "class_id", "n_links")
 
 
-def _shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _shingle_sets(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """Columns node (of the signature), s: the set of hashes of each text."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in W.runs(batch.column(1)):
+            for _, texts in W.runs(batch.column(0)):
                 h, at = shingles(texts, size)
                 sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+                raw = [s.astype("<u2").tobytes() for s in signatures(texts, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["signature", "s"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "id long, s array<long>")
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, "signature binary, s array<long>")
+    return rows.select(F.xxhash64("signature").alias("node"), "s")
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

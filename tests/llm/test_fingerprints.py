@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pyarrow as pa
+
 from shorecover.llm import exchange, fingerprints
 
 
@@ -33,6 +35,28 @@ def test_edited_by_definition(spark):
     assert fingerprints.edited(df.limit(0)).count() == 0 and fingerprints.edited(df.limit(1)).count() == 1
 
 
+def test_signature_by_definition():
+    text = " ".join(f"v{k * k % 37}" for k in range(60))
+    texts = pa.array([text], pa.large_string())
+    h, _ = fingerprints.shingles(texts)
+    least = [min(((int(x) * int(a) + int(b)) % 2**64) >> 32 for x in h) & 0xFFFF for a, b in zip(fingerprints._A, fingerprints._B, strict=True)]
+    assert fingerprints.signatures(texts)[0].tolist() == least
+    w = text.split()
+    assert len(set(h.tolist())) == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    """Near copies whose ids are null or shared with other texts are verified by their own shingles."""
+    rng = random.Random(5)
+    base = [[f"t{rng.randrange(9000)}" for _ in range(150)] for _ in range(3)]
+    near = [" ".join([*w[:-1], "changed"]) for w in base]
+    rows = [(7, " ".join(base[0])), (7, " ".join(base[1])), (8, near[0]), (9, near[1]), (None, " ".join(base[2])), (None, near[2]), (None, near[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as s", "3 as class_id")
+    got = sorted(((r.doc_id or -1, r.class_id or -1, r.n_links) for r in fingerprints.near_duplicates(df).collect()))
+    assert got == [(-1, -1, 1)] * 3 + [(7, 7, 1)] * 2 + [(8, 7, 1), (9, 7, 1)]
+    assert fingerprints.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_near_duplicates(spark):
     rng = random.Random(9)
     rows = []
