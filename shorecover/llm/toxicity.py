@@ -263,7 +263,10 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the labelled rows of docs: at most max_toxic and max_clean of them, by the smallest hashes of the id.
 
-    labels: id_col, label_col (0 or 1); other labels and null ids are left out; of several labels of an id the largest counts.
+    labels: id_col, label_col (0 or 1); other labels and null ids are left out; of several labels of an id the largest
+    counts, of several texts the smallest. Null texts teach nothing, repeated rows count once, very long texts are
+    read whole; other columns are ignored, whatever their names. An empty table of either kind gives a model that
+    finds nothing toxic.
     """
     labels = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     ranked = labels.select("id", "y", F.xxhash64("id").alias("h"))
@@ -271,8 +274,10 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     ranked = ranked.join(ids, "id", "left_semi")
     chosen = [ranked.where(F.col("y") == y).orderBy("h", "id").limit(n).collect() for y, n in ((1, max_toxic), (0, max_clean))]
     label = {r["id"]: r["y"] for rows in chosen for r in rows}
-    rows = docs.where(F.col(id_col).isin(list(label))).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").collect() if label else []
-    seen = {r["id"]: r["t"] for r in sorted(rows, key=lambda r: (r["id"], r["t"]), reverse=True)}
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    # one text for each id before the driver sees any: an id may have any number of rows
+    rows = texts.where(F.col("id").isin(list(label))).groupBy("id").agg(F.min("t").alias("t")).collect() if label else []
+    seen = {r["id"]: r["t"] for r in rows}
     return fit([(seen[i], label[i]) for i in sorted(seen)])
 
 
@@ -293,7 +298,12 @@ class _Judge:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id, score (0 to 1). A null text counts as empty; an empty text has the score of a text without any telling word."""
+    """Columns doc_id, score (0 to 1), a row for each row of docs, repeated ones and null ids included.
+
+    A null text counts as empty; an empty text has the score of a text without any telling word.
+    Texts are read whole, a run of about 1 MB at a time; equal texts have equal scores. Other
+    columns are ignored, whatever their names; an empty table gives none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +317,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below the threshold; a null text counts as empty."""
+    """The rows of docs whose text scores below the threshold; a null text counts as empty.
+
+    All columns stay, whatever their names; repeated rows share one fate, an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

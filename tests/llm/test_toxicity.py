@@ -55,6 +55,16 @@ def test_edge_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
+def test_repeated_ids_teach_their_smallest_text(spark):
+    rows = [(1, "you scum"), (1, "you idiot"), (1, "you idiot"), (2, "a fine day"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = toxicity.train(docs, labels)
+    want = toxicity.fit([("you idiot", 1), ("a fine day", 0)])
+    words = ["idiot", "scum", "day"]
+    assert np.allclose(got.decisions(words), want.decisions(words))
+
+
 @pytest.mark.parametrize("texts", [[], [("x", 1)], [("", 0), ("", 1)]])
 def test_tiny_samples(texts):
     assert toxicity.fit(texts) is not None
