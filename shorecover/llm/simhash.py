@@ -222,7 +222,7 @@ def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
 
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """first_rows() of the components within `radius` of 64 bits: near equal texts (4 bits stand for a likeness of about 0.98)."""
+    """first_rows() of the components within `radius` of 64 bits: near equal texts (4 bits stand for a likeness of about 0.98); nulls, repeated rows and empty tables as there."""
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), size, radius, id_col, text_col)
     return first_rows(docs, found, id_col, text_col)
 

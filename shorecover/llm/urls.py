@@ -94,7 +94,10 @@ class UrlFilter:
 
 
 def seed_labels(urls: DataFrame, url_col: str = "url", terms: list[str] = SEED_TERMS) -> DataFrame:
-    """Columns url, label: 1 if the host holds one of the terms, 0 otherwise; weak labels where none are given."""
+    """Columns url, label: 1 if the host holds one of the terms, 0 otherwise; weak labels where none are given.
+
+    A row for each url that is not null, repeated ones included; an empty url is a 0.
+    """
     bad = F.lit(False)
     for term in terms:
         bad = bad | host(F.col(url_col)).contains(term)
@@ -102,7 +105,11 @@ def seed_labels(urls: DataFrame, url_col: str = "url", terms: list[str] = SEED_T
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlFilter:
-    """labelled: url, label (0 or 1). At most `sample` distinct urls of each class, by the smallest hash, fit the model."""
+    """labelled: url, label (0 or 1). At most `sample` distinct urls of each class, by the smallest hash, fit the model.
+
+    Null urls and other labels are left out; of several labels of a url the larger counts. Where but
+    one class is left, or none, the score is the share of class 1 for every url.
+    """
     ranked = labelled.where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
     chosen = [ranked.where(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(sample).collect() for y in (0, 1)]
     rows = [(r.url, float(r.label)) for part in chosen for r in part]
@@ -115,12 +122,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlFilter:
     model = UrlFilter(None, {r.s: (r.bad + 10 * prior) / (r.n + 10) for r in by}, prior)
     trees = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=5)
     trees.setProbabilityCol("__probability").setRawPredictionCol("__raw").setPredictionCol("__prediction")
-    model.trees = trees.fit(model.vectors(data, "url").select("__features", "label").cache())
+    vectors = model.vectors(data, "url").select("__features", "label").cache()
+    model.trees = trees.fit(vectors)
+    vectors.unpersist()
     return model
 
 
 def judge(pages: DataFrame, model: UrlFilter, rules: list[tuple[str, str]], url_col: str = "url", threshold: float = 0.5) -> DataFrame:
-    """pages and host, path, rule, verdict ("block" or "allow"), score; columns of pages by these names give way."""
+    """pages and host, path, rule, verdict ("block" or "allow"), score; columns of pages by these names give way.
+
+    A row for each page, repeated ones included. A null url counts as empty: no host, no path, no
+    rule, a verdict by its score. Urls are read whole, of any length; an empty table stays empty.
+    """
     given = pages.drop("host", "path", "rule", "verdict", "score")
     rows = given.select("*", host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rows = model.with_score(rows, url_col).withColumn("__rule", rule_and_verdict(F.col("host"), F.col("path"), rules))

@@ -1,3 +1,4 @@
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -30,6 +31,27 @@ def test_rules_and_edges(spark):
     assert urls.judge(df.limit(0), model, RULES).count() == 0
 
 
+def test_features_by_definition(spark):
+    given = ["http://a-b.example.net/x/y?p=1&q=22#z=3", "https://EXAMPLE.org", "", None, "no scheme 12", "ftp://a..b./?=", "http://aab.de/é/1"]
+    df = spark.createDataFrame([(u,) for u in given], "url string")
+    for r in urls.with_features(df, {"net": 0.75, "": 0.5}, 0.25).collect():
+        url = r.url or ""
+        host, path, _, _ = by_definition(r.url)
+        query = re.search(r"\?([^#]*)", url)
+        labels = host.split(".")
+        shares = [host.count(c) / len(host) for c in set(host)]
+        want = [len(url), len(host), len(path), len(labels), path.count("/"), len(re.findall("[0-9]", url)) / max(1, len(url)), -sum(s * math.log2(s) for s in shares)]
+        want += [query[1].count("=") if query else 0, host.count("-"), max(map(len, labels)), {"net": 0.75, "": 0.5}.get(labels[-1], 0.25)]
+        assert list(r["__x"].asDict()) == urls.FEATURES
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r["__x"], want, strict=True)), r.url
+
+
+def test_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (2, None), (2, None)], "page_id long, url string")
+    got = urls.judge(df, urls.UrlFilter(None, {}, 0.2), RULES).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == [(1, "block"), (1, "block"), (2, "allow"), (2, "allow")]
+
+
 def test_held_out_hosts(spark):
     """Trained without one of the seed terms, the trees still find its urls."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
