@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import lab_decode8
+from .ranks import ranked
 
 
 def order_hash(seed: int, *keys: str) -> Column:
@@ -32,8 +33,12 @@ def pick_sites(df: DataFrame, site_colors: DataFrame, site: str | None = None) -
 
 
 def slice_per_location(df: DataFrame, start: int | None, end: int | None, by: str = "location", order: str = "image_id") -> DataFrame:
-    """Rows start to end of each location by id; negative numbers count from its end."""
-    rows = df.withColumns({"__n": F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1, "__all": F.count("*").over(Window.partitionBy(by))})
+    """Rows start to end of each location by id; negative numbers count from its end.
+
+    Ranks come from ranges of (location, id), so no task holds a location. A null location is one
+    like any other; rows equal in all columns are interchangeable.
+    """
+    rows = ranked(df, [by], [order])
     at = lambda v: F.lit(v) if v >= 0 else F.greatest(F.col("__all") + v, F.lit(0))
     if start is not None:
         rows = rows.where(F.col("__n") >= at(start))
