@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin wrappers that derive the result columns."""
+"""The registered queries of the operators: thin wrappers that derive the result columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, licenses, ngram_lm, pii, simhash, substring, toxicity, urls
+from . import bpe, decontamination, fingerprints, licenses, ngram_lm, pii, resampling, simhash, substring, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op4_bpe, op5_lm_scoring, op6_url_filter, op7_substring_dedup, op8_decontamination, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op4_bpe, op5_lm_scoring, op6_url_filter, op7_substring_dedup, op8_decontamination, op9_simhash, op10_pii, op13_resampling)}
 
 
 OP7 = r"""
