@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, hard_negatives, licenses, ngram_lm, pii, resampling, simhash, substring, toxicity, urls
+from . import bpe, decontamination, embedding_graph, fingerprints, hard_negatives, licenses, ngram_lm, pii, resampling, simhash, substring, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,13 +73,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicates(_table(spark, sf_dir, "embeddings")).rows
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op4_bpe, op5_lm_scoring, op6_url_filter, op7_substring_dedup, op8_decontamination, op9_simhash, op10_pii, op11_hard_negatives, op13_resampling)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_licenses, op4_bpe, op5_lm_scoring, op6_url_filter, op7_substring_dedup, op8_decontamination, op9_simhash, op10_pii, op11_hard_negatives, op12_embedding_dedup, op13_resampling)}
 
 
 OP7 = r"""
