@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
-#: Rows of a block of candidates, and of one of anchors; places of each list read at once.
+#: Rows of a block of candidates, and of one of anchors; places of each list read at first, twice as many each time after.
 CANDIDATES, ANCHORS, DEPTH = 8192, 1024, 32
 #: A component larger than this after quantisation counts as this, so that scores of 500 dimensions stay in 64 bits.
 LARGEST = 1 << 27
@@ -47,15 +47,16 @@ class Lists:
 
     ids: np.ndarray
     labels: np.ndarray
-    vectors: np.ndarray  # float64 where sums are exact in it, else int64
+    vectors: np.ndarray  # float32 or float64 where sums are exact in it, else int64
     order: np.ndarray  # [dimension, place]: rows by falling component
 
     @classmethod
     def of(cls, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> Lists:
         at = np.argsort(ids, kind="stable")
         vectors = vectors[at]
-        exact = len(vectors) and float(np.abs(vectors).max()) ** 2 * vectors.shape[1] < 2**53
-        return cls(ids[at], labels[at], vectors.astype(np.float64) if exact else vectors, np.argsort(-vectors, axis=0, kind="stable").T.copy())
+        most = float(np.abs(vectors).max(initial=1)) ** 2 * vectors.shape[1]
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+        return cls(ids[at], labels[at], vectors.astype(kind), np.argsort(-vectors, axis=0, kind="stable").T.astype(np.int32))
 
 
 @dataclass(frozen=True)
@@ -78,17 +79,18 @@ def search(lists: Lists, anchor: np.ndarray, fits: np.ndarray, windows: list[Wan
     while True:
         # the next places of each list, from its end where the anchor's component is negative
         places = np.arange(at, min(at + depth, n))
-        at += len(places)
+        at, depth = at + len(places), 2 * depth
+        fresh = np.zeros(n, bool)
         if len(dims):
-            seen = np.where(falling[:, None], lists.order[dims][:, places], lists.order[dims][:, n - 1 - places])
-            met_now = np.unique(seen[~met[seen]])
+            fresh[lists.order[dims[:, None], np.where(falling[:, None], places, n - 1 - places)]] = True
+            fresh &= ~met
         else:  # an anchor of zeros scores zero with all
-            met_now, at = np.arange(n), n
-        met[met_now] = True
-        fit = met_now[fits[met_now]]
+            fresh[:], at = True, n
+        met |= fresh
+        fit = np.flatnonzero(fresh & fits)
         rows = np.concatenate((rows, fit))
         scores = np.concatenate((scores, (lists.vectors[fit] @ q).astype(np.int64)))
-        if at >= n:
+        if at >= n or met.all():
             break
         edge = lists.order[dims, np.where(falling, at - 1, n - at)]
         threshold = int((lists.vectors[edge, dims] * q[dims]).sum())
