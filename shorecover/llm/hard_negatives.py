@@ -99,6 +99,8 @@ def search(lists: Lists, anchor: np.ndarray, fits: np.ndarray, windows: list[Wan
     found = []
     for w in windows:
         inside = np.flatnonzero(_inside(scores, w))
+        if len(inside) > w.k:  # only what reaches the kth score is sorted
+            inside = inside[scores[inside] >= _kth(scores[inside], w.k)]
         best = inside[np.lexsort((rows[inside], -scores[inside]))][: w.k]
         found.append((rows[best], scores[best]))
     return found
@@ -119,7 +121,12 @@ def _over(scores: np.ndarray, w: Want, threshold: int) -> bool:
     if w.low is not None and (100 * threshold < w.low or w.high < w.low):
         return True
     inside = scores[_inside(scores, w)]
-    return len(inside) >= w.k and threshold < np.partition(inside, len(inside) - w.k)[len(inside) - w.k]
+    return len(inside) >= w.k and threshold < _kth(inside, w.k)
+
+
+def _kth(scores: np.ndarray, k: int) -> int:
+    """The kth largest of at least k scores."""
+    return np.partition(scores, len(scores) - k)[len(scores) - k]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
