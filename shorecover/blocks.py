@@ -10,22 +10,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .functions.color import KNEE, LINEAR, MATRIX, WHITE
+from .models import Factory, Model, failure, loaded
 from .operators.points import apart
 
 #: Whole rasters are worked on by strips of so many lines, so that temporary arrays stay small.
 STRIP = 256
-#: The model of a slice: (rgb[N, h, w, 3] of 8 bits, prompt points (x, y) of each slice) -> water[N, h, w].
-Model = Callable[[np.ndarray, list[np.ndarray]], np.ndarray]
 _LINEAR = np.array(LINEAR, np.float32)
 
 
-def lab(rgb: np.ndarray) -> np.ndarray:
-    """[..., 3] of whole numbers 0 to 255 to L, a, b, in 32 bits."""
-    c = _LINEAR[rgb]
-    t = c @ (np.array(MATRIX) / np.array(WHITE)[:, None]).T.astype(np.float32)
-    f = np.where(t > KNEE, np.cbrt(t), np.float32(7.787) * t + np.float32(16.0 / 116))
+def lab(rgb: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    """[..., 3] of whole numbers 0 to 255 to L, a, b, in 32 bits (kind: or 64)."""
+    c = _LINEAR[rgb] if kind is np.float32 else np.array(LINEAR)[rgb]
+    t = c @ (np.array(MATRIX) / np.array(WHITE)[:, None]).T.astype(kind)
+    f = np.where(t > KNEE, np.cbrt(t), kind(7.787) * t + kind(16.0 / 116))
     y, fy = t[..., 1], f[..., 1]
-    return np.stack((np.where(y > KNEE, 116 * fy - 16, np.float32(903.3) * y), 500 * (f[..., 0] - fy), 200 * (fy - f[..., 2])), -1)
+    return np.stack((np.where(y > KNEE, 116 * fy - 16, kind(903.3) * y), 500 * (f[..., 0] - fy), 200 * (fy - f[..., 2])), -1)
 
 
 def _by_strips(work: Callable[[np.ndarray], np.ndarray], values: np.ndarray) -> np.ndarray:
@@ -133,23 +132,36 @@ def erode(kelp: np.ndarray, kernel: int) -> np.ndarray:
     return out
 
 
-def _rgb(data: bytes, h: int, w: int) -> np.ndarray:
+def as_rgb(data: bytes, h: int, w: int) -> np.ndarray:
+    """[h, w, 3] of a raster's bytes (BGR, grey, or with a fourth channel)."""
     px = np.frombuffer(data, np.uint8).reshape(h, w, -1)
     return np.repeat(px, 3, 2) if px.shape[2] == 1 else px[..., 2::-1]
 
 
-def sample_colors(rasters: DataFrame, n: int = 50_000, seed: int = 0) -> DataFrame:
-    """location, image, L8, A8, B8 of at most n random pixels of each raster, drawn before pixels are rows."""
+def sample_colors(rasters: DataFrame, n: int = 50_000, seed: int = 0, errors: bool = False) -> DataFrame:
+    """location, image, L8, A8, B8 of at most n random pixels of each raster, drawn before pixels are rows.
+
+    errors: adds error; a raster that can't be worked on gives one row with it and no colours, in place of ending the job.
+    """
+
+    def one(location: str, image: str, h: int, w: int, data: bytes) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, *str(image).encode()])
+        at = rng.choice(h * w, min(n, h * w), replace=False)
+        v = lab8(lab(as_rgb(data, h, w).reshape(-1, 3)[at]))
+        return pd.DataFrame({"location": location, "image": str(image), "L8": v[:, 0], "A8": v[:, 1], "B8": v[:, 2]})
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for location, image, h, w, data in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, *str(image).encode()])
-                at = rng.choice(h * w, min(n, h * w), replace=False)
-                v = lab8(lab(_rgb(data, h, w).reshape(-1, 3)[at]))
-                yield pd.DataFrame({"location": location, "image": str(image), "L8": v[:, 0], "A8": v[:, 1], "B8": v[:, 2]})
+            for row in pdf.itertuples(index=False):
+                if not errors:
+                    yield one(*row)
+                    continue
+                try:
+                    yield one(*row).assign(error=None)
+                except Exception as e:  # noqa: BLE001
+                    yield pd.DataFrame({"location": [row[0]], "image": [str(row[1])], "L8": [None], "A8": [None], "B8": [None], "error": [failure(e)]})
 
-    return rasters.where("height > 0").select("location", "image", "height", "width", "data").mapInPandas(work, "location string, image string, L8 int, A8 int, B8 int")
+    return rasters.where("height > 0").select("location", "image", "height", "width", "data").mapInPandas(work, "location string, image string, L8 int, A8 int, B8 int" + ", error string" * errors)
 
 
 @dataclass(frozen=True)
@@ -248,7 +260,7 @@ def one_pass(rgb: np.ndarray, values: np.ndarray, water: np.ndarray, size: int,
 
 def coverage(
     rasters: DataFrame, size: int = 1024, coarse_size: int = 4096, overlap: float = 0.2, threshold: float = 20.0, kernel: int = 51, color_threshold: float = 15, lightness: float = 75.0,
-    padding: int = 0, clahe: bool = False, factor: float = 1.0, hierarchical: bool = True, erosion: bool = True, validation: bool = True, model_fn: Model | None = None, batch_size: int = 32, **prompting,
+    padding: int = 0, clahe: bool = False, factor: float = 1.0, hierarchical: bool = True, erosion: bool = True, validation: bool = True, model_fn: Model | Factory | None = None, batch_size: int = 32, errors: bool = False, **prompting,
 ) -> DataFrame:
     """image, coverage_percentage of rasters with water_l, water_a, water_b: the whole job on one raster at a time, no pixel rows.
 
@@ -256,13 +268,16 @@ def coverage(
     with its prompt points; fine slices merge by OR, coarse ones by AND; the coarse kelp is eroded;
     disputed pixels are judged by colour. Prompt points are drawn by another generator than in
     jobs; routes are the same. clahe equalises L in 8 bits first, factor shrinks the raster before
-    that. prompting: the fields of Prompting. A null image has the name "None". Some 26 bytes a
-    pixel at once: about 1.1 GB for 42 million.
+    that. prompting: the fields of Prompting. A null image has the name "None". errors: adds error;
+    a raster that fails, its data or the model on it, is a row with the message and no coverage,
+    and the others go on; without it the job ends. Some 26 bytes a pixel at once: about 1.1 GB
+    for 42 million; operators.tiles works on parts of rasters.
     """
     how = Prompting(**prompting)
 
     def one(name: str, h: int, w: int, data: bytes, water: np.ndarray) -> float:
-        rgb = downsample(_rgb(data, h, w), factor)
+        model = loaded(model_fn)
+        rgb = downsample(as_rgb(data, h, w), factor)
         if not rgb.size:
             return 0.0
         values = _by_strips(lab, rgb)
@@ -270,7 +285,7 @@ def coverage(
             scaled = _by_strips(lambda v: lab8(v).astype(np.uint8), values)
             scaled[..., 0] = equalize(scaled[..., 0])
             values = scaled * np.array([100 / 255, 1, 1], np.float32) - np.array([0, 128, 128], np.float32)
-        passes = [~one_pass(rgb, values, water, s, overlap, padding, logic, threshold, how, model_fn, batch_size, list(name.encode())) for s, logic in ((size, "OR"), (coarse_size, "AND"))[: 1 + hierarchical]]
+        passes = [~one_pass(rgb, values, water, s, overlap, padding, logic, threshold, how, model, batch_size, list(name.encode())) for s, logic in ((size, "OR"), (coarse_size, "AND"))[: 1 + hierarchical]]
         kelp = passes[0]
         if hierarchical:
             coarse = erode(passes[1], kernel) if erosion else passes[1]
@@ -282,8 +297,17 @@ def coverage(
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(str(i), one(str(i), h, w, data, np.array(water))) for i, h, w, data, *water in pdf.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["image", "coverage_percentage"])
+            rows = []
+            for i, h, w, data, *water in pdf.itertuples(index=False):
+                value = error = None
+                try:
+                    value = one(str(i), h, w, data, np.array(water))
+                except Exception as e:  # noqa: BLE001
+                    if not errors:
+                        raise
+                    error = failure(e)
+                rows.append((str(i), value, error)[: 2 + errors])
+            yield pd.DataFrame(rows, columns=["image", "coverage_percentage", "error"][: 2 + errors])
 
     given = rasters.where("height > 0").select("image", "height", "width", "data", "water_l", "water_a", "water_b")
-    return given.mapInPandas(work, "image string, coverage_percentage double")
+    return given.mapInPandas(work, "image string, coverage_percentage double" + ", error string" * errors)

@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from . import fixtures as fx
 from .catalog_sql import SQL
 from .functions import color, geo, naming
 from .operators import cells, heat, masks, pixels, points, segment, slicing, survey
 from .plans import jobs
-from .session import temporary
+from .session import cut, temporary
 from .sources import rasters as raster_source
 from .sources import tables
+from .sources.store import ResultStore
 from .streaming.watch import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,9 +444,9 @@ def udf_1_routes(spark, d):
 
 @_query
 def udf_2_predict_masks(spark, d):
-    rows = fx.lab(spark, d).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", "x", "L", "a", "b_"))).alias("p"))
-    flat = rows.select("image", F.flatten(F.transform("p", lambda p: F.array(p["L"], p["a"], p["b_"]))).alias("lab"), F.array(*map(F.lit, fx.WATER.values())).alias("water"))
-    return segment.predict_masks(flat, segment.color_mask(14.0)).select("image", F.aggregate("mask", F.lit(0), lambda s, v: s + v).cast("long").alias("n_water"))
+    """The rasters as slices of bytes, in batches across images, by a model that each worker loads."""
+    slices = raster_source.pack_rasters(fx.rasters(spark, d))
+    return segment.predict_masks(slices, segment.color_mask(tuple(fx.WATER.values()), 14.0)).select("image", "n_water")
 
 
 @_query
@@ -520,10 +522,44 @@ def src_9_split_errors(spark, d):
 
 
 @_query
-def inc_1_watch(spark, d):
-    """The survey as a folder of files, worked off three at a time, then once more: nothing is done twice."""
+def src_9_task_errors(spark, d):
+    """Every fifth raster is cut short, so its task fails on it: an error row, and coverage of all others."""
+    cut_short = F.when(F.col("image") % 5 == 2, F.substring("data", 1, 10)).otherwise(F.col("data"))
+    given = raster_source.pack_rasters(fx.rasters(spark, d)).withColumn("data", cut_short.cast("binary"))
+    found = blocks.coverage(given.withColumns({c: F.lit(v) for c, v in fx.WATER.items()}), 64, hierarchical=False, uniformity=False, threshold=14, threshold_max=14, num_points=1, errors=True)
+    ok, failed = tables.split_errors(cut(found))
+    return ok.select(F.col("image").cast("int").alias("image"), "coverage_percentage").unionAll(failed.select(F.col("image").cast("int"), F.lit(-1.0)))
+
+
+def _watched(spark, d, runs):
+    """A store after runs of (rows to add as files, process, overwrite) over one folder, three files at a time."""
     base = temporary(spark, "watch")
-    fx.survey(spark, d).select("image_name", "image_id").repartition(8).write.parquet(f"{base}/in")
-    for _ in range(2):
-        watch(spark, f"{base}/in", "image_name string, image_id long", f"{base}/out", f"{base}/state", lambda df: df, 3).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("image_name", "image_id")
+    for rows, process, overwrite in runs:
+        if rows is not None:
+            rows.select("image_name", "image_id").repartition(8).write.mode("append").parquet(f"{base}/in")
+        watch(spark, f"{base}/in", "image_name string, image_id long", f"{base}/store", f"{base}/state", process, 3, overwrite=overwrite).awaitTermination()
+    return ResultStore(spark, f"{base}/store").read()
+
+
+def _failing(rows):
+    return rows.withColumn("error", F.when(F.col("image_id") % 7 == 0, F.concat(F.lit("failed: "), "image_name")))
+
+
+def _sound(rows):
+    return rows.withColumn("error", F.lit(None).cast("string"))
+
+
+@_query
+def inc_1_watch(spark, d):
+    """The survey as files: a run in which a seventh of the images fails, one that tries them again, and one that overwrites an eleventh. Each image is one row, the newest."""
+    rows = fx.survey(spark, d)
+    again = rows.where("image_id % 11 = 0").withColumn("image_id", F.col("image_id") + 1_000_000)
+    return _watched(spark, d, [(rows, _failing, False), (None, _sound, False), (again, _sound, True)]).select("image_name", "image_id", "error")
+
+
+@_query
+def inc_1_errors(spark, d):
+    """After a run with failures and a restart that fails again, the failed images are error rows and no results."""
+    found = _watched(spark, d, [(fx.survey(spark, d), _failing, False), (None, _failing, False)])
+    ok, errors = tables.split_errors(found)
+    return ok.select("image_name", F.lit("ok").alias("state")).unionAll(errors.select("image_name", F.col("error").alias("state")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from .. import blocks
+from .. import blocks, schemas
 from ..functions import color, geo, naming
 from ..operators import cells, heat, masks, pixels, points, segment, slicing, survey
 from ..session import cut
 from ..sources import tables
+from ..sources.store import ResultStore
+from ..streaming.watch import watch
 
 
 def calibrate(samples: DataFrame) -> DataFrame:
@@ -88,8 +91,9 @@ def diagnose(px: DataFrame, size: int = 1024, overlap: float = 0.2, grid: int =
 def analyze(rasters: DataFrame, site_colors: DataFrame, survey_rows: DataFrame, known: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(results, errors) of decoded rasters (see sources.read_rasters): location from the name, water colour, coverage, metadata.
 
-    A raster that could not be decoded, one without a location and one whose location has no
-    colour are error rows (image_name, error). known: results of earlier runs; their images are
+    A raster that could not be decoded, one without a location, one whose location has no
+    colour, and one on which the work or the model fails in its task, are error rows (image_name,
+    error); the others go on. Coverage is computed once, written, and split into both. known: results of earlier runs; their images are
     skipped and their rows kept. options: those of blocks.coverage().
     """
     named = naming.with_location(rasters.withColumn("image_name", F.col("image")), "image_name")
@@ -98,9 +102,45 @@ def analyze(rasters: DataFrame, site_colors: DataFrame, survey_rows: DataFrame,
     water = color.lab_decode8(site_colors).select("location", "water_l", "water_a", "water_b")
     rows = named.join(water, "location", "left")
     error = F.when(F.col("height") <= 0, "not an image").when(F.col("location").isNull(), "no location in the name").when(F.col("water_l").isNull(), F.concat(F.lit("no water colour for "), "location"))
-    ok, errors = tables.split_errors(rows.withColumn("error", error))
-    found = blocks.coverage(ok, **options).withColumnRenamed("image", "image_name")
+    ok, unfit = tables.split_errors(rows.withColumn("error", error))
+    found, failed = tables.split_errors(cut(blocks.coverage(ok, errors=True, **options).withColumnRenamed("image", "image_name")))
     results = survey.result_rows(survey.attach_metadata(found, survey_rows.select("image_name", "image_id", "latitude", "longitude")))
     if known is not None:
         results = survey.upsert_results(known.select(results.columns), results)
-    return results, errors.select("image_name", "error")
+    return results, unfit.select("image_name", "error").unionAll(failed.select("image_name", "error"))
+
+
+#: Streamed rasters: the columns of sources.read_rasters() but the path, or image files.
+RASTER_ROWS = "image string, height int, width int, n_channels int, data binary"
+IMAGE_FILES = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+
+
+def analyze_stream(
+    spark: SparkSession, in_dir: str, store_dir: str, checkpoint: str, site_colors: DataFrame, survey_rows: DataFrame, files: str = "image", batch: int = 25, overwrite: bool = False, **options,
+) -> StreamingQuery:
+    """analyze() over the files of a folder, `batch` at a time, upserted into the store: a result or an error row for each image.
+
+    files: "image" for image files, "parquet" for rows of RASTER_ROWS. Images with a result are
+    skipped, those with an error tried again at each start (see streaming.watch).
+    """
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.columns if c.startswith("__")]
+        if files == "image":
+            rows = rows.select(F.element_at(F.split("image.origin", "/"), -1).alias("image"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data", *kept)
+        return rows.withColumn("image_name", F.col("image"))
+
+    def process(rows: DataFrame) -> DataFrame:
+        results, errors = analyze(rows.drop("image_name"), site_colors, survey_rows, **options)
+        return results.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+
+    return watch(spark, in_dir, IMAGE_FILES if files == "image" else RASTER_ROWS, store_dir, checkpoint, process, batch, files, overwrite, prepare)
+
+
+def publish(spark: SparkSession, store_dir: str, command: str, run_args: dict[str, str], path: str | None = None) -> str:
+    """The results of a store as documents that carry the command and arguments of the store's first run; gives the path. Error rows are no results."""
+    store = ResultStore(spark, store_dir)
+    command, run_args = store.first_run(command, run_args)
+    rows = store.read()
+    rows = spark.createDataFrame([], schemas.RESULT) if rows is None else survey.result_rows(rows.where("error is null"))
+    return tables.write_documents(rows, command, run_args, path)

@@ -9,7 +9,6 @@ from shorecover.functions import color, geo, naming
 from shorecover.operators import cells, heat, masks, pixels, points, slicing, survey
 from shorecover.plans import jobs
 from shorecover.sources import rasters, tables
-from shorecover.streaming.watch import watch
 
 
 def frame(spark, arrays):
@@ -226,11 +225,6 @@ def test_the_model_gets_slices_and_points(spark):
     half = {r.image: r.coverage_percentage for r in blocks.coverage(read, 12, 24, 0.2, model_fn=model, batch_size=2, padding=1, **ROUTED).collect()}
     plain = {r.image: r.coverage_percentage for r in blocks.coverage(read, 12, 24, 0.2, padding=1, **ROUTED).collect()}
     assert set(half) == set(plain) and half != plain
-    rows = spark.createDataFrame([(1, [1.0] * 6, [0.0] * 3, [0, 1]), (2, [1.0] * 6, [0.0] * 3, None)], "k int, lab array<double>, water array<double>, points array<int>")
-    from shorecover.operators import segment
-
-    found = segment.predict_masks(rows, lambda lab, water, points: np.array([[len(p) > 0] * 2 for p in points])).collect()
-    assert [r.mask for r in sorted(found)] == [[1, 1], [0, 0]]
 
 
 def test_equalize_and_downsample_by_blocks(spark, images):
@@ -281,17 +275,3 @@ def test_documents_keep_the_first_run(spark, tmp_path):
     assert tables.read_site_colors(spark, str(tmp_path / "missing")).count() == 0
     (tmp_path / "bad.json").write_text("{no json")
     assert tables.read_results(spark, str(tmp_path / "bad.json")).count() == 0
-
-
-def test_watch_resumes(spark, tmp_path):
-    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    schema = "image_name string, v int"
-    process = lambda df: df.withColumn("error", F.when(F.col("v") < 0, F.lit("bad")))
-    for names in (["a", "b"], ["b", "c"]):
-        spark.createDataFrame([(n, -1 if n == "b" else 1) for n in names], schema).coalesce(1).write.mode("append").parquet(source)
-        for _ in range(2):
-            watch(spark, source, schema, out, state, process).awaitTermination(120)
-    rows = spark.read.parquet(out)
-    assert sorted(r.image_name for r in rows.collect()) == ["a", "b", "c"]
-    ok, errors = tables.split_errors(rows)
-    assert ok.count() == 2 and errors.count() == 1
