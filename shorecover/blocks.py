@@ -27,7 +27,7 @@ def lab(rgb: np.ndarray, kind: type = np.float32) -> np.ndarray:
     return np.stack((np.where(y > KNEE, 116 * fy - 16, kind(903.3) * y), 500 * (f[..., 0] - fy), 200 * (fy - f[..., 2])), -1)
 
 
-def _by_strips(work: Callable[[np.ndarray], np.ndarray], values: np.ndarray) -> np.ndarray:
+def by_strips(work: Callable[[np.ndarray], np.ndarray], values: np.ndarray) -> np.ndarray:
     """work() on strips of lines, joined; the result has the lines of the input."""
     first = work(values[:STRIP])
     out = np.empty((len(values), *first.shape[1:]), first.dtype)
@@ -37,8 +37,14 @@ def _by_strips(work: Callable[[np.ndarray], np.ndarray], values: np.ndarray) ->
     return out
 
 
-def _lab_distance(values: np.ndarray, water: np.ndarray) -> np.ndarray:
-    return _by_strips(lambda v: np.sqrt(((v - water.astype(np.float32)) ** 2).sum(-1)), values)
+def off_color(values: np.ndarray, water: np.ndarray, color_threshold: float, lightness: float) -> np.ndarray:
+    """Dark pixels whose a, b lie away from the water colour."""
+    off = lambda v: (v[..., 0] < lightness) & (np.sqrt(((v[..., 1:] - water[1:].astype(np.float32)) ** 2).sum(-1)) > color_threshold)
+    return by_strips(off, values)
+
+
+def lab_distance(values: np.ndarray, water: np.ndarray) -> np.ndarray:
+    return by_strips(lambda v: np.sqrt(((v - water.astype(np.float32)) ** 2).sum(-1)), values)
 
 
 def lab8(values: np.ndarray) -> np.ndarray:
@@ -65,8 +71,8 @@ def downsample(rgb: np.ndarray, factor: float) -> np.ndarray:
 
     if min(int(n / factor) for n in rgb.shape[:2]) < 1:
         return rgb[:0, :0]
-    narrow = _by_strips(along, rgb)
-    short = _by_strips(along, narrow.swapaxes(0, 1)).swapaxes(0, 1)
+    narrow = by_strips(along, rgb)
+    short = by_strips(along, narrow.swapaxes(0, 1)).swapaxes(0, 1)
     return np.floor(short.round(3) + np.float32(0.5)).clip(0, 255).astype(np.uint8)
 
 
@@ -193,10 +199,10 @@ def route(values: np.ndarray, water: np.ndarray, size: int, how: Prompting, rng:
         valid = uniform & near
         found = valid[np.arange(h) * valid.shape[0] // h][:, np.arange(w) * valid.shape[1] // w] if valid.any() else np.zeros((h, w), bool)
     else:
-        found = _lab_distance(values, water) <= how.threshold_max
+        found = lab_distance(values, water) <= how.threshold_max
     at = np.argwhere(found)
     if len(at) < max(1, how.num_points):
-        away = _lab_distance(values, water)
+        away = lab_distance(values, water)
         return bool(values[..., 0].mean(dtype=np.float64) > how.brightness and away.mean(dtype=np.float64) < how.max_distance)
     if how.uniformity:
         at = at[rng.permutation(len(at))]
@@ -212,18 +218,29 @@ def route(values: np.ndarray, water: np.ndarray, size: int, how: Prompting, rng:
     return at[chosen][:, ::-1]
 
 
-def one_pass(rgb: np.ndarray, values: np.ndarray, water: np.ndarray, size: int, overlap: float, padding: int, logic: str, threshold: float, how: Prompting, model: Model | None, batch: int, key: list[int]) -> np.ndarray:
-    """The water mask of one raster by slices of one size; without a model, water is what lies within the threshold of the water colour."""
-    h, w = values.shape[:2]
-    content = size - 2 * padding
+def starts(length: int, content: int, overlap: float) -> list[int]:
+    """Where the slices begin along one axis; the last one moves back to the edge."""
     if content <= 0:
         raise ValueError("the padding leaves no content in a slice")
     step = content - int(overlap * content)
+    n = 1 if length <= content else 1 + -(-(length - content) // step)
+    return [max(0, min(k * step, length - content)) for k in range(n)]
 
-    def starts(length: int) -> list[int]:
-        n = 1 if length <= content else 1 + -(-(length - content) // step)
-        return [max(0, min(k * step, length - content)) for k in range(n)]
 
+def framed(rgb: np.ndarray, padding: int) -> np.ndarray:
+    """The picture of a slice in its green border."""
+    if not padding:
+        return rgb
+    green = np.zeros((rgb.shape[0] + 2 * padding, rgb.shape[1] + 2 * padding, 3), np.uint8)
+    green[..., 1] = 255
+    green[padding:-padding, padding:-padding] = rgb
+    return green
+
+
+def one_pass(rgb: np.ndarray, values: np.ndarray, water: np.ndarray, size: int, overlap: float, padding: int, logic: str, threshold: float, how: Prompting, model: Model | None, batch: int, key: list[int]) -> np.ndarray:
+    """The water mask of one raster by slices of one size; without a model, water is what lies within the threshold of the water colour."""
+    h, w = values.shape[:2]
+    content = size - 2 * padding
     border = ((padding, padding), (padding, padding), (0, 0))
     done, waiting = [], []
 
@@ -233,21 +250,16 @@ def one_pass(rgb: np.ndarray, values: np.ndarray, water: np.ndarray, size: int,
             done.append((y, x, mask[padding : part.shape[0] - padding, padding : part.shape[1] - padding]))
         waiting.clear()
 
-    for number, (y, x) in enumerate((y, x) for y in starts(h) for x in starts(w)):
+    for number, (y, x) in enumerate((y, x) for y in starts(h, content, overlap) for x in starts(w, content, overlap)):
         part = values[y : y + content, x : x + content]
         padded = np.pad(part, border) if padding else part
         what = route(padded, water, size, how, np.random.default_rng([how.seed, *key, size, number]))
         if isinstance(what, bool):
             done.append((y, x, np.full(part.shape[:2], what)))
         elif model is None:
-            done.append((y, x, _lab_distance(part, water) <= threshold))
+            done.append((y, x, lab_distance(part, water) <= threshold))
         else:
-            picture = rgb[y : y + content, x : x + content]
-            if padding:
-                green = np.zeros((*padded.shape[:2], 3), np.uint8)
-                green[..., 1] = 255
-                green[padding:-padding, padding:-padding] = picture
-                picture = green
+            picture = framed(rgb[y : y + content, x : x + content], padding)
             if waiting and waiting[0][2].shape != picture.shape:
                 predict()
             waiting.append((y, x, picture, what))
@@ -280,9 +292,9 @@ def coverage(
         rgb = downsample(as_rgb(data, h, w), factor)
         if not rgb.size:
             return 0.0
-        values = _by_strips(lab, rgb)
+        values = by_strips(lab, rgb)
         if clahe:
-            scaled = _by_strips(lambda v: lab8(v).astype(np.uint8), values)
+            scaled = by_strips(lambda v: lab8(v).astype(np.uint8), values)
             scaled[..., 0] = equalize(scaled[..., 0])
             values = scaled * np.array([100 / 255, 1, 1], np.float32) - np.array([0, 128, 128], np.float32)
         passes = [~one_pass(rgb, values, water, s, overlap, padding, logic, threshold, how, model, batch_size, list(name.encode())) for s, logic in ((size, "OR"), (coarse_size, "AND"))[: 1 + hierarchical]]
@@ -291,8 +303,7 @@ def coverage(
             coarse = erode(passes[1], kernel) if erosion else passes[1]
             kelp, disputed = passes[0] & coarse, passes[0] ^ coarse
             if validation:
-                off = lambda v: (v[..., 0] < lightness) & (np.sqrt(((v[..., 1:] - water[1:].astype(np.float32)) ** 2).sum(-1)) > color_threshold)
-                kelp |= disputed & _by_strips(off, values)
+                kelp |= disputed & off_color(values, water, color_threshold, lightness)
         return float(np.count_nonzero(kelp) / kelp.size * 100)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

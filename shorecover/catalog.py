@@ -12,7 +12,7 @@ from . import blocks
 from . import fixtures as fx
 from .catalog_sql import SQL
 from .functions import color, geo, naming
-from .operators import cells, heat, masks, pixels, points, segment, slicing, survey
+from .operators import cells, heat, masks, pixels, points, segment, slicing, survey, tiles
 from .plans import jobs
 from .session import cut, temporary
 from .sources import rasters as raster_source
@@ -347,6 +347,37 @@ def win_10_erode(spark, d):
     return masks.erode(fx.fine(spark, d), fx.KERNEL)
 
 
+def _pixels(tile_rows):
+    return tiles.mask_pixels(tile_rows).withColumn("image", F.col("image").cast("int"))
+
+
+@_query
+def win_10_erode_tiles(spark, d):
+    """The erosion on tiles smaller than its reach, borders exchanged."""
+    fine = fx.fine(spark, d)
+    return _pixels(tiles.merge_tiles(tiles.pack_mask_tiles(fine, pixels.image_sizes(fine), 5), 7, kernel=fx.KERNEL))
+
+
+def _slice_pieces(spark, d, only="true"):
+    masked = fx.slice_masks(spark, d).where(only)
+    rows = masked.join(fx.sliced(spark, d).select("image", "slice_id", "y", "x", "y0", "x0", "y1", "x1"), ["image", "slice_id", "y", "x"])
+    return tiles.pack_pieces(rows, pixels.image_sizes(fx.rasters(spark, d)))
+
+
+@_query
+def agg_7_merge_tiles(spark, d):
+    """Masks of overlapping slices merged by OR into tiles."""
+    return _pixels(tiles.merge_tiles(_slice_pieces(spark, d), 20))
+
+
+@_query
+def coverage_tiles(spark, d):
+    """The coverage job on tiles of 24 pixels: no task holds an image."""
+    rows = tiles.cut_tiles(raster_source.pack_rasters(fx.rasters(spark, d)), 24).withColumns({c: F.lit(v) for c, v in fx.WATER.items()})
+    found = tiles.coverage(rows, 24, fx.SLICE, 64, fx.OVERLAP, kernel=fx.KERNEL, grid=fx.CELL, uniform_std=4.0, threshold_max=10.0, num_points=3, seed=fx.SEED)
+    return found.select(F.col("image").cast("int").alias("image"), "coverage_percentage")
+
+
 @_query
 def win_11_sample_per_cell(spark, d):
     return points.sample_per_cell(fx.candidates(spark, d), fx.flagged(spark, d), 10, fx.SEED).select("image", "slice_id", "sy", "sx")

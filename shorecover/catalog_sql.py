@@ -317,3 +317,8 @@ _option_pass("optfine", SLICE, "bool_or")
 _option_pass("optcoarse", 64, "bool_and")
 _sql("coverage_options", f"select image, {R('count_if(not f.m and not c.m)*100e0/count(*)', 'coverage_percentage')} from optfine_mask f join optcoarse_mask c using (image, y, x) group by 1")
 _sql("agg_6_fallback_padded", f"select image, slice_id, {R('mean_l', 'mean_l')}, {R('mean_distance', 'mean_distance')}, mean_l > 38 and mean_distance < 22 as all_water from optfine_flags")
+
+# the tiled tier gives what the others give
+SQL["win_10_erode_tiles"] = SQL["win_10_erode"]
+SQL["agg_7_merge_tiles"] = SQL["agg_7_or_merge"]
+SQL["coverage_tiles"] = SQL["coverage_job"]
