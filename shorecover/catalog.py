@@ -436,7 +436,8 @@ def math_9_mercator(spark, d):
 @_query
 def math_10_disc_area(spark, d):
     box = [F.col("image_id") % 31 - 20.0, F.col("image_id") % 37 - 22.0]
-    return fx.survey(spark, d).select("image_id", geo.disc_cell_area(F.lit(0.0), F.lit(0.0), box[0], box[1], box[0] + 9, box[1] + 14).alias("area"))
+    boxes = fx.survey(spark, d).select("image_id", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), box[0].alias("x0"), box[1].alias("y0"), (box[0] + 9).alias("x1"), (box[1] + 14).alias("y1"))
+    return geo.disc_cell_area(boxes).select("image_id", "area")
 
 
 @_query

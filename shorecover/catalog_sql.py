@@ -209,6 +209,15 @@ _sql("win_4_one_per_cell", "select image, slice_id, cell_id, sy, sx from filtere
 _sql("win_5_sample_pixels", f"select image, y, x, r, g, b from px qualify row_number() over (partition by image order by md5(concat_ws('|', '{SEED}', image, y, x)), y, x) <= 500")
 _sql("win_6_random_points", f"select image, slice_id, sx as x, sy as y from filtered qualify row_number() over (partition by image, slice_id order by {ORDER}, sy, sx) <= 3")
 _sql("win_7_center_bias", f"select image, slice_id, sx as x, sy as y from filtered qualify row_number() over (partition by image, slice_id order by -ln(('0x' || substr({ORDER}, 1, 8))::bigint / 4294967296e0 + power(2e0, -33)) * (sqrt(power(sy-h/2e0, 2)+power(sx-w/2e0, 2))+1e-6), sy, sx) <= 3")
+S.add("tried", f"select image, slice_id, sy, sx, row_number() over (partition by image, slice_id order by {ORDER}, sy, sx) as k, least(3, count(*) over (partition by image, slice_id)) as n from filtered")
+S.add(
+    "walk",
+    f"""select image, slice_id, k, n, [sy] as ys, [sx] as xs, 0 as refused from tried where k = 1 union all
+select image, slice_id, k, n, case when far then list_append(ys, sy) else ys end, case when far then list_append(xs, sx) else xs end, case when far then 0 else refused + 1 end from
+ (select t.*, ys, xs, refused, len(list_filter(list_zip(ys, xs), lambda p: 4*t.n*t.n*((p[1]-sy)*(p[1]-sy)+(p[2]-sx)*(p[2]-sx)) <= 2*{SLICE}*{SLICE})) = 0 as far
+  from walk w join tried t on w.image = t.image and w.slice_id = t.slice_id and t.k = w.k + 1 where len(ys) < w.n and refused < 30)""",
+)
+SQL["win_8_poisson_disk"] = S.get("select image, slice_id, unnest(xs) as x, unnest(ys) as y from (select * from walk qualify row_number() over (partition by image, slice_id order by k desc) = 1)").replace("with ", "with recursive ", 1)
 _sql("win_9_require_points", "select f.image, f.slice_id, sy, sx from filtered f join ncands c on f.image = c.image and f.slice_id = c.slice_id where c.n >= 200")
 _sql("win_10_erode", "select image, y, x, m as is_water from eroded")
 _sql("win_11_sample_per_cell", f"select image, slice_id, sy, sx from cands qualify row_number() over (partition by {KEY4} order by {ORDER}, sy, sx) <= 10")

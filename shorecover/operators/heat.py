@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import CELL, RADIUS, disc_cell_area_udf
+from ..functions.geo import CELL, RADIUS, disc_cell_area
 
 
 #: A common area up to this many square metres is rounding, not overlap.
@@ -26,11 +26,24 @@ def _boxed(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumns({"grid_id": F.col("ix") * F.col("ny") + F.col("iy"), "x0": x0, "y0": y0, "x1": x0 + cell, "y1": y0 + cell})
 
 
+#: Cells of a row of make_grid() before they are rows, at least; beyond, a millionth of all.
+RUN = 4096
+
+
 def make_grid(bounds: DataFrame, cell: float = CELL) -> DataFrame:
-    """Every square of `cell` metres from the least corner: grid_id, ix, iy, x0, y0, x1, y1."""
+    """Every square of `cell` metres from the least corner: grid_id, ix, iy, x0, y0, x1, y1.
+
+    The row of bounds becomes runs of grid ids (at most a million), dealt to all tasks, and only there cells, whose ix and iy follow from the id.
+    """
     nx, ny = _counts(cell)
     rows = bounds.withColumns({"nx": nx, "ny": ny}).where("nx > 0 and ny > 0")
-    rows = rows.withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).withColumn("iy", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
+    rows = rows.withColumn("__all", F.col("nx") * F.col("ny"))
+    rows = rows.withColumn("__run", F.greatest(F.lit(RUN), F.ceil(F.col("__all") / 1e6)).cast("bigint"))
+    rows = rows.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__all") - 1, "__run")))
+    # a number of partitions that is asked for isn't lowered for small rows, and these grow
+    rows = rows.repartition(int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__from")
+    rows = rows.withColumn("grid_id", F.explode(F.sequence("__from", F.least(F.col("__from") + F.col("__run"), F.col("__all")) - 1)))
+    rows = rows.withColumns({"ix": F.expr("grid_id div ny"), "iy": F.col("grid_id") % F.col("ny")})
     return _boxed(rows, cell).select(*[c for c in bounds.columns if c not in ("min_x", "min_y", "max_x", "max_y")], "grid_id", "ix", "iy", "x0", "y0", "x1", "y1")
 
 
@@ -47,13 +60,14 @@ def overlay(points: DataFrame, bounds: DataFrame, cell: float = CELL, r: float =
     rows = rows.withColumn("ix", F.explode(F.sequence(at("cx", "min_x", "nx", -r), at("cx", "min_x", "nx", r))))
     rows = rows.withColumn("iy", F.explode(F.sequence(at("cy", "min_y", "ny", -r), at("cy", "min_y", "ny", r))))
     rows = _boxed(rows, cell)
-    rows = rows.withColumn("area", disc_cell_area_udf(r)(F.col("x0") - F.col("cx"), F.col("x1") - F.col("cx"), F.col("y0") - F.col("cy"), F.col("y1") - F.col("cy")))
-    return rows.where(F.col("area") > LEAST_AREA).drop("min_x", "min_y", "max_x", "max_y", "nx", "ny")
+    return disc_cell_area(rows, r, LEAST_AREA).drop("min_x", "min_y", "max_x", "max_y", "nx", "ny")
 
 
 def weighted_grid(pairs: DataFrame, value: str = "coverage_percentage", by: tuple[str, ...] = ()) -> DataFrame:
-    """The area-weighted mean of each touched cell."""
-    return pairs.groupBy(*by, "grid_id", "ix", "iy", "x0", "y0", "x1", "y1").agg((F.sum(F.col(value) * F.col("area")) / F.sum("area")).alias("weighted_coverage"))
+    """The area-weighted mean of each touched cell. Cells meet by their id alone; what follows from it is taken from any of their pairs."""
+    box = [F.first(c).alias(c) for c in ("ix", "iy", "x0", "y0", "x1", "y1")]
+    mean = (F.sum(F.col(value) * F.col("area")) / F.sum("area")).alias("weighted_coverage")
+    return pairs.groupBy(*by, "grid_id").agg(*box, mean)
 
 
 def fill_grid(grid: DataFrame, means: DataFrame) -> DataFrame:

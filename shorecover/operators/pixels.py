@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import first_by_hash
 from .survey import order_hash
 
 IMAGE = "image"
@@ -16,9 +17,8 @@ def image_sizes(pixels: DataFrame) -> DataFrame:
 
 
 def sample_pixels(pixels: DataFrame, n: int = 50_000, seed: int = 0) -> DataFrame:
-    """At most n pixels of each image, without repeats. For stored rasters, blocks.sample_colors does it before pixels are rows."""
-    order = Window.partitionBy(IMAGE).orderBy(order_hash(seed, IMAGE, "y", "x"), "y", "x")
-    return pixels.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+    """At most n pixels of each image, without repeats, in a reproducible random choice. Only the pixels under a threshold on their hash, about n an image, are ranked. For stored rasters, blocks.sample_colors does it before pixels are rows."""
+    return first_by_hash(pixels, [IMAGE], n, order_hash(seed, IMAGE, "y", "x"), ["y", "x"])
 
 
 def _channels(pixels: DataFrame, by: str, channels: tuple[str, ...]) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import SLICE
+from .ranks import first_by_hash
 from .survey import order_hash, uniform
 
 KEYS = (*SLICE, "sy", "sx")
@@ -48,22 +48,35 @@ def choose_points(points: DataFrame, strategy: str = "random", num_points: int =
 def poisson_disk(points: DataFrame, num_points: int = 3, seed: int = 0, slice_size: int = 1024, tries: int = 30) -> DataFrame:
     """Of n = min(num_points, candidates) points, those that lie at least slice_size * sqrt(2) / (2 n) apart: a random first one, then up to `tries` random candidates for each further one.
 
-    May give fewer than n, also in a slice of few candidates. Input has one point a cell, so a group is small.
+    Random is the order of the candidates' MD5; a candidate is tried once, and `tries` refused in a
+    row end the choice. May give fewer than n, also in a slice of few candidates. At most
+    1 + tries * (num_points - 1) candidates of a slice are ever tried, so only those are gathered.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sy", "sx"], ignore_index=True)
-        rng = np.random.default_rng([seed, *str(pdf.iloc[0][SLICE[0]]).encode(), int(pdf.iloc[0]["slice_id"])])
-        chosen = apart(pdf[["sy", "sx"]].to_numpy(float), num_points, slice_size, rng, tries)
-        return pdf.iloc[chosen].rename(columns={"sx": "x", "sy": "y"})[[*SLICE, "x", "y"]]
-
-    rows = points.select(*SLICE, "sy", "sx")
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*SLICE).applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in SLICE) + f", x {kinds['sx']}, y {kinds['sy']}")
+    most = 1 + tries * (num_points - 1)
+    if num_points < 1:
+        return points.limit(0).select(*SLICE, F.col("sx").alias("x"), F.col("sy").alias("y"))
+    order = Window.partitionBy(*SLICE).orderBy(order_hash(seed, *KEYS), "sy", "sx")
+    tried = points.select(*SLICE, "sy", "sx", F.row_number().over(order).alias("k")).where(F.col("k") <= most)
+    lists = tried.groupBy(*SLICE).agg(F.array_sort(F.collect_list(F.struct("k", "sy", "sx"))).alias("c"))
+    lists = lists.withColumn("n", F.least(F.lit(num_points), F.size("c")).cast("bigint"))
+    # 4 n^2 d^2 > 2 size^2, in whole numbers
+    square = lambda v: v.cast("bigint") * v.cast("bigint")
+    lie_apart = lambda p, q: 4 * F.col("n") * F.col("n") * (square(p["sy"] - q["sy"]) + square(p["sx"] - q["sx"])) > 2 * slice_size**2
+
+    def step(state: Column, p: Column) -> Column:
+        over = (F.size(state["chosen"]) >= F.col("n")) | (state["refused"] >= tries)
+        far = ~over & F.forall(state["chosen"], lambda q: lie_apart(p, q))
+        chosen = F.when(far, F.concat(state["chosen"], F.array(p))).otherwise(state["chosen"])
+        refused = F.when(far, 0).when(over, state["refused"]).otherwise(state["refused"] + 1)
+        return F.struct(chosen.alias("chosen"), refused.cast("int").alias("refused"))
+
+    start = F.struct(F.slice("c", 1, 1).alias("chosen"), F.lit(0).alias("refused"))
+    found = F.aggregate(F.expr("slice(c, 2, size(c))"), start, step, lambda s: s["chosen"])
+    return lists.select(*SLICE, F.explode(found).alias("p")).select(*SLICE, F.col("p.sx").alias("x"), F.col("p.sy").alias("y"))
 
 
 def apart(at: np.ndarray, num_points: int, slice_size: int, rng: np.random.Generator, tries: int = 30) -> list[int]:
-    """The indexes of the points chosen of at (y, x) by the rule of poisson_disk()."""
+    """The indexes of the points chosen of at (y, x) by the rule of poisson_disk(), candidates drawn by rng instead, with repeats: the form for one slice in a task."""
     n = min(num_points, len(at))
     if not n:
         return []
@@ -79,7 +92,6 @@ def apart(at: np.ndarray, num_points: int, slice_size: int, rng: np.random.Gener
 
 
 def sample_per_cell(candidates: DataFrame, cells: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
-    """Up to n candidates of each valid cell (cy, cx)."""
+    """Up to n candidates of each valid cell (cy, cx). Only those under a threshold on their hash, somewhat more than n a cell, are ranked."""
     valid = cells.where("is_valid").select(*SLICE, "cy", "cx")
-    w = Window.partitionBy(*SLICE, "cy", "cx").orderBy(order_hash(seed, *KEYS), "sy", "sx")
-    return candidates.join(valid, [*SLICE, "cy", "cx"], "left_semi").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+    return first_by_hash(candidates.join(valid, [*SLICE, "cy", "cx"], "left_semi"), [*SLICE, "cy", "cx"], n, order_hash(seed, *KEYS), ["sy", "sx"])

@@ -107,6 +107,83 @@ def test_poisson_points_keep_their_distance(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, points.choose_points(df, "poisson_disk", 3, 5, 100).collect()))
 
 
+def test_poisson_points_by_hand(spark):
+    """The fold over the candidates in MD5 order, each tried once, thirty refusals in a row at most; short slices by their own distance."""
+    import hashlib
+
+    rng = np.random.default_rng(9)
+    rows = [("i", s, int(y), int(x)) for s in range(40) for y, x in rng.integers(0, 60 if s % 2 else 12, (int(rng.integers(1, 90)), 2))]
+    df = spark.createDataFrame(rows, "image string, slice_id int, sy int, sx int")
+    for n_points, tries in ((3, 30), (6, 2), (1, 30)):
+        want = []
+        for s in range(40):
+            mine = sorted((hashlib.md5(f"4|i|{s}|{y}|{x}".encode()).hexdigest(), y, x) for _, k, y, x in rows if k == s)
+            mine = mine[: 1 + tries * (n_points - 1)]
+            n, chosen, refused = min(n_points, len(mine)), [], 0
+            for _, y, x in mine:
+                if len(chosen) == n or refused == tries:
+                    break
+                if all(4 * n * n * ((y - b) ** 2 + (x - a) ** 2) > 2 * 60 * 60 for a, b in chosen):
+                    chosen.append((x, y))
+                    refused = 0
+                else:
+                    refused += 1
+            want += [("i", s, x, y) for x, y in chosen]
+        assert sorted(map(tuple, points.poisson_disk(df, n_points, 4, 60, tries).collect())) == sorted(want)
+    assert points.poisson_disk(df, 0, 4, 60).count() == 0
+
+
+def strip_area(left, right, low, high, r=18.0):
+    """The area of a box inside the polygon, strip by strip, each strip's height averaged finely between its kinks."""
+    at = np.pi * np.arange(33) / 32
+    x, y = -r * np.cos(at), r * np.sin(at)
+    total = 0.0
+    for k in range(32):
+        a, b = max(x[k], left), min(x[k + 1], right)
+        if b <= a:
+            continue
+        slope = (y[k + 1] - y[k]) / (x[k + 1] - x[k])
+        t = lambda v: y[k] + slope * (v - x[k])  # noqa: B023, E731
+        kinks = {a, b} | {v for e in (low, high, -low, -high) if slope and a < (v := x[k] + (e - y[k]) / slope) < b}
+        height = lambda v: max(0.0, min(high, t(v)) - max(low, -t(v)))  # noqa: B023, E731
+        ends = sorted(kinks)
+        total += sum((q - p) * (height(p) + height(q)) / 2 for p, q in zip(ends, ends[1:], strict=False))
+    return total
+
+
+def test_areas_by_strips(spark):
+    rng = np.random.default_rng(2)
+    boxes = [(float(a), float(a + w), float(b), float(b + h)) for a, b, w, h in zip(rng.uniform(-25, 20, 400), rng.uniform(-25, 20, 400), rng.uniform(0.01, 40, 400), rng.uniform(0.01, 40, 400), strict=True)]
+    boxes += [(-18.0, 18.0, -18.0, 18.0), (0.0, 30.0, 0.0, 30.0), (-30.0, 0.0, -30.0, 0.0), (-40.0, -18.0, -5.0, 5.0), (0.0, 1.0, 18.0, 20.0), (18.0, 48.0, 0.0, 30.0)]
+    df = spark.createDataFrame([(k, 1e7, -4e6, a + 1e7, c - 4e6, b + 1e7, d - 4e6) for k, (a, b, c, d) in enumerate(boxes)], "k int, cx double, cy double, x0 double, y0 double, x1 double, y1 double")
+    small = spark.createDataFrame([(k, 0.0, 0.0, a, c, b, d) for k, (a, b, c, d) in enumerate(boxes)], df.schema)
+    for given, close in ((small, 1e-9), (df, 1e-6)):
+        got = {r.k: r.area for r in geo.disc_cell_area(given).collect()}
+        assert all(abs(got[k] - strip_area(*b)) <= close for k, b in enumerate(boxes))
+    kept = {r.k for r in geo.disc_cell_area(small, least=1e-9).collect()}
+    assert kept == {k for k, b in enumerate(boxes) if strip_area(*b) > 1e-9}
+
+
+def test_heatmap_plan_has_no_python(spark):
+    from shorecover import catalog
+
+    plan = catalog.heatmap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_grid_is_made_in_parallel(spark):
+    """Far-apart bounds: every task makes a share of the cells, each cell once; an area without extent has none."""
+    bounds = spark.createDataFrame([(0.0, 0.0, 9001.0, 18_010.0)], "min_x double, min_y double, max_x double, max_y double")
+    grid = heat.make_grid(bounds, 30.0)
+    nx, ny = 301, 601
+    shares = grid.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(shares) > 1 and max(r["count"] for r in shares) < 0.6 * nx * ny
+    total = grid.agg(F.count("*"), F.countDistinct("grid_id"), F.min("ix"), F.max("ix"), F.max("iy"), F.sum(F.col("ix") * ny + F.col("iy") - F.col("grid_id"))).first()
+    assert tuple(total) == (nx * ny, nx * ny, 0, nx - 1, ny - 1, 0)
+    by = spark.createDataFrame([("a", 0.0, 0.0, 60.0, 90.0), ("b", 5.0, 5.0, 35.0, 35.0), ("c", 0.0, 0.0, 0.0, 0.0)], "g string, min_x double, min_y double, max_x double, max_y double")
+    assert {(r.g, r["count"]) for r in heat.make_grid(by).groupBy("g").count().collect()} == {("a", 6), ("b", 1)}
+
+
 def test_poisson_rule_of_few_candidates():
     """The distance follows the number of points that can be had: two close candidates give one point, two far ones both."""
     rng = np.random.default_rng(0)

@@ -1,10 +1,11 @@
 """Ranks within groups that no task holds."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from shorecover.operators import survey
+from shorecover.operators import pixels, ranks, survey
 from shorecover.operators.ranks import ranked
 
 
@@ -42,3 +43,40 @@ def test_a_hot_group_lies_in_many_partitions(spark):
         got = survey.slice_per_location(df, start, end).collect()
         for loc, want in ids.items():
             assert sorted(r.image_id for r in got if r.location == loc) == want[slice(start, max(end, -len(want)) if end is not None and end < 0 else end)]
+
+
+def test_first_by_hash_equals_sorting(spark):
+    """Groups of all sizes, a null one, a hot one, repeated rows; the same rows as a sort gives, whatever the threshold."""
+    rng = random.Random(6)
+    rows = [("hot", k) for k in range(5000)] + [("small", k) for k in range(7)] + [(None, k) for k in range(60)] + [("twice", 1)] * 30
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, k int").repartition(5)
+    digest = lambda g, k: hashlib.md5("|".join(["3", *([] if g is None else [g]), str(k)]).encode()).hexdigest()
+    for n in (1, 10, 300):
+        want = []
+        for g in ("hot", "small", None, "twice"):
+            want += sorted((r for r in rows if r[0] == g), key=lambda r: (digest(*r), r[1]))[:n]
+        got = ranks.first_by_hash(df, ["g"], n, survey.order_hash(3, "g", "k"), ["k"])
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert ranks.first_by_hash(df.limit(0), ["g"], 3, survey.order_hash(3, "g", "k"), ["k"]).count() == 0
+
+
+def test_a_low_threshold_is_made_good(spark, monkeypatch):
+    """Where too few rows pass, further rounds complete the group."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), "id")
+    order = survey.order_hash(1, "id")
+    want = sorted(map(tuple, ranks.first_by_hash(df, ["g"], 50, order, ["id"]).collect()))
+    monkeypatch.setattr(ranks, "threshold", lambda n, total: F.lit(n) / total / 3)
+    assert sorted(map(tuple, ranks.first_by_hash(df, ["g"], 50, order, ["id"]).collect())) == want and len(want) == 150
+
+
+def test_under_two_n_rows_are_ranked(spark, monkeypatch):
+    """Of an image of 120,000 pixels, 2000 wanted: what reaches the window is under 4000 rows."""
+    seen = []
+    real = ranks.cut
+    monkeypatch.setattr(ranks, "cut", lambda df: seen.append(real(df)) or seen[-1])
+    px = spark.range(120_000).select(F.lit("i").alias("image"), (F.col("id") / 400).cast("int").alias("y"), (F.col("id") % 400).cast("int").alias("x"))
+    got = pixels.sample_pixels(px, 2000, 1)
+    assert got.count() == 2000 and 2000 <= seen[1].count() < 4000
+    window = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip(" :+-").startswith("Relation")]
+    assert len(window) == 1 and "__h" in window[0]  # the written rows under the threshold, not the pixels
