@@ -126,6 +126,24 @@ def windows(texts: DataFrame, key: str, text_col: str, size: int, only: DataFram
     return found if only is None or local is not None else found.join(only, "h", "left_semi")
 
 
+def _near_enough(found: DataFrame, item: DataFrame) -> DataFrame:
+    """found with near: how many words around a window lie in windows that any item has; without windows that have fewer than their least demanding item needs.
+
+    A passage lies on one diagonal, so within the length of its item, and its words lie in such
+    windows. So nothing is lost, and an opening that many documents share with many items, but
+    too short for a passage, goes before documents meet items in it.
+    """
+    longest = item.agg(F.max("len")).first()[0] or 1
+    covered = found.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + F.size("words") - 1)).alias("word")).distinct()
+    block = lambda c: F.floor(F.col(c) / longest)
+    counts = covered.groupBy("doc_id", block("word").alias("b")).agg(F.count("*").alias("c"))
+    # a passage from a word of one block ends in it or in the next
+    near = counts.select("doc_id", F.explode(F.array(*[F.col("b") + d for d in (-1, 0, 1)])).alias("b"), "c").groupBy("doc_id", "b").agg(F.sum("c").alias("near"))
+    needs = item.groupBy("h").agg(F.min("need").alias("least"))
+    rows = found.withColumn("b", block("pos")).join(near, ["doc_id", "b"]).join(needs, "h")
+    return rows.where("near >= least").drop("b", "least")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item it leaks: doc_id, item_id, n_words (covered words of the item), n_slots (slot values seen), exact (all covered words are the item's own).
 
@@ -137,8 +155,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_words:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
     item = windows(items, "item_id", "text", size).select("item_id", F.col("pos").alias("at"), F.col("n").alias("len"), "h", F.col("words").alias("item_words"))
-    found = windows(docs, "doc_id", "text", size, item)
-    met = found.join(item, "h").where((F.col("len") >= size) | (F.col("len") == F.col("n"))).withColumn("diagonal", F.col("pos") - F.col("at")).where(F.size("words") == F.size("item_words"))
+    # what a passage of the item must cover at least
+    item = item.withColumn("need", F.least(F.lit(float(min_words)), min_share * F.col("len")))
+    found = _near_enough(cut(windows(docs, "doc_id", "text", size, item)), item)
+    alike = ((F.col("len") >= size) | (F.col("len") == F.col("n"))) & (F.col("near") >= F.col("need")) & (F.size("words") == F.size("item_words"))
+    met = found.join(item, "h").where(alike).withColumn("diagonal", F.col("pos") - F.col("at"))
     # few windows meet; written, they are found once for the steps below
     met = cut(met.select("doc_id", "item_id", "diagonal", "len", "at", "item_words", "words"))
     passage = ["doc_id", "item_id", "diagonal"]

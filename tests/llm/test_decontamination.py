@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from shorecover.llm import decontamination as D
 
 ITEMS = [
@@ -99,3 +101,20 @@ def test_rows_without_an_id_are_judged(spark):
     df = spark.createDataFrame([(None, item), (None, "clean words only"), (1, item), (2, None), (None, None)], "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as h")
     kept = D.without_leaks(df, spark.createDataFrame([(5, item)], "item_id long, text string"))
     assert kept.columns == df.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(None, "clean words only"), (2, None), (None, None)]))
+
+
+def test_shared_openings_make_no_pairs(spark, monkeypatch):
+    """Documents and items that share a templated opening and nothing else never meet; true passages beside it are found."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, 7))
+    opening = "how many of the 12 coins does Anna hold"
+    items = [(k, f"{opening} {' '.join(word() for _ in range(30))}") for k in range(200)]
+    docs = [(k, f"{opening} {' '.join(word() for _ in range(60))}") for k in range(200)]
+    docs += [(900, f"{docs[0][1]} {' '.join(items[5][1].split()[9:29])}"), (901, f"{word()} {items[7][1]}")]
+    made = []
+    real = D.cut
+    monkeypatch.setattr(D, "cut", lambda df: made.append(real(df)) or made[-1])
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.n_words for r in found.collect()}
+    assert got == {(900, 5): 20, (901, 7): 39}
+    assert max(df.count() for df in made) < 10 * len(docs)
