@@ -1,12 +1,15 @@
 """License scans in DataFrame functions alone.
 
-Texts and templates are cut into overlapping windows of SIZE shingles, texts at every STRIDE-th
-shingle, templates at each. A window and a template share a band if the least shingle of a window
+Texts and templates are cut into overlapping windows of SIZE shingles (six words), texts at every
+STRIDE-th word, templates at each. A window and a template share a band if the least shingle of a window
 of either is the same under one of BANDS hashes: with a probability of their windows' Jaccard
-likeness j, so all bands miss with (1 - j)^BANDS. The worst case is a template of one shingle, j = 1/4 and a miss
-of 1e-6; longer ones have higher j, or more windows. A document whose windows share a band with a template is a
-candidate, and a match if it holds CONTAINMENT of the template's distinct shingles, and of those with a
-number among their words, so that the version decides between two templates that differ in it alone.
+likeness j, so all bands miss with (1 - j)^BANDS. The worst case is a template of one shingle, j = 1/2 and a miss
+of 1e-6. Of two shingles a text's windows hold both or one each, and one of them is the least of its windows with a
+probability of 2/3; from three on some window of a whole copy is the template's own, and each single shingle
+agrees with a probability of 1/3 at least. Bands retrieve: only the documents whose windows share one
+are read again, and only with the templates that they met, for an exact count. A match holds CONTAINMENT of the
+template's distinct shingles, and of those with a number among their words, so that the version decides
+between two templates that differ in it alone.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from . import license_texts
 from .tables import cut
 
-SHINGLE, SIZE, STRIDE, BANDS, CONTAINMENT = 5, 4, 3, 48, 0.8
-#: At most so many rows of bands and shingles go to every task at once (about 50 MB); more templates are searched in blocks.
+SHINGLE, SIZE, STRIDE, BANDS, CONTAINMENT = 5, 2, 2, 20, 0.8
+#: About so many rows of bands or of shingles go to every task at once (about 50 MB); more are met in blocks.
 BLOCK_ROWS = 1_000_000
 
 
@@ -35,21 +38,21 @@ def let(value: Column, body) -> Column:
 
 
 def shingles(w: Column) -> Column:
-    """The hash of each run of SHINGLE words; w must be a column or bound by let()."""
+    """The hash of each run of SHINGLE words; w must be bound by let(): a slice of a column copies the whole array."""
     n = F.size(w) - SHINGLE + 1
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<long>"))
 
 
 def windows(s: Column, stride: int) -> Column:
-    """(a, b, c, d): SIZE shingles each, the first repeated where the text ends; none without shingles. All shingles are in a window."""
+    """(a, b): SIZE shingles each, the first repeated where the text ends; none without shingles. All shingles are in a window."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(s) - SIZE + stride - 1), F.lit(stride))
     cells = [lambda i, k=k: F.coalesce(F.get(s, i + k), F.get(s, i)) for k in range(SIZE)]
-    return F.when(F.size(s) > 0, F.transform(starts, lambda i: F.struct(*[c(i).alias(name) for c, name in zip(cells, "abcd", strict=True)])))
+    return F.when(F.size(s) > 0, F.transform(starts, lambda i: F.struct(*[c(i).alias(name) for c, name in zip(cells, "ab", strict=True)])))
 
 
 def band(w: str) -> Column:
     """The least value of a window's shingles under the hash of number k."""
-    return F.least(*[F.xxhash64(F.col(f"{w}.{c}"), F.col("k")) for c in "abcd"])
+    return F.least(*[F.xxhash64(F.col(f"{w}.{c}"), F.col("k")) for c in "ab"])
 
 
 def standard_templates(spark: SparkSession) -> DataFrame:
@@ -57,17 +60,33 @@ def standard_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(license_texts.TEMPLATES, "license string, text string")
 
 
-def _known(templates: DataFrame) -> DataFrame:
-    """Columns t, license, value, h, numbered, n, n_numbered: for each template its bands (h null) and its shingles."""
-    w = templates.select("license", F.xxhash64("license", "text").alias("t"), words(F.col("text")).alias("w")).distinct()
-    numbered = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.exists(F.slice("w", i, SHINGLE), lambda x: x.rlike("[0-9]")))
-    each = w.where(F.size("w") >= SHINGLE).select("license", "t", shingles(F.col("w")).alias("s"), numbered.alias("x"))
-    pairs = each.select("license", "t", "s", F.array_distinct(F.arrays_zip(F.col("s").alias("h"), F.col("x").alias("numbered"))).alias("p"))
-    each = pairs.select("license", "t", "s", "p", F.size("p").alias("n"), F.size(F.filter("p", lambda p: p["numbered"])).alias("n_numbered"))
-    kept = ["license", "t", "n", "n_numbered"]
-    cells = each.select(*kept, F.explode(windows(F.col("s"), 1)).alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k"))
-    bands = cells.select(*kept, band("w").alias("value"), F.lit(None).cast("long").alias("h"), F.lit(False).alias("numbered")).distinct()
-    return bands.unionByName(each.select(*kept, F.explode("p").alias("p")).select(*kept, F.col("p.h").alias("value"), F.col("p.h").alias("h"), "p.numbered"))
+def _known(templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables, (t, value) of the bands of each template and (license, t, n, n_numbered, value, numbered) of its distinct shingles. The work follows a template's words."""
+    one = templates.select("license", F.col("text").cast("string").alias("text")).distinct().withColumn("t", F.xxhash64("license", "text"))
+    numbered = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.exists(F.slice(w, i, SHINGLE), lambda x: x.rlike("[0-9]")))
+    s = let(words(F.col("text")), lambda w: F.when(F.size(w) >= SHINGLE, F.arrays_zip(shingles(w).alias("value"), numbered(w).alias("numbered"))))
+    each = cut(one.select("license", "t", s.alias("p")).where("p is not null"))
+    cells = each.select("t", F.explode(let(F.col("p.value"), lambda s: windows(s, 1))).alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k"))
+    n_numbered = F.size(F.array_distinct(F.transform(F.filter("p", lambda p: p["numbered"]), lambda p: p["value"])))
+    # counted before the rows are exploded: beside explode() Spark would count again for each row
+    counted = each.select("license", "t", F.size(F.array_distinct("p.value")).alias("n"), n_numbered.alias("n_numbered"), "p")
+    counted = counted.select("license", "t", "n", "n_numbered", F.explode("p").alias("p"))
+    return cut(cells.select("t", band("w").alias("value")).distinct()), cut(counted.select("license", "t", "n", "n_numbered", "p.value", "p.numbered").distinct())
+
+
+def _meet(values: DataFrame, known: DataFrame) -> DataFrame:
+    """values joined with a table of templates on value, block by block. A row's block follows its value and template, so neither a long template nor a common value makes a large block."""
+    blocks = -(-known.count() // BLOCK_ROWS)
+    met = [values.join(F.broadcast(known.where(F.pmod(F.xxhash64("value", "t"), F.lit(blocks)) == k)), "value") for k in range(blocks)] or [values.join(known, "value")]
+    return reduce(DataFrame.unionByName, met)
+
+
+def candidates(docs: DataFrame, bands: DataFrame) -> DataFrame:
+    """Columns doc_id, t: documents (doc_id, text) and the templates that share a band with one of their windows."""
+    cells = let(words(F.col("text")), lambda w: let(shingles(w), lambda s: windows(s, STRIDE)))
+    rows = docs.select("doc_id", F.explode_outer(cells).alias("w")).where("w is not null")
+    keyed = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k"))
+    return _meet(keyed.select("doc_id", band("w").alias("value")), bands).groupBy("doc_id", "t").agg(F.lit(1).alias("one")).select("doc_id", "t")
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,18 +98,15 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     id, and very long texts are cut into windows like others. Other columns are ignored, whatever
     their names; an empty table of documents or templates gives no rows.
     """
-    known = cut(_known(templates if templates is not None else standard_templates(docs.sparkSession)))
-    blocks = -(-known.count() // BLOCK_ROWS)
-    cells = let(words(F.col(text_col).cast("string")), lambda w: let(shingles(w), lambda s: windows(s, STRIDE)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(cells).alias("w")).where("w is not null")
-    keyed = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(BANDS + SIZE - 1))).alias("k"))
-    value = reduce(lambda found, k: found.when(F.col("k") == BANDS + k, F.col("w." + "abcd"[k])), range(SIZE), F.when(F.col("k") < BANDS, band("w")))
-    values = keyed.select("doc_id", value.alias("value"))
-    # a block of templates meets all windows; blocks hold whole templates
-    met = [values.join(F.broadcast(known.where(F.pmod("t", F.lit(blocks)) == k)), "value") for k in range(blocks)] or [values.join(known, "value")]
-    each = reduce(DataFrame.unionByName, met).groupBy("doc_id", "license", "t", "n", "n_numbered", "h", "numbered").agg(F.lit(1).alias("one"))
-    held = each.groupBy("doc_id", "license", "t", "n", "n_numbered").agg(F.bool_or(F.col("h").isNull()).alias("retrieved"), F.count("h").alias("c"), F.count_if(F.col("numbered")).alias("c_numbered"))
-    found = held.where(F.col("retrieved") & (F.col("c") / F.col("n") >= CONTAINMENT) & (F.col("c_numbered") >= CONTAINMENT * F.col("n_numbered")))
+    bands, known = _known(templates if templates is not None else standard_templates(docs.sparkSession))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    met = cut(candidates(texts, bands)).select(F.col("doc_id").alias("id"), F.col("t").alias("template"))
+    again = texts.join(met.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    values = again.select("doc_id", F.explode(let(words(F.col("text")), lambda w: F.array_distinct(shingles(w)))).alias("value"))
+    each = _meet(values, known).groupBy("doc_id", "license", "t", "n", "n_numbered", "value", "numbered").agg(F.lit(1).alias("one"))
+    held = each.groupBy("doc_id", "license", "t", "n", "n_numbered").agg(F.count("*").alias("c"), F.count_if(F.col("numbered")).alias("c_numbered"))
+    full = held.where((F.col("c") / F.col("n") >= CONTAINMENT) & (F.col("c_numbered") >= CONTAINMENT * F.col("n_numbered")))
+    found = full.join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("template")), "left_semi")
     return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_templates"), F.max(F.col("c") / F.col("n")).alias("containment"))
 
 

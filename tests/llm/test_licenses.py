@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pyarrow as pa
 
@@ -42,3 +44,19 @@ def test_own_templates_in_blocks_equal_sql(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, "one two three four five")], "doc_id long, text string")
     assert [tuple(r) for r in licenses.scan(texts, own).collect()] == [(1, "own", 1, 1.0)]
     assert licenses.scan(texts, own.limit(0)).count() == 0
+
+
+def test_long_templates_take_linear_time(spark):
+    long = " ".join(f"w{k * 7919 % 30011}" for k in range(30_000))
+    texts = spark.createDataFrame([(1, FILL + long + FILL), (2, long[:80_000]), (3, FILL)], "doc_id long, text string")
+    began = time.time()
+    assert [tuple(r) for r in licenses.scan(texts, spark.createDataFrame([("long", long)], "license string, text string")).collect()] == [(1, "long", 1, 1.0)]
+    assert time.time() - began < 60
+
+
+def test_bands_decide_what_is_counted(spark):
+    """Every text that the exact count would accept is retrieved, and nearly none that shares no shingle with a template."""
+    rows = [(k, f"a{k} " * (k % 5) + text + f" b{k}") for k, (_, text) in enumerate(license_texts.TEMPLATES * 6)] + [(1000 + k, FILL * 20 + str(k)) for k in range(50)] + [(None, license_texts.ISC)]
+    bands, _ = licenses._known(licenses.standard_templates(spark))
+    got = {r.doc_id for r in licenses.candidates(spark.createDataFrame(rows, "doc_id long, text string"), bands).collect()}
+    assert got == {None, *range(6 * len(license_texts.TEMPLATES))}
