@@ -13,7 +13,7 @@ searched as one, each in a task that holds no more than these.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +23,42 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import cut
-from .words import runs
+from .words import SPACE, runs
 
 
 #: Fingerprints of a bucket that one task searches alone.
 DENSE = 16384
+#: Shingles of a text that are hashed at once.
+PIECE = 65536
+
+
+def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each run of `size` words, repeats included, in pieces of at most PIECE; of the whole sequence if it is shorter; nothing without words."""
+    data = np.frombuffer(text.encode().lower(), np.uint8)
+    word = ~SPACE[data]
+    kept = word.copy()
+    kept[1:] |= word[:-1]
+    joined = np.where(word, data, np.uint8(32))[kept].tobytes().strip()
+    if not joined:
+        return
+    h = xxhash.xxh64_intdigest
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    ends = np.append(gaps, len(joined))[size - 1 :]
+    if not len(ends):
+        yield np.array([h(joined, 42)], np.uint64)
+    for at in range(0, len(ends), PIECE):
+        to = ends[at : at + PIECE].tolist()
+        starts = (gaps[max(at - 1, 0) : at + PIECE - 1] + 1).tolist()
+        yield np.fromiter((h(joined[x:y], 42) for x, y in zip(starts if at else [0, *starts], to, strict=False)), np.uint64, len(to))
 
 
-def shingle_hashes(text: str, size: int) -> list[int]:
-    """XXH64 (seed 42) of each run of `size` words, repeats included; of the whole sequence if it is shorter; none without words."""
-    words = text.encode().lower().split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    h = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return [h(joined, 42)]
-    ends = list(accumulate(len(w) + 1 for w in words))
-    return [h(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)]
+def fingerprint(text: str, size: int) -> int:
+    """The 64 bits of a text, summed piece by piece: beside the text a task holds some ten bytes a character of it and one piece."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, size):
+        n += len(h)
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,19 +67,7 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in runs(batch.column(1)):
-                n, every = [], []
-                for text in texts.to_pylist():
-                    h = shingle_hashes(text, size)
-                    n.append(len(h))
-                    every += h
-                n = np.array(n)
-                ends = np.cumsum(n)
-                bits = np.unpackbits(np.array(every, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                fp = np.zeros(len(n), np.uint64)
-                full = np.flatnonzero(n)
-                if len(full):
-                    ones = np.add.reduceat(bits, (ends - n)[full], axis=0, dtype=np.int32)
-                    fp[full] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+                fp = np.array([fingerprint(t.as_py(), size) for t in texts], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -221,12 +227,6 @@ def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     return alone.select(*docs.columns).unionAll(one.select(*docs.columns)).unionAll(docs.where(F.col(id_col).isNull()))
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """first_rows() of the components within `radius` of 64 bits: near equal texts (4 bits stand for a likeness of about 0.98); nulls, repeated rows and empty tables as there."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), size, radius, id_col, text_col)
-    return first_rows(docs, found, id_col, text_col)
-
-
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

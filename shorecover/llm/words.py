@@ -18,8 +18,8 @@ RUN_BYTES = 1 << 20
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -66,7 +66,7 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     offsets = offsets - offsets[0]
     if lower:
         data = LOWER[data]
-    space = _SPACE[data]
+    space = SPACE[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[1:], after[:-1] = space[:-1], space[1:]
     full = offsets[:-1] < offsets[1:]

@@ -72,3 +72,23 @@ def test_dense_buckets_are_cut(spark):
                 a, b = sorted((find(i), find(j)))
                 group[b] = a
     assert [c for _, _, c in want] == [find(i) for i in range(len(prints))] and low
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """Any cut into pieces gives the fingerprint by definition, at the edges of pieces and of the shingle size."""
+    rng = random.Random(5)
+    texts = ["", " ", "a", "\x0ba \t", "A b c", " a b c d ", "Ä b\r\nc d e", *[" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in range(1, 40)]]
+    want = [int(x[1], 16) for x in simhash.brute_force([(k, t) for k, t in enumerate(texts)])]
+    for piece in (1, 2, 3, 7, 16, 65536):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert [simhash.fingerprint(t, 4) for t in texts] == want
+        assert all(len(h) <= piece for t in texts for h in simhash.shingle_hashes(t, 4))
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    text = "some Words of a long text " * 400_000
+    tracemalloc.start()
+    simhash.fingerprint(text, 4)
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(text) + 100e6
