@@ -10,7 +10,7 @@ from .. import blocks, schemas
 from ..functions import color, geo, naming
 from ..operators import cells, heat, masks, pixels, points, segment, slicing, survey
 from ..session import cut
-from ..sources import tables
+from ..sources import rasters, tables
 from ..sources.store import ResultStore
 from ..streaming.watch import watch
 
@@ -110,6 +110,43 @@ def analyze(rasters: DataFrame, site_colors: DataFrame, survey_rows: DataFrame,
     return results, unfit.select("image_name", "error").unionAll(failed.select("image_name", "error"))
 
 
+def select_images(listed: DataFrame, site_colors: DataFrame, site: str | None = None, images: str | None = None, count: int = -1, seed: int = 0) -> DataFrame:
+    """path, image_name, location of the images to work on, of a list of paths (sources.list_images).
+
+    Only images of locations with a colour count, or of the one `site`; an unknown site has none.
+    images: a comma list of names, unknown ones dropped. Without it, `count` images of each location
+    in a reproducible choice by the name, all for -1.
+    """
+    named = naming.with_location(listed.withColumn("image_name", F.element_at(F.split("path", "/"), -1)))
+    rows = survey.pick_sites(named, site_colors, site).select("path", "image_name", "location")
+    if images is None:
+        return survey.sample_images(rows, count, seed, "location", "image_name")
+    names = listed.sparkSession.createDataFrame([(images,)], "names string")
+    return rows.join(survey.pick_images(rows.select("image_name").distinct(), names).select("image_name"), "image_name", "left_semi")
+
+
+def analyze_sites(
+    spark: SparkSession, directory: str, site_colors: DataFrame, survey_rows: DataFrame, site: str | None = None, images: str | None = None, count: int = -1, seed: int = 0,
+    known: DataFrame | None = None, overwrite: bool = False, **options,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, errors, sites) of a folder of images, all its sites in one plan.
+
+    Images are chosen from the file list before any is decoded (see select_images). sites:
+    location, site_name (of its first image), n_images chosen. overwrite: the chosen images are
+    worked on again although they are known; results of others are kept. options: those of analyze().
+    """
+    chosen = cut(select_images(tables.list_images(spark, directory), site_colors, site, images, count, seed))
+    sites = naming.site_name(chosen).join(chosen.groupBy("location").agg(F.count("*").alias("n_images")), "location")
+    # the two readers write file paths with one and with three slashes
+    key = lambda c: F.regexp_replace(c, ":/+", ":/").alias("key")
+    read = rasters.read_rasters(spark, directory, drop_invalid=False)
+    picked = read.withColumn("key", key("path")).join(chosen.select(key("path")), "key", "left_semi").drop("key")
+    results, errors = analyze(picked, site_colors, survey_rows, None if overwrite else known, **options)
+    if overwrite and known is not None:
+        results = survey.upsert_results(known.select(results.columns), results)
+    return results, errors, sites
+
+
 #: Streamed rasters: the columns of sources.read_rasters() but the path, or image files.
 RASTER_ROWS = "image string, height int, width int, n_channels int, data binary"
 IMAGE_FILES = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
