@@ -131,7 +131,8 @@ def analyze_sites(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, errors, sites) of a folder of images, all its sites in one plan.
 
-    Images are chosen from the file list before any is decoded (see select_images). sites:
+    Images are chosen from the file list (see select_images); the image reader decodes the
+    whole folder, and only the chosen ones are worked on. sites:
     location, site_name (of its first image), n_images chosen. overwrite: the chosen images are
     worked on again although they are known; results of others are kept. options: those of analyze().
     """
