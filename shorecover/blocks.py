@@ -187,27 +187,51 @@ class Prompting:
     seed: int = 0
 
 
-def route(values: np.ndarray, water: np.ndarray, size: int, how: Prompting, rng: np.random.Generator) -> bool | np.ndarray:
-    """What a slice (L, a, b with its border) is: True, all water; False, all kelp; else its prompt points (x, y) for the model."""
+@dataclass(frozen=True)
+class Judged:
+    """What is seen in a slice: its cells [cells down, cells across] (none where cells are not judged), candidates and those left one a cell as (y, x), prompt points as (x, y). all_water: the verdict without a model, null where the model decides."""
+
+    uniform: np.ndarray
+    near: np.ndarray
+    shortcut: bool
+    candidates: np.ndarray
+    filtered: np.ndarray
+    points: np.ndarray
+    all_water: bool | None
+
+    @property
+    def valid(self) -> np.ndarray:
+        return self.uniform & self.near
+
+
+_NO_CELLS, _NO_POINTS = np.zeros((0, 0), bool), np.zeros((0, 2), np.int64)
+
+
+def judge(values: np.ndarray, water: np.ndarray, size: int, how: Prompting, rng: np.random.Generator, past_shortcut: bool = False) -> Judged:
+    """A slice (L, a, b with its border) by its cells, candidates and points; past_shortcut: candidates and points also of slices that are water by their cells."""
     h, w = values.shape[:2]
     g = how.grid
+    uniform = near = _NO_CELLS
+    shortcut = False
     if how.uniformity:
         mean, std = cell_moments(values, g)
         uniform, near = std <= how.uniform_std, np.sqrt(((mean - water) ** 2).sum(-1)) <= how.threshold_max
-        if uniform.size and uniform.mean() >= how.uniform_share and near.mean() >= how.water_share:
-            return True
+        shortcut = bool(uniform.size and uniform.mean() >= how.uniform_share and near.mean() >= how.water_share)
+        if shortcut and not past_shortcut:
+            return Judged(uniform, near, True, _NO_POINTS, _NO_POINTS, _NO_POINTS, True)
         valid = uniform & near
         found = valid[np.arange(h) * valid.shape[0] // h][:, np.arange(w) * valid.shape[1] // w] if valid.any() else np.zeros((h, w), bool)
     else:
         found = lab_distance(values, water) <= how.threshold_max
-    at = np.argwhere(found)
-    if len(at) < max(1, how.num_points):
-        away = lab_distance(values, water)
-        return bool(values[..., 0].mean(dtype=np.float64) > how.brightness and away.mean(dtype=np.float64) < how.max_distance)
-    if how.uniformity:
+    candidates = at = np.argwhere(found)
+    if how.uniformity and len(at):
         at = at[rng.permutation(len(at))]
         _, first = np.unique(at[:, 0] // g * (-(-w // g)) + at[:, 1] // g, return_index=True)
         at = at[first]
+    if len(candidates) < max(1, how.num_points):
+        away = lab_distance(values, water)
+        all_water = shortcut or bool(values[..., 0].mean(dtype=np.float64) > how.brightness and away.mean(dtype=np.float64) < how.max_distance)
+        return Judged(uniform, near, shortcut, candidates, at, _NO_POINTS, all_water)
     if how.strategy == "poisson_disk":
         chosen = apart(at.astype(float), how.num_points, size, rng)
     elif how.strategy == "center_bias":
@@ -215,7 +239,13 @@ def route(values: np.ndarray, water: np.ndarray, size: int, how: Prompting, rng:
         chosen = np.argsort(rng.exponential(size=len(at)) * far)[: how.num_points]
     else:
         chosen = rng.permutation(len(at))[: how.num_points]
-    return at[chosen][:, ::-1]
+    return Judged(uniform, near, shortcut, candidates, at, at[chosen][:, ::-1], True if shortcut else None)
+
+
+def route(values: np.ndarray, water: np.ndarray, size: int, how: Prompting, rng: np.random.Generator) -> bool | np.ndarray:
+    """What a slice (L, a, b with its border) is: True, all water; False, all kelp; else its prompt points (x, y) for the model."""
+    seen = judge(values, water, size, how, rng)
+    return seen.points if seen.all_water is None else seen.all_water
 
 
 def starts(length: int, content: int, overlap: float) -> list[int]:

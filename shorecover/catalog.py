@@ -12,7 +12,7 @@ from . import blocks
 from . import fixtures as fx
 from .catalog_sql import SQL
 from .functions import color, geo, naming
-from .operators import cells, heat, masks, pixels, points, segment, slicing, survey, tiles
+from .operators import cells, heat, masks, pixels, points, reports, segment, slicing, survey, tiles
 from .plans import jobs
 from .session import cut, temporary
 from .sources import rasters as raster_source
@@ -378,6 +378,15 @@ def coverage_tiles(spark, d):
     return found.select(F.col("image").cast("int").alias("image"), "coverage_percentage")
 
 
+@_query
+def debug_slices(spark, d):
+    """What the block tier sees in each slice of whole rasters, with its route."""
+    rows = raster_source.pack_rasters(fx.rasters(spark, d)).withColumns({c: F.lit(v) for c, v in fx.WATER.items()})
+    seen = reports.slice_reports(rows, None, fx.SLICE, fx.OVERLAP, grid=fx.CELL, uniform_std=4.0, threshold_max=10.0, num_points=3, seed=fx.SEED, brightness=46.0, max_distance=12.0)
+    kept = ["slice_id", "x0", "y0", "x1", "y1", "route", "all_water", "n_cells", "n_green", "n_purple", "n_red", "n_candidates", "n_filtered", "n_points", "threshold_used"]
+    return seen.select(F.col("image").cast("int").alias("image"), *kept, F.round("uniform_pct", 6).alias("uniform_pct"), F.round("water_pct", 6).alias("water_pct"), F.size("shown").alias("n_shown"))
+
+
 @_query
 def win_11_sample_per_cell(spark, d):
     return points.sample_per_cell(fx.candidates(spark, d), fx.flagged(spark, d), 10, fx.SEED).select("image", "slice_id", "sy", "sx")

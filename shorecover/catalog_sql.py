@@ -327,6 +327,16 @@ _option_pass("optcoarse", 64, "bool_and")
 _sql("coverage_options", f"select image, {R('count_if(not f.m and not c.m)*100e0/count(*)', 'coverage_percentage')} from optfine_mask f join optcoarse_mask c using (image, y, x) group by 1")
 _sql("agg_6_fallback_padded", f"select image, slice_id, {R('mean_l', 'mean_l')}, {R('mean_distance', 'mean_distance')}, mean_l > 38 and mean_distance < 22 as all_water from optfine_flags")
 
+S.add("diagnosed", SQL["agg_12_diagnostics"][SQL["agg_12_diagnostics"].rindex("select f.image") :])
+S.add("nshown", "select image, slice_id, cast(sum(least(10, n)) as bigint) as n from (select image, slice_id, cy, cx, count(*) as n from cands group by 1, 2, 3, 4) group by 1, 2")
+_sql(
+    "debug_slices",
+    f"""select d.*, p.x0, p.y0, p.x1, p.y1, case when s.shortcut then 'shortcut' when d.n_candidates < 3 then 'fallback' else 'model' end as route,
+ case when s.shortcut then true when d.n_candidates < 3 then f.all_water end as all_water, {R('s.uniform_pct', 'uniform_pct')}, {R('s.water_pct', 'water_pct')}, cast(coalesce(n.n, 0) as int) as n_shown
+from diagnosed d join plan p using (image, slice_id) join (select image, slice_id, uniform_pct, water_pct, uniform_pct >= 0.98 and water_pct >= 0.98 as shortcut from shortcuts) s using (image, slice_id)
+ join fallbacks f using (image, slice_id) left join nshown n using (image, slice_id)""",
+)
+
 # the tiled tier gives what the others give
 SQL["win_10_erode_tiles"] = SQL["win_10_erode"]
 SQL["agg_7_merge_tiles"] = SQL["agg_7_or_merge"]

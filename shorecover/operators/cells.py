@@ -57,10 +57,12 @@ def pixel_candidates(rows: DataFrame, threshold: float = 20) -> DataFrame:
     return keyed.select(*SLICE, "sy", "sx", "h", "w")
 
 
-def slice_diagnostics(cells: DataFrame, candidates: DataFrame, filtered: DataFrame, points: DataFrame, threshold: float = 20) -> DataFrame:
-    """Per slice: cells by category, candidates, candidates left one a cell, points, and the threshold used (null without candidates)."""
+def slice_diagnostics(cells: DataFrame, candidates: DataFrame, filtered: DataFrame, points: DataFrame, threshold: float = 20, slices: DataFrame | None = None) -> DataFrame:
+    """Per slice: cells by category, candidates, candidates left one a cell, points, and the threshold used (null without candidates). slices: all there are (image, slice_id); without it those with cells."""
     count = lambda name: F.count_if(F.col("category") == name).alias(f"n_{name}")
     out = with_cell_category(cells).groupBy(*SLICE).agg(F.count("*").alias("n_cells"), count("green"), count("purple"), count("red"))
+    if slices is not None:
+        out = slices.select(*SLICE).join(out, SLICE, "left").na.fill(0, ["n_cells", "n_green", "n_purple", "n_red"])
     for rows, name in ((candidates, "n_candidates"), (filtered, "n_filtered"), (points, "n_points")):
         out = out.join(rows.groupBy(*SLICE).agg(F.count("*").alias(name)), SLICE, "left").na.fill({name: 0})
     return out.withColumn("threshold_used", F.when(F.col("n_candidates") > 0, F.lit(float(threshold))))

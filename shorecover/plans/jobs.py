@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import blocks, schemas
 from ..functions import color, geo, naming
-from ..operators import cells, heat, masks, pixels, points, segment, slicing, survey
+from ..operators import cells, heat, masks, pixels, points, reports, segment, slicing, survey
 from ..session import cut
 from ..sources import rasters, tables
 from ..sources.store import ResultStore
@@ -82,10 +84,38 @@ def coverage(
     return masks.coverage(masks.merge_passes(fine, coarse, px if validation else None, color_threshold, lightness))
 
 
-def diagnose(px: DataFrame, size: int = 1024, overlap: float = 0.2, grid: int = 64, uniform_std: float = 4.0, threshold_max: float = 20, num_points: int = 3, seed: int = 0) -> DataFrame:
-    """Counts of cells, candidates and points of each slice."""
-    _, _, _, flagged, found, kept = _prompted(px, size, overlap, grid, uniform_std, threshold_max, num_points, seed)
-    return cells.slice_diagnostics(flagged, found, points.one_per_cell(found, grid, seed), points.choose_points(kept, "random", num_points, seed), threshold_max)
+def diagnose(
+    px: DataFrame, size: int = 1024, overlap: float = 0.2, grid: int = 64, uniform_std: float = 4.0, threshold_max: float = 20, num_points: int = 3, seed: int = 0,
+    padding: int = 0, uniformity: bool = True, strategy: str = "random",
+) -> DataFrame:
+    """Counts of cells, candidates and points of each slice; for whole rasters see debug_slices()."""
+    sizes, _, _, flagged, found, kept = _prompted(px, size, overlap, grid, uniform_std, threshold_max, num_points, seed, padding, uniformity)
+    filtered = points.one_per_cell(found, grid, seed) if uniformity else found
+    return cells.slice_diagnostics(flagged, found, filtered, points.choose_points(kept, strategy, num_points, seed, size), threshold_max, slicing.plan_slices(sizes, size, overlap, padding))
+
+
+def debug_slices(rasters: DataFrame, site_colors: DataFrame, site: str | None = None, slices: Collection[int] | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(reports, errors): what the job sees in chosen slices of decoded rasters (see sources.read_rasters), before any model.
+
+    site: the location whose water colour counts for all of them; without it that of each image's
+    name. A raster that is no image, one without a colour and one that fails are error rows
+    (image_name, error). slices, options and the columns of reports: those of
+    operators.reports.slice_reports().
+    """
+    rows = rasters.withColumn("image_name", F.col("image"))
+    rows = naming.with_location(rows, "image_name") if site is None else rows.withColumn("location", F.lit(site))
+    ok, unfit = _fit(rows, site_colors)
+    found = cut(reports.slice_reports(ok, slices, errors=True, **options))
+    seen, failed = tables.split_errors(found.withColumnRenamed("image", "image_name"))
+    return seen, unfit.select("image_name", "error").unionAll(failed.select("image_name", "error"))
+
+
+def _fit(rows: DataFrame, site_colors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rasters with a location as (those that can be worked on, with their water colour; the others with error)."""
+    water = color.lab_decode8(site_colors).select("location", "water_l", "water_a", "water_b")
+    rows = rows.join(water, "location", "left")
+    error = F.when(F.col("height") <= 0, "not an image").when(F.col("location").isNull(), "no location in the name").when(F.col("water_l").isNull(), F.concat(F.lit("no water colour for "), "location"))
+    return tables.split_errors(rows.withColumn("error", error))
 
 
 def analyze(rasters: DataFrame, site_colors: DataFrame, survey_rows: DataFrame, known: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -99,10 +129,7 @@ def analyze(rasters: DataFrame, site_colors: DataFrame, survey_rows: DataFrame,
     named = naming.with_location(rasters.withColumn("image_name", F.col("image")), "image_name")
     if known is not None:
         named = survey.pending_results(named, known)
-    water = color.lab_decode8(site_colors).select("location", "water_l", "water_a", "water_b")
-    rows = named.join(water, "location", "left")
-    error = F.when(F.col("height") <= 0, "not an image").when(F.col("location").isNull(), "no location in the name").when(F.col("water_l").isNull(), F.concat(F.lit("no water colour for "), "location"))
-    ok, unfit = tables.split_errors(rows.withColumn("error", error))
+    ok, unfit = _fit(named, site_colors)
     found, failed = tables.split_errors(cut(blocks.coverage(ok, errors=True, **options).withColumnRenamed("image", "image_name")))
     results = survey.result_rows(survey.attach_metadata(found, survey_rows.select("image_name", "image_id", "latitude", "longitude")))
     if known is not None:
