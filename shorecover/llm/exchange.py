@@ -5,14 +5,17 @@ has any; a bucket sees every blob of its hashes and answers each; a group reads
 its texts. The texts are shuffled once (both uses read one exchange), and a hash costs about its own
 entropy instead of a row. There are never more blobs than hashes, and up to GROW times GROW GB of
 text the size of a group follows the square root of the input, so that their number grows in
-proportion. Groups of one id, or of no id, are split like any other.
+proportion. Beyond, groups keep their size, and blobs travel both ways through relays, each between
+a range of groups and a range of buckets: a row then is all that a group has for a range of
+buckets, so rows grow as groups times the root of the buckets and stay large, and a task holds
+about as much as a group sends. Groups of one id, or of no id, are split like any other.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group for 1 GB of text; beyond, the root of the GB, at most GROW, times as many.
 GROUP_BYTES, GROW = 8 << 20, 8
+#: More groups than this (some 64 GB of text) ask through relays.
+DIRECT = 1024
 
 Blobs = list[tuple[int, bytes]]
 
@@ -95,6 +100,8 @@ def asked(
     partitions: int,
 ) -> DataFrame:
     """ask(texts of a group) -> (bucket, blob); answer(blobs of a bucket, the order number of each, ascending) -> a blob or None for each; settle(texts of a group, answers by bucket) -> rows."""
+    if texts.groups > DIRECT:
+        return _relayed(texts, ask, answer, settle, schema, partitions)
 
     def asks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found, o = ask(table), table["o"][0].as_py()
@@ -115,6 +122,72 @@ def asked(
     return texts.texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(settles, schema)
 
 
+def _relayed(texts: Grouped, ask: Callable, answer: Callable, settle: Callable, schema: str, partitions: int) -> DataFrame:
+    """asked() by relays (s, q), s a range of buckets and q one of groups; each range has about the root of all groups."""
+    wide = math.isqrt(texts.groups - 1) + 1
+
+    def asks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        g, o = key[0].as_py(), table["o"][0].as_py()
+        return _to_relays([(b, g, o, blob) for b, blob in ask(table)], wide)
+
+    def forward(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        s, q = (k.as_py() for k in key)
+        by: dict[int, list] = {}
+        for sheaf in table["blob"]:
+            for item in _items(sheaf.as_py()):
+                by.setdefault(item[0], []).append(item)
+        return pa.table({"b": pa.array(list(by), pa.int32()), "s": pa.array([s] * len(by), pa.int32()), "q": pa.array([q] * len(by), pa.int32()), "blob": pa.array(map(_sheaf, by.values()), pa.binary())})
+
+    def answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        items = sorted((x for sheaf in table["blob"] for x in _items(sheaf.as_py())), key=lambda x: (x[2], x[1]))
+        found = answer([x[3] for x in items], [x[2] for x in items])
+        replies = [(b, g, o, x) for (b, g, o, _), x in zip(items, found, strict=True) if x is not None]
+        return _to_relays(replies, wide)
+
+    def back(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        by: dict[int, list] = {}
+        for sheaf in table["blob"]:
+            for item in _items(sheaf.as_py()):
+                by.setdefault(item[1], []).append(item)
+        return pa.table({"g": pa.array(list(by), pa.int32()), "blob": pa.array(map(_sheaf, by.values()), pa.binary())})
+
+    def settles(left: pa.Table, right: pa.Table) -> pa.Table:
+        return settle(left, {b: x for sheaf in right["blob"] for b, _, _, x in _items(sheaf.as_py())})
+
+    place = "s int, q int, blob binary"
+    relay = lambda df: df.repartition(texts.partitions, "s", "q").groupBy("s", "q")
+    sent = relay(texts.texts.groupBy("g").applyInArrow(asks, place)).applyInArrow(forward, "b int, " + place)
+    replies = sent.repartition(partitions, "b").groupBy("b").applyInArrow(answers, place)
+    returned = relay(replies).applyInArrow(back, "g int, blob binary")
+    return texts.texts.groupBy("g").cogroup(returned.groupBy("g")).applyInArrow(settles, schema)
+
+
+#: What a relay passes on: bucket, group, order number, blob.
+Item = tuple[int, int, int, bytes]
+
+
+def _sheaf(items: list[Item]) -> bytes:
+    """Items as one blob."""
+    heads = np.array([(b, g, o, len(x)) for b, g, o, x in items], "<i4")
+    return len(items).to_bytes(4, "little") + heads.tobytes() + b"".join(x for *_, x in items)
+
+
+def _items(sheaf: bytes) -> Iterator[Item]:
+    n = int.from_bytes(sheaf[:4], "little")
+    at = 4 + 16 * n
+    for b, g, o, size in np.frombuffer(sheaf, "<i4", 4 * n, 4).reshape(n, 4).tolist():
+        yield b, g, o, sheaf[at : at + size]
+        at += size
+
+
+def _to_relays(items: list[Item], wide: int) -> pa.Table:
+    """A row for each relay that the items go to."""
+    by: dict[tuple[int, int], list[Item]] = {}
+    for item in items:
+        by.setdefault((item[0] // wide, item[1] // wide), []).append(item)
+    return pa.table({"s": pa.array([s for s, _ in by], pa.int32()), "q": pa.array([q for _, q in by], pa.int32()), "blob": pa.array(map(_sheaf, by.values()), pa.binary())})
+
+
 def pack(sorted_values: np.ndarray) -> bytes:
     """Ascending 64-bit numbers as differences, each in as many bytes as the largest needs."""
     n = len(sorted_values)

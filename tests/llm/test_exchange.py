@@ -54,3 +54,38 @@ def test_blobs_grow_with_the_input():
         groups = gb * 1e9 / (exchange.GROUP_BYTES * min(exchange.GROW, max(1.0, gb**0.5)))
         counts.append(groups**2 / gb)
     assert max(counts) < 1.1 * min(counts)
+
+
+def test_relays_give_what_direct_blobs_give(spark, monkeypatch):
+    """Both users of the exchange, groups of many sizes, hot and null ids."""
+    from shorecover.llm import ngram_lm
+
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(40)))
+    rows = [(50 if k % 3 == 0 else None if k % 7 == 1 else k, text() if k % 11 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(exchange.grouped, "__defaults__", ("doc_id", "text", 800))
+    monkeypatch.setattr(exchange.spread, "__defaults__", ("doc_id", "text", 800))
+    assert exchange.grouped(df).groups > 20
+    runs = []
+    for most in (10**9, 4):
+        monkeypatch.setattr(exchange, "DIRECT", most)
+        runs.append((sorted(map(str, substring.remove_repeats(df, 3).collect())), sorted(map(str, ngram_lm.score(df).collect()))))
+    assert runs[0] == runs[1] and len(runs[0][0]) == len(runs[0][1]) == 300
+    got = [tuple(r) for r in substring.digest(substring.remove_repeats(df, 3)).collect()]
+    assert sorted(got, key=str) == sorted(substring.brute_force(rows, 3), key=str)
+    assert exchange._relayed(exchange.grouped(df.limit(0)), None, None, None, "x long", 2).count() == 0
+
+
+def test_rows_of_relays_stay_large():
+    """From 64 GB to 100 TB a row of a relay holds over 10 KB of a group's some 11 million windows of 6 bytes, a relay about what a group sends."""
+    for tb in (0.064, 1, 10, 100):
+        groups = tb * 1e12 / (exchange.GROUP_BYTES * exchange.GROW)
+        a_group_sends = exchange.GROUP_BYTES * exchange.GROW / 6 * 6
+        a_row = a_group_sends / groups**0.5
+        assert a_row > 10_000 and a_row * groups**0.5 < 100e6
+
+
+def test_items_of_a_sheaf():
+    items = [(3, 1, 0, b""), (2**30, 5, -1, b"abc"), (0, 0, 0, bytes(300))]
+    assert list(exchange._items(exchange._sheaf(items))) == items and list(exchange._items(exchange._sheaf([]))) == []
