@@ -8,7 +8,7 @@ which are an Elias-Fano sequence of (rank of the context, successor), found by s
 relative to the context; beside each lies its smoothed share c(hw)/(c(h)+MU) in 16 bits (log10
 in steps of 1/5000, rounded down so that no probability passes 1). Successors are known by 40 bits of their hash within a context.
 
-A first pass counts all words: it gives the numbers N and V, and the contexts with over HOT of all
+A first pass counts all words: it gives the numbers N and V, and the contexts with over HOT, or over a mean bucket, of all
 tokens, which are spread over buckets by successor as well. Every group of texts sends each bucket
 its distinct words and pairs with counts and gets back counts and shares: no row for each token
 leaves a task.
@@ -169,8 +169,8 @@ class Trie:
         return out
 
 
-def _counted(docs: DataFrame, divisor: int, rest: int) -> tuple[dict[int, int], int, int]:
-    """(counts of the words with over HOT of the training tokens, at most 1/HOT; N; V). A task sends each of its words once, but for those beyond a million."""
+def _counted(docs: DataFrame, divisor: int, rest: int, share: float) -> tuple[dict[int, int], int, int]:
+    """(counts of the words with over `share` of the training tokens, at most 1/share; N; V). A task sends each of its words once, but for those beyond a million."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -192,9 +192,9 @@ def _counted(docs: DataFrame, divisor: int, rest: int) -> tuple[dict[int, int],
 
     counts = docs.mapInArrow(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     seen = Observation()
-    top = counts.observe(seen, F.sum("c").alias("n"), F.count("*").alias("v")).orderBy(F.desc("c")).limit(math.ceil(1 / HOT)).collect()
+    top = counts.observe(seen, F.sum("c").alias("n"), F.count("*").alias("v")).orderBy(F.desc("c")).limit(math.ceil(1 / share)).collect()
     n, v = seen.get.get("n") or 0, seen.get.get("v") or 0
-    hot = {r.h % (1 << 64): r.c for r in top if r.c > HOT * n}
+    hot = {r.h % (1 << 64): r.c for r in top if r.c > share * n}
     if int(END) in hot:
         hot[int(BOS)] = hot[int(END)]
     return hot, n, v
@@ -209,10 +209,12 @@ def score(docs: DataFrame, divisor: int = 7, rest: int = 2, mu: float = MU, id_c
     whatever their names; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    totals, n, v = _counted(rows, divisor, rest)
-    hot = np.array(sorted(totals), np.uint64)
     texts = spread(docs, id_col, text_col, GROUP)
     buckets = texts.groups
+    # a context that stays in one bucket adds at most a mean bucket to it
+    totals, n, v = _counted(rows, divisor, rest, min(HOT, 1 / buckets))
+    hot = np.array(sorted(totals), np.uint64)
+    hot_counts = np.array([totals[int(h)] for h in hot], float)
 
     def ask(table):
         return _Group(table, buckets, divisor, rest, hot).blobs(buckets)
@@ -236,11 +238,10 @@ def score(docs: DataFrame, divisor: int = 7, rest: int = 2, mu: float = MU, id_c
         base = (count + 1) / (n + v + 1)
         context = count[g.head].astype(float)
         share = share_of(code)
-        for h, c in totals.items():
-            at = np.searchsorted(g.words, np.uint64(h))
-            if at < len(g.words) and g.words[at] == np.uint64(h):
-                mine = g.head == at
-                share[mine] *= (c + mu) / (context[mine] + mu)
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, g.words), len(hot) - 1)
+            whole = np.where(hot[place] == g.words, hot_counts[place], count)[g.head]
+            share *= (whole + mu) / (context + mu)
         p = np.log10(share + mu / (context + mu) * base[g.tail])
         sums = lambda values: np.add.reduceat(values, g.at[:-1]) if len(g.ids) else values[:0]
         return pa.table(
