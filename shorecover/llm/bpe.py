@@ -117,8 +117,8 @@ class _Group:
     def rows(self, number: int, buckets: int) -> pa.RecordBatch:
         """One row of the layout (b = -1), and one for each bucket that has units of this group.
 
-        Spark may run this twice; the group's name holds its place and its units, so that rows in
-        another order the second time would give a group without answers and not wrong ones.
+        Spark may run this twice; the group's name holds its place and its units, so that other
+        rows in a partition the second time would give a group without answers and not wrong ones.
         """
         units = [u.encode() for u in self.index]
         g = int.from_bytes(hashlib.blake2b(b"\0".join([str(number).encode(), *units]), digest_size=8).digest(), "little") >> 1
@@ -195,14 +195,14 @@ def encode(docs: DataFrame, spec: Broadcast, id_col: str = "doc_id", text_col: s
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         """The ids of each text, by the position of its units."""
         if not left.num_rows:
-            raise ValueError("rows of docs came in another order when they were read again")
+            raise ValueError("a partition of docs held other rows when it was read again")
         ids, null, counts, bucket, at = parted(left["blob"][0].as_py())
         counts, bucket, at = unpack_numbers(counts).astype(np.int64), unpack_numbers(bucket), unpack_numbers(at).astype(np.int64)
         replies = [parted(blob) for _, blob in sorted(zip(right["b"].to_pylist(), right["blob"].to_pylist()))]
         flat = np.concatenate([np.zeros(0, np.uint32), *[unpack_numbers(x) for _, x in replies]])
         sizes = np.concatenate([np.zeros(0, np.int64), *[unpack_numbers(n).astype(np.int64) for n, _ in replies]])
         if len(sizes) != len(bucket):
-            raise ValueError("rows of docs came in another order when they were read again")
+            raise ValueError("a partition of docs held other rows when it was read again")
         rank = np.empty(len(bucket), np.int64)
         rank[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
         out, ends = gather(flat, np.concatenate(([0], np.cumsum(sizes))), rank[at])
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, spec: Broadcast, id_col: str = "doc_id", text_col: s
             }
         )
 
+    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
     mixed = rows.mapInArrow(split, "g long, b int, blob binary").repartition(partitions, "g")
     replies = mixed.where("b >= 0").repartition(buckets, "b").groupBy("b").applyInArrow(encoded, "g long, b int, blob binary")
     return mixed.where("b < 0").groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(placed, "doc_id long, n_tokens long, ids binary")

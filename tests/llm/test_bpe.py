@@ -45,3 +45,28 @@ def test_many_groups_and_buckets_and_edge_rows(spark):
     finally:
         bpe.GROUP, bpe.BUCKET = was
     assert got == sorted(((i, *expected(t)) for i, t in rows), key=str)
+
+
+def test_rows_in_another_order_each_time_they_are_read(spark):
+    """As after a shuffle whose blocks arrive in another order: repeated ids, rows and null ids too."""
+    rng = random.Random(7)
+    rows = [(k % 60 if k % 9 else None, " ".join(rng.choice(["ab", "cd", "é", "f  g"]) + str(rng.randrange(99)) for _ in range(30))) for k in range(400)]
+    rows += rows[:30]
+
+    def shuffled(batches):
+        import os
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.take(pa.array(np.random.default_rng(int.from_bytes(os.urandom(8), "little")).permutation(batch.num_rows)))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(shuffled, "doc_id long, text string")
+    was, (bpe.GROUP, bpe.BUCKET) = (bpe.GROUP, bpe.BUCKET), (3000, 8000)
+    try:
+        spec = bpe.load(spark, PATH)
+        got = sorted((tuple(r) for r in bpe.digest(bpe.decode(bpe.encode(df, spec), spec)).collect()), key=str)
+    finally:
+        bpe.GROUP, bpe.BUCKET = was
+    assert got == sorted(((i, *expected(t)) for i, t in rows), key=str)
