@@ -134,7 +134,7 @@ class Model:
     def decisions(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
         for index, codes in _coded(words):
-            step = max(1, 400_000 // max(1, len(_triples(codes.shape[1])[0])))
+            step = max(1, 100_000 // max(1, len(_triples(codes.shape[1])[0])))
             for k in range(0, len(index), step):
                 if codes.shape[1] >= ORDER:
                     u, v = _features(codes[k : k + step])
@@ -180,6 +180,7 @@ def _fit_words(positive: list[str], negative: list[str], landmarks: int, rng: np
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     turn, every = z.T @ root, positive + negative
+    del z
     features = np.vstack([_over(triples, every[k : k + 200]) @ turn for k in range(0, len(every), 200)])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     w = _svm(features, y, 10.0)
@@ -209,23 +210,25 @@ def _constant(n_toxic: int, n: int) -> Model:
 
 def fit(texts: list[tuple[str, int]], landmarks: int = 192, negatives: int = 2500, rounds: int = 3, seed: int = 7) -> Model:
     """texts: (text, label 0 or 1), a bounded sample. With one class alone, every score is that class's share."""
-    each = [(units(t), y) for t, y in texts]
-    n_toxic = sum(y for _, y in each)
+    # a word of many texts is held once; each text has the numbers of its words
+    index: dict[str, int] = {}
+    each = [np.fromiter((index.setdefault(w, len(index)) for w in units(t)), np.int32) for t, _ in texts]
+    names, y = list(index), np.array([y for _, y in texts], float)
+    n_toxic = int(y.sum())
     if not n_toxic or n_toxic == len(each):
         return _constant(n_toxic, len(each))
-    fold = [k % 5 for k in range(len(each))]
-    toxic, clean = Counter(), Counter()
-    for (words, y), p in zip(each, fold, strict=True):
-        if p:
-            (toxic if y else clean).update(words)
-    n1, n0 = max(1, sum(y for (_, y), p in zip(each, fold, strict=True) if p)), max(1, sum(1 - y for (_, y), p in zip(each, fold, strict=True) if p))
-    odds = {w: np.log((c + 0.1) / n1) - np.log((clean[w] + 0.1) / n0) for w, c in toxic.items() if c >= 3 and len(w) > 1}
-    telling = {w for w, x in odds.items() if x > 3}
-    positive = _cover([words & telling for (words, y), p in zip(each, fold, strict=True) if p and y])
+    held = np.arange(len(each)) % 5 == 0
+    toxic, clean = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for k in np.flatnonzero(~held):
+        (toxic if y[k] else clean)[each[k]] += 1
+    n1, n0 = max(1, int((~held & (y > 0)).sum())), max(1, int((~held & (y == 0)).sum()))
+    odds = {k: np.log((toxic[k] + 0.1) / n1) - np.log((clean[k] + 0.1) / n0) for k in np.flatnonzero(toxic >= 3).tolist() if len(names[k]) > 1}
+    telling = {k for k, x in odds.items() if x > 3}
+    positive = _cover([{names[k] for k in telling.intersection(each[i].tolist())} for i in np.flatnonzero(~held & (y > 0))])
     if not positive:
-        positive = sorted(toxic, key=lambda w: (-odds.get(w, 0) * toxic[w], w))[:20]
+        positive = [names[k] for k in sorted(np.flatnonzero(toxic).tolist(), key=lambda k: (-odds.get(k, 0) * toxic[k], names[k]))[:20]]
     rng = np.random.default_rng(seed)
-    pool = sorted(set(clean) - set(positive))
+    pool = sorted({names[k] for k in np.flatnonzero(clean)} - set(positive))
     if not positive or not pool:
         return _constant(n_toxic, len(each))
     negative = [pool[k] for k in rng.permutation(len(pool))[:negatives]]
@@ -234,12 +237,11 @@ def fit(texts: list[tuple[str, int]], landmarks: int = 192, negatives: int = 250
         part = [pool[k] for k in rng.permutation(len(pool))[: 25 * negatives]]
         hard = model.decisions(part)
         negative = list(dict.fromkeys(negative[: negatives // 2] + [part[k] for k in np.argsort(-hard)[: negatives // 2]]))
-        rest = sorted(telling - set(positive))
+        rest = sorted({names[k] for k in telling} - set(positive))
         positive += [w for w, x in zip(rest, model.decisions(rest), strict=True) if x > 0.5]
     model = _fit_words(positive, negative, landmarks, rng)
-    worst = np.array([model.decisions(sorted(words)).max() if words else model.bias for words, _ in each])
-    y = np.array([y for _, y in each], float)
-    held = np.array(fold) == 0
+    every = np.concatenate([model.decisions(names[k : k + 10_000]) for k in range(0, len(names), 10_000)])
+    worst = np.array([every[words].max() if len(words) else model.bias for words in each])
     if len(set(y[held])) < 2:
         held[:] = True
     model.slope, model.shift = _calibrated(worst[held], y[held])

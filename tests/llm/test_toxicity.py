@@ -1,4 +1,6 @@
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -68,3 +70,17 @@ def test_repeated_ids_teach_their_smallest_text(spark):
 @pytest.mark.parametrize("texts", [[], [("x", 1)], [("", 0), ("", 1)]])
 def test_tiny_samples(texts):
     assert toxicity.fit(texts) is not None
+
+
+def test_fit_holds_a_word_of_many_texts_once():
+    """The driver's memory follows the distinct words and not the words of all texts."""
+    rng = random.Random(8)
+    words = [f"wort{k}" for k in range(3000)]
+    texts = [(" ".join(rng.sample(words, 300) + ["scummo"] * (k % 4 == 0)), int(k % 4 == 0)) for k in range(1500)]
+    toxicity.fit(texts[:40], landmarks=8, negatives=40, rounds=0)
+    tracemalloc.start()
+    model = toxicity.fit(texts, landmarks=8, negatives=40, rounds=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.decisions(["scummo"])[0] > model.decisions(["wort7"])[0]
+    assert peak < 24e6
