@@ -65,7 +65,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     groups alone, and the null id, are split by the hash of the text.
     """
     docs, n_bytes, groups = _rows(docs, id_col, text_col, group_bytes)
-    weights = docs.select("id", (1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) * groups * 64 / max(1, n_bytes))).cast("int").alias("n"))
+    weights = docs.select("id", (1 + F.floor(F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) * groups * 64 / max(1, n_bytes))).cast("int").alias("n"))
     firsts, bounds, subs = [0], [], [1]
     if groups > 1:
         shares = [k / groups for k in range(1, groups)]

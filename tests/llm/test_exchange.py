@@ -21,6 +21,15 @@ def test_groups_follow_bytes(spark):
     assert all(a[1] < b[0] for a, b in zip(inside, inside[1:]))
 
 
+def test_long_texts_among_many_groups(spark):
+    """The bytes of a text times the groups pass 32 bits, as those of 120 KB do from some 280 groups on."""
+    rows = [(k, "x y " * (200_000 if k == 30 else 1000)) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exchange.grouped(df, group_bytes=4000)
+    assert found.groups * 64 * 800_000 > 2**31
+    assert sorted((lo, hi, n) for n, lo, hi in sizes(found.texts).values()) == [(k, k, len(t)) for k, t in rows]
+
+
 def test_hot_and_null_ids_are_split(spark):
     """A third of all rows under one id, a third without: many groups each, and the same result as by definition."""
     rng = random.Random(2)
