@@ -573,11 +573,11 @@ def src_9_task_errors(spark, d):
 
 
 def _watched(spark, d, runs):
-    """A store after runs of (rows to add as files, process, overwrite) over one folder, three files at a time."""
+    """A store after runs of (rows to add as files, process, overwrite) over one folder, three files at a time. Images of one name share a file, so that no chance decides which of them counts."""
     base = temporary(spark, "watch")
     for rows, process, overwrite in runs:
         if rows is not None:
-            rows.select("image_name", "image_id").repartition(8).write.mode("append").parquet(f"{base}/in")
+            rows.select("image_name", "image_id").repartition(8, "image_name").write.mode("append").parquet(f"{base}/in")
         watch(spark, f"{base}/in", "image_name string, image_id long", f"{base}/store", f"{base}/state", process, 3, overwrite=overwrite).awaitTermination()
     return ResultStore(spark, f"{base}/store").read()
 
@@ -600,7 +600,7 @@ def inc_1_watch(spark, d):
 
 @_query
 def inc_1_errors(spark, d):
-    """After a run with failures and a restart that fails again, the failed images are error rows and no results."""
+    """After a run with failures and a restart that fails again, the failed images are error rows and no results. Of images of one name that of the least id counts."""
     found = _watched(spark, d, [(fx.survey(spark, d), _failing, False), (None, _failing, False)])
     ok, errors = tables.split_errors(found)
     return ok.select("image_name", F.lit("ok").alias("state")).unionAll(errors.select("image_name", F.col("error").alias("state")))

@@ -34,8 +34,19 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     return files.listStatus(spark_path)[0].getPath().getName()
 
 
+def _one_a_name(rows: DataFrame) -> DataFrame:
+    """Of rows of one name the least by their other columns, so that the choice does not hang on the order of rows. Columns that have no order are compared as JSON."""
+    others = [c for c in rows.columns if c != KEY]
+    if not others:
+        return rows.distinct()
+    unordered = {c for c, t in rows.dtypes if re.search(r"\b(map<|variant\b)", t)}
+    row = F.struct(*others)
+    least = F.min_by(row, F.struct(*[F.to_json(F.struct(c)) if c in unordered else F.col(c) for c in others])) if unordered else F.min(row)
+    return rows.groupBy(KEY).agg(least.alias("__row")).select(*[F.col(c if c == KEY else f"__row.{c}").alias(c) for c in rows.columns])
+
+
 def _work_off(rows: DataFrame, store: ResultStore, stream: str, number: int, process: Process, overwrite: bool) -> None:
-    """Processes the rows of a batch that have no result and saves them with their file; of rows of one name that of the newest file counts."""
+    """Processes the rows of a batch that have no result and saves them with their file; of rows of one name that of the newest file counts, of those in one file the least."""
     if store.has(stream, number):
         return
     newest = rows.groupBy(KEY).agg(F.max(F.struct(_TIME, _SOURCE)).alias("f")).select(KEY, F.col(f"f.{_TIME}").alias(_TIME), F.col(f"f.{_SOURCE}").alias(_SOURCE))
@@ -43,7 +54,7 @@ def _work_off(rows: DataFrame, store: ResultStore, stream: str, number: int, pro
     if old is not None:
         newest = pending_results(newest, old.where("error is null"), overwrite)
     newest = cut(newest)
-    given = rows.join(newest, [KEY, _TIME, _SOURCE], "left_semi").drop(_TIME, _SOURCE).dropDuplicates([KEY])
+    given = _one_a_name(rows.join(newest, [KEY, _TIME, _SOURCE], "left_semi").drop(_TIME, _SOURCE))
     found = process(given)
     store.save(found.join(newest.select(KEY, F.col(_SOURCE).alias("source")), KEY, "left"), stream, number)
     if len(store.commits()) > COMPACT:
