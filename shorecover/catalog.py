@@ -592,7 +592,7 @@ def _sound(rows):
 
 @_query
 def inc_1_watch(spark, d):
-    """The survey as files: a run in which a seventh of the images fails, one that tries them again, and one that overwrites an eleventh. Each image is one row, the newest."""
+    """The survey as files: a run in which a seventh of the images fails, one that tries them again, and one that overwrites an eleventh. Each image is one row, the newest; of images of one name in one run that of the least id counts."""
     rows = fx.survey(spark, d)
     again = rows.where("image_id % 11 = 0").withColumn("image_id", F.col("image_id") + 1_000_000)
     return _watched(spark, d, [(rows, _failing, False), (None, _sound, False), (again, _sound, True)]).select("image_name", "image_id", "error")

@@ -272,7 +272,7 @@ _sql("src_8_mask_bytes", "select image, y, x, case when m then 0 else 255 end as
 _sql("src_8_write_masks", "select image, y, x, case when m then 0 else 255 end as value from fine")
 _sql("src_9_split_errors", "select image_id, case when latitude is null then 'no position: ' || image_name else 'ok' end as state from survey")
 _sql("src_9_task_errors", f"select image, {R('case when image % 5 = 2 then -1e0 else count_if(dist > 14)*100e0/count(*) end', 'coverage_percentage')} from dist group by image")
-_sql("inc_1_watch", "select image_name, case when image_id % 11 = 0 then image_id + 1000000 else image_id end as image_id, cast(null as varchar) as error from survey")
+_sql("inc_1_watch", "select image_name, coalesce(min(image_id + 1000000) filter (image_id % 11 = 0), min(image_id)) as image_id, cast(null as varchar) as error from survey group by 1")
 _sql("inc_1_errors", "select image_name, case when min(image_id) % 7 = 0 then 'failed: ' || image_name else 'ok' end as state from survey group by 1")
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from shorecover import catalog
 
-QUERIES = ["inc_1_errors"]
+QUERIES = ["inc_1_errors", "inc_1_watch"]
 
 
 @pytest.fixture(scope="module")
