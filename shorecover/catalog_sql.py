@@ -153,7 +153,8 @@ _sql("prj_14_grid_labels", f"select ix, iy, printf('%.2f', v) as label, {R('(x0+
 _sql(
     "join_1_metadata",
     f"""select image_name, coverage_percentage, m.image_id, {R('m.latitude', 'latitude')}, {R('m.longitude', 'longitude')} from (select case when image_id % 11 = 0 then image_name || 'x' else image_name end as image_name, coverage_percentage from survey) r
-left join (select image_name, min(image_id) as image_id, arg_min(latitude, image_id) filter (where true) as latitude, arg_min(longitude, image_id) as longitude from survey group by 1) m using (image_name)""",
+left join (select * from (select *, row_number() over (partition by image_name order by image_id) as k from (select image_name, image_id, latitude, longitude from survey
+ union all select image_name, image_id + 1000000, latitude, longitude from survey where image_id % 10 = 1)) where k = 1) m using (image_name)""",
 )
 _sql("join_2_pending_images", "select image_id, location from located where image_id % 3 <> 0")
 _sql("join_3_pending_results", "select image_id, image_name from survey where image_id % 3 <> 0")
