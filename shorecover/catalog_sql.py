@@ -156,7 +156,7 @@ _sql(
 left join (select * from (select *, row_number() over (partition by image_name order by image_id) as k from (select image_name, image_id, latitude, longitude from survey
  union all select image_name, image_id + 1000000, latitude, longitude from survey where image_id % 10 = 1)) where k = 1) m using (image_name)""",
 )
-_sql("join_2_pending_images", "select image_id, location from located where image_id % 3 <> 0")
+_sql("join_2_pending_images", "select image_id, location from located l where not exists (select 1 from located e where e.image_id % 3 = 0 and e.location = l.location and e.image_name = l.image_name)")
 _sql("join_3_pending_results", "select image_id, image_name from survey where image_id % 3 <> 0")
 _sql("join_4_upsert", "select image_id, image_name, case when image_id % 4 = 0 then 1.5e0 else coverage_percentage end as coverage_percentage from survey where image_id % 3 = 0 or image_id % 4 = 0")
 _sql("join_5_water", f"select image_id, {R('cl*100e0/255', 'water_l')}, ca-128e0 as water_a, cb-128e0 as water_b from located join colors using (location)")

@@ -5,7 +5,7 @@ import pytest
 
 from shorecover import catalog
 
-QUERIES = ["inc_1_errors", "inc_1_watch", "join_1_metadata"]
+QUERIES = ["inc_1_errors", "inc_1_watch", "join_1_metadata", "join_2_pending_images"]
 
 
 @pytest.fixture(scope="module")
