@@ -158,7 +158,11 @@ left join (select * from (select *, row_number() over (partition by image_name o
 )
 _sql("join_2_pending_images", "select image_id, location from located l where not exists (select 1 from located e where e.image_id % 3 = 0 and e.location = l.location and e.image_name = l.image_name)")
 _sql("join_3_pending_results", "select image_id, image_name from survey where image_name not in (select image_name from survey where image_id % 3 = 0)")
-_sql("join_4_upsert", "select image_id, image_name, case when image_id % 4 = 0 then 1.5e0 else coverage_percentage end as coverage_percentage from survey where image_id % 3 = 0 or image_id % 4 = 0")
+_sql(
+    "join_4_upsert",
+    """select image_id, image_name, coverage_percentage from survey where image_id % 3 = 0 and image_name not in (select image_name from survey where image_id % 4 = 0)
+union all select image_id, image_name, 1.5e0 from survey where image_id % 4 = 0""",
+)
 _sql("join_5_water", f"select image_id, {R('cl*100e0/255', 'water_l')}, ca-128e0 as water_a, cb-128e0 as water_b from located join colors using (location)")
 _sql("join_6_assign_slices", "select image, slice_id, y, x from sliced")
 _sql("join_7_candidates", "select image, slice_id, sy, sx, cy, cx from cands")
