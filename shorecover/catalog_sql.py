@@ -139,7 +139,7 @@ _sql("prj_4_title_token", "select location, arg_min(string_split(image_name, '_'
 _sql("prj_5_num_id", "select image_id, replace(replace(string_split(image_name, '_')[-1], 'DSC', ''), '.JPG', '') as num_id from survey")
 _sql("prj_6_basename", "select image_id, image_name as basename, image_name[:-5] as stem from survey")
 _sql("prj_7_west_longitude", f"select image_id, {R('-abs(longitude)', 'longitude')} from survey")
-_sql("prj_8_pick_images", "select cast(row_number() over (partition by image_id % 13 order by image_id) as int) as pos, image_name, image_id from survey where image_id % 97 = 0")
+_sql("prj_8_pick_images", "select pos, image_name, s.image_id from (select image_name, cast(row_number() over (partition by image_id % 13 order by image_id) as int) as pos from survey where image_id % 97 = 0) n join survey s using (image_name)")
 _sql("prj_9_pick_sites", "select image_id, location from located where location in (select location from colors)")
 SQL["prj_10_run_hash"] = """select s_suppkey, sha256('{"clahe": ' || case when s_suppkey % 2 = 0 then 'true' else 'false' end || case when s_suppkey % 5 <> 0 then ', "color_validation_threshold": 50' else '' end || ', "downsample_factor": 1.0'
  || case when s_suppkey % 5 <> 0 then ', "erosion_kernel_size": 51' else '' end || ', "fallback_brightness_threshold": 100.0, "fallback_distance_threshold": 55.0, "final_point_strategy": "' || case when s_suppkey % 3 = 0 then 'center_bias' else 'poisson_disk' end

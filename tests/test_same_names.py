@@ -5,7 +5,7 @@ import pytest
 
 from shorecover import catalog
 
-QUERIES = ["inc_1_errors", "inc_1_watch", "join_1_metadata", "join_2_pending_images", "join_3_pending_results", "join_4_upsert"]
+QUERIES = ["inc_1_errors", "inc_1_watch", "join_1_metadata", "join_2_pending_images", "join_3_pending_results", "join_4_upsert", "prj_8_pick_images"]
 
 
 @pytest.fixture(scope="module")
