@@ -26,3 +26,15 @@ def test_groups_and_empty(spark):
         exchange.grouped.__defaults__ = was
     assert got == sorted(substring.brute_force(rows))
     assert substring.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_a_long_text_among_many_groups(spark, monkeypatch):
+    """The bytes of the long text times the groups pass 32 bits."""
+    from shorecover.llm import exchange
+
+    rows = [(k, " ".join(f"w{(j * (k % 7 + 1)) % 997}" for j in range(90_000 if k == 20 else 400))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(exchange.grouped, "__defaults__", ("doc_id", "text", 3000))
+    assert exchange.grouped(df).groups * 64 * len(rows[20][1]) > 2**31
+    got = sorted(tuple(r) for r in substring.digest(substring.remove_repeats(df)).collect())
+    assert got == sorted(substring.brute_force(rows))
